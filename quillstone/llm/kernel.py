@@ -144,3 +144,19 @@ def shingles(words: np.ndarray, rows: np.ndarray, k: int, seed: int = 0) -> tupl
                 acc = acc * c + w
             out[offsets[i]] = mix(np.array([acc + _U(int(lengths[i]))], _U))[0]
     return out, starts, offsets
+
+
+def valid(part: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.ndarray, str]:
+    """Bytes, row offsets and the joined text of a string column; invalid UTF-8 reads as U+FFFD."""
+    data, at = utf8(part.column(column))
+    try:
+        return data, at, data.tobytes().decode("utf-8")
+    except UnicodeDecodeError:
+        rows = [data[at[i] : at[i + 1]].tobytes().decode("utf-8", "replace") for i in range(len(at) - 1)]
+        raw = [r.encode() for r in rows]
+        return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)]), "".join(rows)
+
+
+def code_points(data: np.ndarray) -> np.ndarray:
+    """For each byte offset (and the end), the number of code points before it."""
+    return np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillstone.llm import bpe, quality, secrets, topk, warc
 from quillstone.llm.minhash import minhash_dedup
 
 
@@ -11,13 +13,75 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(_table(spark, sf_dir, "documents"), k=5, num=85, den=100)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return quality.classify_quality(_table(spark, sf_dir, "documents"), labels, threshold=0.3)
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(_table(spark, sf_dir, "documents")).select("doc_id", "spans")
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    def line(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    base = F.filter("spans", lambda s: s["kind"] != "markov")
+    return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _vocabulary()
+    tokens = bpe.decode_tokens(bpe.encode_documents(_table(spark, sf_dir, "documents"), path), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(_table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), k=5)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, _table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_OP8 = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as query_id, b.vec_id as vec_id, cast(list_inner_product(a.q, b.q) as bigint) as score
+  from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5
+"""
+
+_OP9 = """
+with p as (
+  select page_id, coalesce(html, '') as payload from pages),
+d as (select page_id, strlen(payload) as payload_bytes, sha1(payload) as payload_digest from p),
+w as (select *, max(page_id) over (partition by payload_digest) as largest from d)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 1000 and page_id <> largest then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 1000 and page_id <> largest then largest end as refers_to
+from w
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_dedup,)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op3_quality, op5_secrets, op7_bpe, op8_topk, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_topk": _OP8, "op9_warc": _OP9}
