@@ -194,7 +194,8 @@ def minhash_dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, ba
     star = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     star = cut(star, "star")
     asked = star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct()
-    sets = docs.join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).mapInArrow(_sets(k), "node long, shingles binary")
+    # A merge join at every size: how much text moves must not hinge on a broadcast threshold.
+    sets = docs.join(asked.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).mapInArrow(_sets(k), "node long, shingles binary")
     sets = cut(sets, "sets")
     pairs = star.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     links = cut(pairs.mapInArrow(_confirm(num, den), "a long, b long"), "links")
