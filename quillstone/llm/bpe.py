@@ -13,11 +13,11 @@ from __future__ import annotations
 
 import base64
 import heapq
+import unicodedata
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +27,9 @@ from quillstone.llm import kernel as K
 WHITE_SPACE = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, 0x2000, 0x2001, 0x2002, 0x2003, 0x2004, 0x2005, 0x2006, 0x2007, 0x2008, 0x2009, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: What may follow an apostrophe as a token of its own.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
+#: Ranges of letters and numbers that Unicode 16 added; the merges' public splitter knows them.
+LETTERS_16 = ((0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0))
+NUMBERS_16 = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
 
 LETTER, NUMBER, OTHER, SHORT, LONG, SPACE, GLUE, LONE = range(8)
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHER, IN_SPACE, GLUED, ONE_MORE, TWO_MORE = range(8)
@@ -37,14 +40,17 @@ _LANE = 256
 
 @cache
 def class_table() -> np.ndarray:
-    """Class of every code point.  The properties come from the regex library, whose Unicode version
-    is newer than the standard library's and is that of the public tokenizers' own splitter."""
+    """Class of every code point: the standard library's categories, and what Unicode 16 adds to them."""
     kinds = np.full(0x110000, OTHER, np.uint8)
-    points = np.array([p for p in range(0x110000) if not 0xD800 <= p < 0xE000])
-    every = "".join(map(chr, points.tolist()))
-    for name, kind in (("L", LETTER), ("N", NUMBER)):
-        for run in regex.finditer(rf"\p{{{name}}}+", every):
-            kinds[points[run.start() : run.end()]] = kind
+    first = {"L": LETTER, "N": NUMBER}
+    for point in range(0x110000):
+        kind = first.get(unicodedata.category(chr(point))[0])
+        if kind is not None:
+            kinds[point] = kind
+    for low, high in LETTERS_16:
+        kinds[low : high + 1] = LETTER
+    for low, high in NUMBERS_16:
+        kinds[low : high + 1] = NUMBER
     kinds[list(WHITE_SPACE)] = SPACE
     return kinds
 

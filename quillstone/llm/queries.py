@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import bpe, quality, secrets, topk, warc
+from quillstone.llm import bpe, quality, secrets, substring, topk, warc
 from quillstone.llm.minhash import minhash_dedup
 
 
@@ -41,6 +41,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring.substring_dedup(_table(spark, sf_dir, "documents"), window=20)
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _vocabulary()
     tokens = bpe.decode_tokens(bpe.encode_documents(_table(spark, sf_dir, "documents"), path), path)
@@ -80,7 +85,7 @@ from w
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_dedup, op3_quality, op5_secrets, op7_bpe, op8_topk, op9_warc)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op3_quality, op5_secrets, op6_substring, op7_bpe, op8_topk, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
