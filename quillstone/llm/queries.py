@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import bpe, quality, secrets, substring, topk, warc
+from quillstone.llm import bpe, quality, secrets, substring, suffixes, topk, warc
 from quillstone.llm.minhash import minhash_dedup
 
 
@@ -28,6 +28,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_quality(_table(spark, sf_dir, "documents"), labels, threshold=0.3)
 
 
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = suffixes.suffix_dedup(_table(spark, sf_dir, "documents"), window=50)
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(_table(spark, sf_dir, "documents")).select("doc_id", "spans")
 
@@ -85,7 +90,7 @@ from w
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_dedup, op3_quality, op5_secrets, op6_substring, op7_bpe, op8_topk, op9_warc)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op3_quality, op4_suffix, op5_secrets, op6_substring, op7_bpe, op8_topk, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
