@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import bpe, quality, secrets, substring, suffixes, topk, warc
+from quillstone.llm import bpe, decontaminate, licences, quality, secrets, substring, suffixes, topk, warc
 from quillstone.llm.minhash import minhash_dedup
 
 
@@ -13,7 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -23,6 +23,11 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(_table(spark, sf_dir, "documents"), k=5, num=85, den=100)
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan_licences(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("sentences", ",").alias("sentences"), F.array_join("licences", ",").alias("licences"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     return quality.classify_quality(_table(spark, sf_dir, "documents"), labels, threshold=0.3)
@@ -52,7 +57,7 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _vocabulary()
+    path = tokenizer_path()
     tokens = bpe.decode_tokens(bpe.encode_documents(_table(spark, sf_dir, "documents"), path), path)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -67,6 +72,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, _table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=5, threshold=0.8)
+
+
 _OP8 = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q from embeddings
@@ -90,8 +99,8 @@ from w
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_dedup, op3_quality, op4_suffix, op5_secrets, op6_substring, op7_bpe, op8_topk, op9_warc)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_licences, op3_quality, op4_suffix, op5_secrets, op6_substring, op7_bpe, op8_topk, op9_warc, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_topk": _OP8, "op9_warc": _OP9}
+    return {"op2_licences": licences.oracle(), "op8_topk": _OP8, "op9_warc": _OP9}
