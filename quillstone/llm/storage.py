@@ -18,6 +18,12 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def modest(spark: SparkSession, size: str = "4m") -> None:
+    """Smaller Arrow batches for the scans of texts, as a batch is held several times over: in the
+    executor, in the pipe and in the Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def fresh(spark: SparkSession, label: str) -> str:
     """A new path under the shared folder, deleted when the driver's JVM ends."""
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"

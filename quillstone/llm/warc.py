@@ -67,7 +67,7 @@ def _writer(root: str):
             out = None
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for i in range(0, batch.num_rows, 64) for r in batch.slice(i, 64).to_pylist()):
                 if out is None:
                     name, size = f"pages-{uuid.uuid4().hex}.warc.gz", 0
                     system.create_dir(f"{base}/_unfinished", recursive=True)
