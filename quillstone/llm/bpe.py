@@ -34,7 +34,9 @@ NUMBERS_16 = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x161
 LETTER, NUMBER, OTHER, SHORT, LONG, SPACE, GLUE, LONE = range(8)
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHER, IN_SPACE, GLUED, ONE_MORE, TWO_MORE = range(8)
 #: Finished pieces that the cache of one Python worker keeps.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
+#: Text bytes of a step: its pieces are Python strings for a while.
+STEP_BYTES = 1 << 20
 _LANE = 256
 
 
@@ -186,7 +188,7 @@ def _encode(path: str):
     def run(batches):
         pieces = _pieces(path)
         for batch in batches:
-            for part in K.slices(batch):
+            for part in K.slices(batch, limit=STEP_BYTES):
                 data, at, text = K.valid(part)
                 firsts = K.code_points(data)[at]
                 cuts = boundaries(np.frombuffer(text.encode("utf-32-le"), np.uint32), firsts[:-1])
@@ -237,3 +239,10 @@ def decode_tokens(tokens: DataFrame, vocabulary_path: str) -> DataFrame:
     """`tokens` (doc_id, ids) with decoded binary, the bytes that the ids stand for; null ids decode to none."""
     tokens = tokens.select("doc_id", "ids")
     return tokens.mapInArrow(_decode(vocabulary_path, ["doc_id", "ids"]), "doc_id long, ids array<int>, decoded binary")
+
+
+def round_trip(docs: DataFrame, vocabulary_path: str) -> DataFrame:
+    """doc_id, ids, decoded: encode_documents and decode_tokens one after the other in one Python worker."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    encode, decode = _encode(vocabulary_path), _decode(vocabulary_path, ["doc_id", "ids"])
+    return docs.mapInArrow(lambda batches: decode(encode(batches)), "doc_id long, ids array<int>, decoded binary")

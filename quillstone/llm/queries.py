@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import bpe, decontaminate, licences, quality, secrets, substring, suffixes, topk, warc
 from quillstone.llm.minhash import minhash_dedup
+from quillstone.llm.storage import modest
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -57,8 +59,7 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    tokens = bpe.decode_tokens(bpe.encode_documents(_table(spark, sf_dir, "documents"), path), path)
+    tokens = bpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path())
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
