@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from quillstone.llm import bpe, decontaminate, quality, secrets
 from quillstone.llm.minhash import minhash_dedup
 from quillstone.llm.queries import tokenizer_path
-from quillstone.llm.storage import cut
+from quillstone.llm.storage import cut, modest
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (score of at least 0.3)."""
+    modest(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label"))
     model = quality.train(docs, labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
     return quality.score(docs, model).where("score >= 0.3").select(*docs.columns)
@@ -45,8 +46,7 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens and the text decoded from the ids."""
-    path = tokenizer_path()
-    tokens = bpe.decode_tokens(bpe.encode_documents(docs, path), path)
+    tokens = bpe.round_trip(docs, tokenizer_path())
     return tokens.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.decode("decoded", "UTF-8").alias("decoded"))
 
 
