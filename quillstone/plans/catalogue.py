@@ -1,4 +1,6 @@
-"""The registered queries over the standard tables, with their SQL."""
+"""All registered queries over the standard tables, with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from quillstone.plans import analysis, memory, ranked, relational, textual  # noqa: F401
+from quillstone.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
