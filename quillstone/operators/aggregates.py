@@ -89,6 +89,8 @@ def run_probe(samples: DataFrame, spec: str, target: str = "target") -> DataFram
     for name, kind, field in probe["collect"]:
         if kind == "count":
             made.append(F.count("*").alias(name))
+        elif kind == "hist":
+            continue
         elif kind[0] == "p":
             made.append(F.percentile_approx(field, F.lit(int(kind[1:]) / 100), F.lit(10_000)).alias(name))
         else:

@@ -74,9 +74,17 @@ class _Markdown(html.parser.HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=False)
         self.out: list[str] = []
+        self.text: list[str] = []  # between two tags; entities split it
         self.skip, self.pre, self.links = 0, 0, []
 
+    def flush(self):
+        data = "".join(self.text)
+        self.text.clear()
+        if not self.skip and (self.pre or data.strip()):
+            self.out.append(data if self.pre else re.sub(r"\s+", " ", data))
+
     def handle_starttag(self, tag, attrs):
+        self.flush()
         attrs = dict(attrs)
         if tag in ("script", "style"):
             self.skip += 1
@@ -102,6 +110,7 @@ class _Markdown(html.parser.HTMLParser):
             self.out.append(f"![{attrs.get('alt') or ''}]({attrs.get('src') or ''})")
 
     def handle_endtag(self, tag):
+        self.flush()
         if tag in ("script", "style"):
             self.skip = max(0, self.skip - 1)
         elif tag == "pre":
@@ -115,15 +124,14 @@ class _Markdown(html.parser.HTMLParser):
             self.out.append("\n")
 
     def handle_data(self, data):
-        if not self.skip and (self.pre or data.strip()):
-            self.out.append(data if self.pre else re.sub(r"\s+", " ", data))
+        self.text.append(data)
 
     def handle_entityref(self, name):
-        self.handle_data(dict(X.ENTITIES).get(f"&{name};", f"&{name};")) if name != "nbsp" else self.out.append(" ")
+        self.text.append(dict(X.ENTITIES).get(f"&{name};", f"&{name};"))
 
     def handle_charref(self, name):
         try:
-            self.handle_data(chr(int(name[1:], 16) if name[:1] in "xX" else int(name)))
+            self.text.append(chr(int(name[1:], 16) if name[:1] in "xX" else int(name)))
         except (ValueError, OverflowError):
             pass
 
@@ -133,6 +141,7 @@ def markdown(source: str | None) -> str:
     reader = _Markdown()
     reader.feed(source or "")
     reader.close()
+    reader.flush()
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", "".join(reader.out))).strip()
 
 
