@@ -18,19 +18,33 @@ import tempfile
 import numpy as np
 
 
-class _Column:
-    """A byte column in a file; a round reads the old file and writes the next one in order."""
+class _Pairs:
+    """The list's symbols and common prefixes, two bytes an entry, in a file; a round reads the old
+    file and writes the next one, both from front to back."""
 
-    def __init__(self, folder: str, name: str):
-        self.paths = [os.path.join(folder, f"{name}.{i}") for i in (0, 1)]
-        self.now = 0
+    def __init__(self, folder: str):
+        self.files = [open(os.path.join(folder, f"pairs.{i}"), "wb+", buffering=0) for i in (0, 1)]  # noqa: SIM115
+        self.sizes, self.now = [0, 0], 0
 
     def read(self) -> np.ndarray:
-        return np.fromfile(self.paths[self.now], np.uint8)
-
-    def write(self, values: np.ndarray) -> None:
+        out = np.empty(self.sizes[self.now], np.uint16)
+        self.files[self.now].seek(0)
+        view = memoryview(out).cast("B")
+        while view:
+            view = view[self.files[self.now].readinto(view) :]
+        return out
+
+    def write(self, pairs: np.ndarray) -> None:
         self.now ^= 1
-        values.tofile(self.paths[self.now])
+        self.files[self.now].seek(0)
+        view = memoryview(pairs).cast("B")
+        while view:
+            view = view[self.files[self.now].write(view) :]
+        self.sizes[self.now] = len(pairs)
+
+    def close(self) -> None:
+        for f in self.files:
+            f.close()
 
 
 def column_wise(text: np.ndarray, offsets: np.ndarray, cap: int = 255, folder: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,42 +66,40 @@ def column_wise(text: np.ndarray, offsets: np.ndarray, cap: int = 255, folder: s
         return np.where(lengths[which] > length, symbols[np.maximum(at, 0)], 0).astype(np.uint8)
 
     with tempfile.TemporaryDirectory(dir=folder) as place:
-        bwt, lcp = _Column(place, "bwt"), _Column(place, "lcp")
+        pairs = _Pairs(place)
         everyone = np.arange(m)
-        bwt.write(before(everyone, 0) if m else np.zeros(0, np.uint8))
-        lcp.write(np.zeros(m, np.uint8))
+        pairs.write(before(everyone, 0).astype(np.uint16) << 8 if m else np.zeros(0, np.uint16))
         new_at, new_string = everyone, everyone  # list positions of the last round's suffixes, ascending, and their strings
         for length in range(1, int(lengths.max(initial=0)) + 1):
-            old, common = bwt.read(), lcp.read()
-            n = len(old)
-            order = np.argsort(old, kind="stable")  # by symbol, then position: the list order of the suffixes they begin
-            zeros = n - np.count_nonzero(old)
-            slot = np.zeros(n, np.int32)
-            slot[new_at] = np.arange(1, len(new_at) + 1)
-            found = slot[order]
-            found[:zeros] = 0  # a finished string adds no suffix
-            k = np.flatnonzero(found)
-            which = new_string[found[k] - 1]
-            at = m + k - zeros  # where the new suffixes stand in the list with them
+            old = pairs.read()
+            symbol, n = (old >> 8).astype(np.uint8), len(old)
+            order = np.argsort(symbol, kind="stable")  # by symbol, then position: the list order of the suffixes they begin
+            zeros = n - np.count_nonzero(symbol)
+            is_new = np.zeros(n, bool)
+            is_new[new_at] = True
+            is_new = is_new[order]
+            is_new[:zeros] = False  # a finished string adds no suffix
+            k = np.flatnonzero(is_new)
             here = order[k]
+            which = new_string[np.searchsorted(new_at, here)]
+            at = m + k - zeros  # where the new suffixes stand in the list with them
             # Least common prefix from the same symbol's previous occurrence to this one, and from this one to the next.
             back, ahead = order[np.maximum(k - 1, 0)], order[np.minimum(k + 1, n - 1)]
-            same_back, same_ahead = (k > zeros) & (old[back] == old[here]), (k + 1 < n) & (old[ahead] == old[here])
-            padded = np.append(common, np.uint8(0))
-            with_back, with_ahead = _least(padded, back, here, same_back), _least(padded, here, ahead, same_ahead)
-            size = n + len(k)
-            keep = np.ones(size, bool)
+            same_back, same_ahead = (k > zeros) & (symbol[back] == symbol[here]), (k + 1 < n) & (symbol[ahead] == symbol[here])
+            common = np.empty(n + 1, np.uint8)
+            common[:n], common[n] = old & 0xFF, 0
+            with_back, with_ahead = _least(common, back, here, same_back), _least(common, here, ahead, same_ahead)
+            keep = np.ones(n + len(k), bool)
             keep[at] = False
-            fresh_bwt, fresh_lcp = np.empty(size, np.uint8), np.empty(size + 1, np.uint8)
-            fresh_bwt[keep] = old
-            fresh_lcp[:size][keep] = common
-            fresh_bwt[at] = before(which, length)
-            fresh_lcp[at + 1] = np.where(same_ahead, np.minimum(with_ahead.astype(np.int32) + 1, cap), 0)
-            fresh_lcp[at] = np.where(same_back, np.minimum(with_back.astype(np.int32) + 1, cap), 0)
-            bwt.write(fresh_bwt)
-            lcp.write(fresh_lcp[:size])
+            fresh = np.empty(n + len(k) + 1, np.uint16)
+            fresh[:-1][keep] = old
+            fresh[at + 1] = fresh[at + 1] & 0xFF00 | np.where(same_ahead, np.minimum(with_ahead.astype(np.uint16) + 1, cap), 0).astype(np.uint16)
+            fresh[at] = before(which, length).astype(np.uint16) << 8 | np.where(same_back, np.minimum(with_back.astype(np.uint16) + 1, cap), 0).astype(np.uint16)
+            pairs.write(fresh[:-1])
             new_at, new_string = at, which
-        return bwt.read(), lcp.read(), code
+        found = pairs.read()
+        pairs.close()
+        return (found >> 8).astype(np.uint8), (found & 0xFF).astype(np.uint8), code
 
 
 def _least(values: np.ndarray, low: np.ndarray, high: np.ndarray, use: np.ndarray) -> np.ndarray:

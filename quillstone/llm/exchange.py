@@ -115,9 +115,9 @@ def with_replies(dealt: DataFrame, replies: DataFrame, use: Callable, schema: st
     return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema)
 
 
-def each(batch: pa.RecordBatch):
+def each(batch: pa.RecordBatch, limit: int = K.STEP_BYTES):
     """(first row, slice) of the steps of a chunk."""
     first = 0
-    for part in K.slices(batch):
+    for part in K.slices(batch, limit=limit):
         yield first, part
         first += part.num_rows

@@ -23,52 +23,48 @@ from quillstone.llm.bwt import column_wise, suffixes
 
 #: Bytes of an anchor.
 ANCHOR = 20
-#: Buckets of strings for each bucket of hashes.
-FINER = 3
+#: Buckets of strings for each bucket of hashes: a collection of some thousand strings stays in a core's cache.
+FINER = 12
+#: Text bytes of a step.
+STEP_BYTES = 1 << 20
 STRINGS = "bucket int, chunk long, texts binary, sizes binary, ids binary"
 
 
-def anchored(data: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The runs of windows with one anchor: its hash, first and last window start, and the row."""
-    hashes, n = K.rolling(data, ANCHOR), len(data) - window + 1
+def anchored(data: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of windows with one anchor: its hash, first and last window start, the row, and a hash of the run's string."""
+    none = np.zeros(0, np.int64)
+    n = len(data) - window + 1
     if n <= 0:
-        none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none, none
-    value, place = (hashes >> np.uint64(32)).astype(np.uint32), np.arange(len(hashes), dtype=np.int32)
+        return none.astype(np.uint64), none, none, none, none.astype(np.uint64)
+    up, down = K.powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    hashes = K.mix((sums[ANCHOR:] - sums[:-ANCHOR]) * down[: len(data) - ANCHOR + 1])
+    # Hash above, place below: the least of a window is its smallest hash, the leftmost of equal ones.
+    least = hashes & np.uint64(0xFFFFFFFF00000000)
+    least |= np.arange(len(hashes), dtype=np.uint64)
     width, reach = window - ANCHOR + 1, 1
-
-    def join(step: int) -> None:
-        nonlocal value, place
-        right = value[step:] < value[:-step]  # of equal ones the leftmost stays
-        value, place = np.where(right, value[step:], value[:-step]), np.where(right, place[step:], place[:-step])
-
-    while 2 * reach <= width:
-        join(reach)
-        reach *= 2
-    if reach < width:
-        join(width - reach)
+    while reach < width:
+        step = min(reach, width - reach)
+        least = np.minimum(least[step:], least[:-step])
+        reach += step
     whole = np.zeros(len(data) + 1, np.int32)
     long = np.diff(at) >= window
     whole[at[:-1][long]] += 1
     whole[at[1:][long] - window + 1] -= 1
     starts = np.flatnonzero(np.cumsum(whole)[:n] > 0)
     if not len(starts):
-        none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none, none
-    place = place[starts]
+        return none.astype(np.uint64), none, none, none, none.astype(np.uint64)
+    place = (least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     new = np.ones(len(starts), bool)
     new[1:] = (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
-    return hashes[place[first]], starts[first], starts[last], np.searchsorted(at, starts[first], "right") - 1
-
-
-def _spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of (overlapping) spans of a step's bytes."""
-    up, down = K.powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return K.mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    # Mixed once more: hashes that won as the least are small, and buckets are ranges.
+    anchor, begin, end = K.mix(hashes[place[first]]), starts[first], starts[last]
+    stop = end + window
+    key = K.mix((sums[stop] - sums[begin]) * down[begin] + (stop - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return anchor, begin, end, np.searchsorted(at, begin, "right") - 1, key
 
 
 class _Chunk:
@@ -77,10 +73,10 @@ class _Chunk:
     def __init__(self, batch: pa.RecordBatch, window: int):
         self.window = window
         parts, base, found = [], 0, []
-        for row, part in X.each(batch):
+        for row, part in X.each(batch, STEP_BYTES):
             data, at = K.utf8(part.column("text"))
-            anchor, first, last, rows = anchored(data, at, window)
-            found.append((anchor, first + base, last + base, rows + row, _spans(data, first, last + window)))
+            anchor, first, last, rows, key = anchored(data, at, window)
+            found.append((anchor, first + base, last + base, rows + row, key))
             parts.append((data, at + base))
             base += len(data)
         self.data = np.concatenate([d for d, _ in parts]) if parts else np.zeros(0, np.uint8)
