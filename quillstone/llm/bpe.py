@@ -192,7 +192,7 @@ def _encode(path: str):
                 data, at, text = K.valid(part)
                 firsts = K.code_points(data)[at]
                 cuts = boundaries(np.frombuffer(text.encode("utf-32-le"), np.uint32), firsts[:-1])
-                stops = np.append(cuts[1:], len(text))
+                stops = np.append(cuts[1:], len(text))[: len(cuts)]  # none where all texts are empty
                 found = list(map(pieces.__getitem__, [text[a:b] for a, b in zip(cuts.tolist(), stops.tolist(), strict=True)]))
                 sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
                 rows = np.searchsorted(cuts, firsts)
