@@ -67,14 +67,14 @@ def column_wise(text: np.ndarray, offsets: np.ndarray, cap: int = 255, folder: s
 
     with tempfile.TemporaryDirectory(dir=folder) as place:
         pairs = _Pairs(place)
-        everyone = np.arange(m)
+        everyone, lengths_sorted = np.arange(m), np.sort(lengths)
         pairs.write(before(everyone, 0).astype(np.uint16) << 8 if m else np.zeros(0, np.uint16))
         new_at, new_string = everyone, everyone  # list positions of the last round's suffixes, ascending, and their strings
         for length in range(1, int(lengths.max(initial=0)) + 1):
             old = pairs.read()
             symbol, n = (old >> 8).astype(np.uint8), len(old)
             order = np.argsort(symbol, kind="stable")  # by symbol, then position: the list order of the suffixes they begin
-            zeros = n - np.count_nonzero(symbol)
+            zeros = int(np.searchsorted(lengths_sorted, length - 1, "right"))  # strings that have ended
             is_new = np.zeros(n, bool)
             is_new[new_at] = True
             is_new = is_new[order]

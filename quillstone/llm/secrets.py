@@ -91,7 +91,8 @@ def _tally(batches):
             starts, ends, _ = _runs(data, at)
             random = marked[starts] & (ends - starts >= MIN_TOKEN)
             touched = np.concatenate([[0], np.cumsum(marked)])
-            ordinary = touched[ends] == touched[starts]
+            # Unmarked tokens of a candidate's length are not labelled: no candidate is its own sample.
+            ordinary = (touched[ends] == touched[starts]) & (ends - starts < MIN_TOKEN)
             totals[0] += _count(data, starts[ordinary], ends[ordinary])
             totals[1] += _count(data, starts[random], ends[random])
     used = np.flatnonzero(totals.sum(0))

@@ -23,11 +23,12 @@ from quillstone.llm.bwt import column_wise, suffixes
 
 #: Bytes of an anchor.
 ANCHOR = 20
-#: Buckets of strings for each bucket of hashes: a collection of some thousand strings stays in a core's cache.
-FINER = 12
+#: Buckets of strings for each bucket of hashes, and collections of a bucket: one of a thousand or two
+#: strings stays in a core's cache, where the rounds take a third of the time.
+FINER, COLLECTIONS = 12, 4
 #: Text bytes of a step.
 STEP_BYTES = 1 << 20
-STRINGS = "bucket int, chunk long, texts binary, sizes binary, ids binary"
+STRINGS = "bucket int, chunk long, texts binary, sizes binary, ids binary, counts array<int>"
 
 
 def anchored(data: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -39,7 +40,8 @@ def anchored(data: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray,
     up, down = K.powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    hashes = K.mix((sums[ANCHOR:] - sums[:-ANCHOR]) * down[: len(data) - ANCHOR + 1])
+    hashes = sums[ANCHOR:] - sums[:-ANCHOR]
+    hashes *= down[: len(hashes)]
     # Hash above, place below: the least of a window is its smallest hash, the leftmost of equal ones.
     least = hashes & np.uint64(0xFFFFFFFF00000000)
     least |= np.arange(len(hashes), dtype=np.uint64)
@@ -60,7 +62,7 @@ def anchored(data: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray,
     new[1:] = (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
-    # Mixed once more: hashes that won as the least are small, and buckets are ranges.
+    # Mixed here: hashes that won as the least are small, and buckets are ranges.
     anchor, begin, end = K.mix(hashes[place[first]]), starts[first], starts[last]
     stop = end + window
     key = K.mix((sums[stop] - sums[begin]) * down[begin] + (stop - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -123,42 +125,55 @@ def _strings(window: int, buckets: int):
         _, firsts, _ = c.strings(replies, buckets)
         ids = X.rank_ids(batch)[c.row[firsts]]
         sizes = c.last[firsts] - c.first[firsts] + window
-        cuts = X.bucket_cuts(c.anchor[firsts], buckets * FINER)
+        fine = X.bucket_cuts(c.anchor[firsts], buckets * FINER * COLLECTIONS)
+        cuts, counts = fine[::COLLECTIONS], np.diff(fine).reshape(-1, COLLECTIONS)
         used = [b for b in range(buckets * FINER) if cuts[b] < cuts[b + 1]]
         pack = lambda x: pa.array([x[cuts[b] : cuts[b + 1]].tobytes() for b in used], pa.binary())
         texts = pa.array([_gather(c.data, c.first[firsts[cuts[b] : cuts[b + 1]]], sizes[cuts[b] : cuts[b + 1]]).tobytes() for b in used], pa.binary())
-        return pa.table({"bucket": pa.array(used, pa.int32()), "chunk": pa.array([chunk] * len(used), pa.int64()), "texts": texts, "sizes": pack(sizes.astype(np.uint8)), "ids": pack(ids)})
+        return pa.table({"bucket": pa.array(used, pa.int32()), "chunk": pa.array([chunk] * len(used), pa.int64()), "texts": texts, "sizes": pack(sizes.astype(np.uint8)), "ids": pack(ids), "counts": pa.array([counts[b].tolist() for b in used], pa.list_(pa.int32()))})
 
     return run
 
 
+def _covered(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, window: int) -> np.ndarray:
+    """A bit for each window of each string of a collection that a string of a smaller doc_id has too."""
+    joined = _gather(text, starts, sizes)
+    ends = np.cumsum(sizes)
+    _, first, inverse = np.unique(K.span_hashes(joined, ends - sizes, ends), return_index=True, return_inverse=True)
+    order = np.argsort(inverse, kind="stable")
+    owner = np.minimum.reduceat(ids[order], np.searchsorted(inverse[order], np.arange(len(first))))
+    own = sizes[first]
+    bwt, common, _ = column_wise(_gather(joined, (ends - sizes)[first], own), np.concatenate([[0], np.cumsum(own)]), cap=window)
+    string, length = suffixes(bwt, own)
+    heads = np.flatnonzero(common < window)  # neighbours that share a window are one group; the first has no neighbour
+    full = length >= window
+    least = np.repeat(np.minimum.reduceat(np.where(full, owner[string], np.iinfo(np.int64).max), heads), np.diff(np.append(heads, len(string))))
+    width = int(own.max()) - window + 1
+    smallest = np.full((len(first), width), np.iinfo(np.int64).max)
+    smallest[string[full], own[string[full]] - length[full]] = least[full]
+    bits = np.zeros(len(ids), np.uint32)
+    for offset in range(width):
+        bits |= (smallest[inverse, offset] < ids).astype(np.uint32) << np.uint32(offset)
+    return bits
+
+
 def _repeats(window: int):
-    """For each offered string, a bit for each of its windows that a smaller doc_id has too."""
+    """A bucket's answers, collection by collection."""
 
     def run(table: pa.Table) -> pa.Table:
         get = lambda c, t: [np.frombuffer(x.as_buffer(), t) for x in table[c]]
         sizes = get("sizes", np.uint8)
-        counts = [len(x) for x in sizes]
+        lengths = [len(x) for x in sizes]
         text, sizes, ids = np.concatenate(get("texts", np.uint8)), np.concatenate(sizes).astype(np.int64), np.concatenate(get("ids", np.int64))
-        ends = np.cumsum(sizes)
-        _, first, inverse = np.unique(K.span_hashes(text, ends - sizes, ends), return_index=True, return_inverse=True)
-        order = np.argsort(inverse, kind="stable")
-        owner = np.minimum.reduceat(ids[order], np.searchsorted(inverse[order], np.arange(len(first))))
-        own = sizes[first]
-        bwt, common, _ = column_wise(_gather(text, (ends - sizes)[first], own), np.concatenate([[0], np.cumsum(own)]), cap=window)
-        string, length = suffixes(bwt, own)
-        starts = np.flatnonzero(common < window)  # neighbours that share a window are one group
-        if len(starts) == 0 or starts[0] != 0:
-            starts = np.append(0, starts)
-        full = length >= window
-        least = np.repeat(np.minimum.reduceat(np.where(full, owner[string], np.iinfo(np.int64).max), starts), np.diff(np.append(starts, len(string))))
-        width = int(own.max()) - window + 1
-        smallest = np.full((len(first), width), np.iinfo(np.int64).max)
-        smallest[string[full], own[string[full]] - length[full]] = least[full]
+        starts = np.cumsum(sizes) - sizes
+        counts = table["counts"].combine_chunks().flatten().to_numpy()
+        collection = np.repeat(np.tile(np.arange(COLLECTIONS), table.num_rows), counts)
         bits = np.zeros(len(ids), np.uint32)
-        for offset in range(width):
-            bits |= (smallest[inverse, offset] < ids).astype(np.uint32) << np.uint32(offset)
-        return X.reply(table, 1, np.split(bits, np.cumsum(counts)[:-1]))
+        for number in range(COLLECTIONS):
+            which = np.flatnonzero(collection == number)
+            if len(which):
+                bits[which] = _covered(text, starts[which], sizes[which], ids[which], window)
+        return X.reply(table, 1, np.split(bits, np.cumsum(lengths)[:-1]))
 
     return run
 
