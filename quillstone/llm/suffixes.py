@@ -50,11 +50,11 @@ def anchored(data: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray,
         step = min(reach, width - reach)
         least = np.minimum(least[step:], least[:-step])
         reach += step
-    whole = np.zeros(len(data) + 1, np.int32)
+    whole = np.zeros(len(data) + 1, np.int8)
     long = np.diff(at) >= window
     whole[at[:-1][long]] += 1
     whole[at[1:][long] - window + 1] -= 1
-    starts = np.flatnonzero(np.cumsum(whole)[:n] > 0)
+    starts = np.flatnonzero(np.cumsum(whole, dtype=np.int8)[:n] > 0)
     if not len(starts):
         return none.astype(np.uint64), none, none, none, none.astype(np.uint64)
     place = (least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -142,15 +142,23 @@ def _covered(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.nd
     _, first, inverse = np.unique(K.span_hashes(joined, ends - sizes, ends), return_index=True, return_inverse=True)
     order = np.argsort(inverse, kind="stable")
     owner = np.minimum.reduceat(ids[order], np.searchsorted(inverse[order], np.arange(len(first))))
-    own = sizes[first]
-    bwt, common, _ = column_wise(_gather(joined, (ends - sizes)[first], own), np.concatenate([[0], np.cumsum(own)]), cap=window)
-    string, length = suffixes(bwt, own)
-    heads = np.flatnonzero(common < window)  # neighbours that share a window are one group; the first has no neighbour
-    full = length >= window
-    least = np.repeat(np.minimum.reduceat(np.where(full, owner[string], np.iinfo(np.int64).max), heads), np.diff(np.append(heads, len(string))))
+    own, begin = sizes[first], (ends - sizes)[first]
+    # The alphabet is pairs of bytes: half the rounds.  A string enters twice, whole and without its last
+    # byte, so that every window begins at a symbol of one of the two.
+    pairs = (joined[:-1].astype(np.uint16) << 8) | joined[1:]
+    odd = np.repeat([0, 1], len(own))
+    length_of, start_of = np.tile(own, 2) - odd, np.tile(begin, 2)
+    count = length_of // 2
+    start_of = start_of + (length_of & 1)
+    where = np.repeat(start_of - 2 * (np.cumsum(count) - count), count) + 2 * np.arange(count.sum())
+    bwt, common, _ = column_wise(pairs[where], np.concatenate([[0], np.cumsum(count)]), cap=window // 2)
+    string, length = suffixes(bwt, count)
+    heads = np.flatnonzero(common < window // 2)  # neighbours that share a window are one group; the first has no neighbour
+    full = length >= window // 2
+    least = np.repeat(np.minimum.reduceat(np.where(full, np.tile(owner, 2)[string], np.iinfo(np.int64).max), heads), np.diff(np.append(heads, len(string))))
     width = int(own.max()) - window + 1
     smallest = np.full((len(first), width), np.iinfo(np.int64).max)
-    smallest[string[full], own[string[full]] - length[full]] = least[full]
+    smallest[string[full] % len(own), length_of[string[full]] - 2 * length[full]] = least[full]
     bits = np.zeros(len(ids), np.uint32)
     for offset in range(width):
         bits |= (smallest[inverse, offset] < ids).astype(np.uint32) << np.uint32(offset)
@@ -182,7 +190,7 @@ def _cleaned(window: int, buckets: int):
     def run(batch: pa.RecordBatch, chunk: int, replies: pa.Table) -> pa.Table:
         c = _Chunk(batch, window)
         runs, firsts, group = c.strings(replies, buckets)
-        cover = np.zeros(len(c.data) + window + 1, np.int32)
+        cover = np.zeros(len(c.data) + window + 1, np.int8)  # at most one window starts at a byte, so counts stay below window
         if len(runs):
             bits = X.answers(replies, 1, c.anchor[firsts], buckets * FINER, np.uint32)[group]
             ids = X.rank_ids(batch)
@@ -192,18 +200,17 @@ def _cleaned(window: int, buckets: int):
                 at = at[(bits >> np.uint32(offset) & np.uint32(1)).astype(bool) & (at <= c.last[runs])]
                 cover[at] += 1  # a window start is in one run only
                 cover[at + window] -= 1
-        gone = np.cumsum(cover)[: len(c.data)] > 0
-        total = np.concatenate([[0], np.cumsum(gone)])
+        gone = np.cumsum(cover, dtype=np.int8)[: len(c.data)] > 0
         edge = gone.copy()
         edge[1:] &= ~gone[:-1]
         heads = c.at[:-1][c.at[:-1] < len(gone)]
         edge[heads] = gone[heads]
-        edges = np.concatenate([[0], np.cumsum(edge)])
-        offsets = (np.arange(len(total)) - total)[c.at]
+        removed, spans = np.searchsorted(np.flatnonzero(gone), c.at), np.searchsorted(np.flatnonzero(edge), c.at)
+        offsets = c.at - removed
         kept = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(c.data[~gone].tobytes())])
         return pa.table({
-            "doc_id": batch.column("doc_id").cast(pa.int64()), "n_bytes": pa.array(np.diff(c.at), pa.int64()), "n_removed": pa.array(np.diff(total[c.at]), pa.int64()),
-            "n_spans": pa.array(np.diff(edges[c.at]), pa.int64()), "kept_bytes": kept.cast(pa.binary()),
+            "doc_id": batch.column("doc_id").cast(pa.int64()), "n_bytes": pa.array(np.diff(c.at), pa.int64()), "n_removed": pa.array(np.diff(removed), pa.int64()),
+            "n_spans": pa.array(np.diff(spans), pa.int64()), "kept_bytes": kept.cast(pa.binary()),
         })
 
     return run
@@ -217,7 +224,7 @@ def suffix_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     smaller doc_id; strings are judged on the input and never cross documents.
     A null text is empty; a null doc_id counts as larger than all others; rows
     of one doc_id take nothing from each other.  No rows give no rows.
-    `window` is 21 to 51, as a string has at most 32 windows.
+    `window` is even and 22 to 50, as a string has at most 32 windows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     dealt, buckets = X.deal(docs)
