@@ -313,6 +313,6 @@ def import_edges(records: DataFrame) -> DataFrame:
 
 def imported_symbols(terms: DataFrame, symbols: DataFrame, repos: DataFrame, kv: DataFrame, current: str, k: int = 3) -> DataFrame:
     """Symbol records of imported names in the first k repositories that match the import terms."""
-    matched = repositories_for(terms, repos.where(F.col("repo") != current)).orderBy("repo").limit(k)
-    wanted = matched.crossJoin(F.broadcast(symbols.select("symbol").distinct())).select(F.concat_ws("/", "repo", F.lit("symbols"), "symbol").alias("key"))
-    return kv.join(F.broadcast(wanted), "key").select("key", "value")
+    matched = repositories_for(terms, repos.where(F.col("repo") != current)).orderBy("repo").limit(k)  # k rows, so they may be broadcast
+    wanted = symbols.select("symbol").distinct().crossJoin(F.broadcast(matched)).select(F.concat_ws("/", "repo", F.lit("symbols"), "symbol").alias("key"))
+    return kv.join(wanted, "key").select("key", "value")
