@@ -5,7 +5,7 @@ length; the blocks are the index.  Every rolling block-long run of words probes
 it.  A window of twice the block's length contains a whole block of any place
 where its words stand, wherever that place's blocks begin, so a window without
 a hit cannot repeat.  Hits are extended to windows: all windows around a hit
-meet by a 128-bit hash of their words, the earliest place wins, and the
+meet by a 96-bit hash of their words, the earliest place wins, and the
 remaining windows of a document unite to maximal repeats.
 """
 
@@ -31,6 +31,15 @@ def _rolling(words: np.ndarray, k: int, seed: int) -> np.ndarray:
     return K.mix(acc)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second bytes and so on: planes that are alike compress well."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _values(raw, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 class _Chunk:
     """Words of a chunk's documents, all rolling block hashes, and which of them are whole."""
 
@@ -67,8 +76,8 @@ class _Chunk:
         starts = np.flatnonzero((np.cumsum(near)[:-1] > 0) & (self.left >= self.window))
         if not len(starts):
             none = np.zeros(0, np.uint64)
-            return starts, none, none, none.astype(np.int64), none.astype(np.int64)
-        one, two = _rolling(self.words, self.window, 2)[starts], _rolling(self.words, self.window, 3)[starts]
+            return starts, none, none.astype(np.uint32), none.astype(np.int64), none.astype(np.int64)
+        one, two = _rolling(self.words, self.window, 2)[starts], _rolling(self.words, self.window, 3)[starts].astype(np.uint32)
         order = np.lexsort((two, one))  # stable: equal windows stay in the order of documents and starts
         new = np.ones(len(order), bool)
         new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
@@ -97,7 +106,7 @@ def _places(window: int, buckets: int):
         ids, offsets = X.rank_ids(batch)[row], (at - c.rows[row]).astype(np.int32)
         cuts = X.bucket_cuts(one, buckets)
         used = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-        pack = lambda x: pa.array([x[cuts[b] : cuts[b + 1]].tobytes() for b in used], pa.binary())
+        pack = lambda x: pa.array([_planes(x[cuts[b] : cuts[b + 1]]) for b in used], pa.binary())
         return pa.table({"bucket": pa.array(used, pa.int32()), "chunk": pa.array([chunk] * len(used), pa.int64()), "hashes": pack(one), "others": pack(two), "ids": pack(ids), "starts": pack(offsets)})
 
     return run
@@ -105,10 +114,10 @@ def _places(window: int, buckets: int):
 
 def _earliest(table: pa.Table) -> pa.Table:
     """For each offered window, whether no equal one has an earlier place."""
-    get = lambda c, t: [np.frombuffer(x.as_buffer(), t) for x in table[c]]
+    get = lambda c, t: [_values(x.as_buffer(), t) for x in table[c]]
     one = get("hashes", np.uint64)
     sizes = [len(x) for x in one]
-    one, two, ids, starts = np.concatenate(one), np.concatenate(get("others", np.uint64)), np.concatenate(get("ids", np.int64)), np.concatenate(get("starts", np.int32))
+    one, two, ids, starts = np.concatenate(one), np.concatenate(get("others", np.uint32)), np.concatenate(get("ids", np.int64)), np.concatenate(get("starts", np.int32))
     order = np.lexsort((starts, ids, two, one))
     new = np.ones(len(order), bool)
     new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
