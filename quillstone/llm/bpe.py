@@ -34,7 +34,9 @@ NUMBERS_16 = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x161
 LETTER, NUMBER, OTHER, SHORT, LONG, SPACE, GLUE, LONE = range(8)
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHER, IN_SPACE, GLUED, ONE_MORE, TWO_MORE = range(8)
 #: Finished pieces that the cache of one Python worker keeps.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 400_000
+#: Bytes up to which a piece is merged by looking at all its pairs.
+SHORT_PIECE = 48
 #: Text bytes of a step: its pieces are Python strings for a while.
 STEP_BYTES = 1 << 20
 _LANE = 256
@@ -138,6 +140,8 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if piece in ranks:
         return [ranks[piece]]
     n = len(piece)
+    if n <= SHORT_PIECE:
+        return _merge_short(piece, ranks)
     end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
     alive = [True] * n
     heap = [(ranks[piece[i : i + 2]], i, i + 1, i + 2) for i in range(n - 1) if piece[i : i + 2] in ranks]
@@ -159,6 +163,25 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
 
+def _merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """merge() for pieces of a few bytes, where looking at all pairs costs less than a heap."""
+    get, none = ranks.get, 1 << 60
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    pairs = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+    while pairs:
+        least = min(pairs)
+        if least == none:
+            break
+        i = pairs.index(least)
+        parts[i] += parts.pop(i + 1)
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = get(parts[i] + parts[i + 1], none)
+        if i:
+            pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+    return [ranks[p] for p in parts]
+
+
 class _Pieces(dict):
     """Piece -> its ids as int32 bytes."""
 
