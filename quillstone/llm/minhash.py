@@ -24,8 +24,8 @@ from quillstone.llm.storage import cut
 #: Bands and signature values a band.  With 30 bands of 5 values a pair of
 #: similarity 0.85 shares no band with probability 2e-8, one of 0.80 with 7e-6.
 BANDS, ROWS = 30, 5
-#: Most members of a residual bucket that one task compares with as many others.
-BLOCK = 4096
+#: Shingles (8 bytes each) of the members of a residual bucket that one task compares with as many others.
+BLOCK_SHINGLES = 2 << 20
 _TILE, _COLUMNS = 512, 8192
 
 
@@ -185,9 +185,9 @@ def minhash_dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, ba
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = cut(docs.mapInArrow(_profile(k, bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "profile")
     usable = base.where("n_shingles > 0 and doc_id is not null")
-    nodes = usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
+    nodes = usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"))
     nodes = cut(nodes, "nodes")
-    members = nodes.select("node", F.explode("bands").alias("key"))
+    members = nodes.select("node", "size", F.explode("bands").alias("key"))
     sized = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot"), F.max("node").alias("top")).where("n > 1 and pivot <> top").drop("top")
     members = cut(members.join(sized, "key"), "members")
 
@@ -202,9 +202,9 @@ def minhash_dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, ba
 
     found = connected_components(links)
     rest = members.where("n > 2 and node <> pivot").join(found.toDF("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rest = cut(rest.select("key", "node", "comp"), "rest")
-    mixed = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low <> high")
-    rest = rest.join(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
+    rest = cut(rest.select("key", "node", "size", "comp"), "rest")
+    mixed = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum("size").alias("size")).where("low <> high")
+    rest = rest.drop("size").join(mixed.select("key", F.ceil(F.col("size") / BLOCK_SHINGLES).cast("int").alias("blocks")), "key")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("key", "node", "comp", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))

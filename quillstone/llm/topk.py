@@ -1,6 +1,6 @@
 """Exact top-k inner products by block-at-a-time pruning.
 
-Vectors are dealt into shards of consecutive ids and a shard into blocks.  A
+Vectors are dealt into shards, and a shard's into blocks of consecutive ids.  A
 block keeps the largest and smallest value of every dimension, so for a query
 the sum of the larger products bounds all its scores.  Each query visits the
 blocks of a shard in the order of their bounds and scores through the block's
@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a shard (one task's unit of work), of a block, and queries compared at a time.
-SHARD, BLOCK, QUERIES = 8192, 128, 1024
+#: Vectors of a shard, of a block, queries that meet a shard in one task, and queries compared at a time.
+SHARD, BLOCK, QUERY_BLOCK, QUERIES = 8192, 128, 16384, 1024
 #: Sums of products beyond this are not exact in float64; such shards are scored in int64.
 _EXACT = 1 << 53
 
@@ -93,19 +93,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD
     Vectors are compared with queries of the same length only.  A query with
     fewer candidates gets all of them; empty tables give no rows.  Of repeated
     ids each distinct vector counts, the largest score once: an id appears once
-    in a query's result.  The stated queries go to every shard of vectors; a
-    shard returns k rows for each query, and a window per query merges them.
+    in a query's result.  Blocks of the stated queries meet shards of vectors, a
+    pair to a task at a time; a pair returns k rows for each query, and a window
+    per query merges them.
     """
     sized = vectors.withColumn("d", F.size("v")).where("d > 0").dropDuplicates(["vec_id", "v"])
-    # Shards are ranges of vec_id of equal width, one for so many rows.
-    stats = sized.agg(F.min("vec_id").alias("low"), F.max("vec_id").alias("high"), F.count("*").alias("n")).first()
-    if not stats.n:
+    rows = sized.count()
+    if not rows:
         return queries.select("query_id").limit(0).select("query_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("score"))
-    shards = -(-stats.n // shard)
-    width = -(-(stats.high - stats.low + 1) // shards)
-    dealt = sized.withColumn("shard", F.floor((F.col("vec_id") - stats.low) / width).cast("int"))
-    asked = queries.withColumn("d", F.size("v")).dropDuplicates(["query_id", "v"]).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = dealt.groupBy("shard", "d").cogroup(asked.groupBy("shard", "d")).applyInArrow(_search(k), "query_id long, vec_id long, score long")
+    # Shards by a hash, so that they are even however ids are spread; a shard's blocks are ranges of its ids.
+    shards = -(-rows // shard)
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = sized.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("block", every(blocks))
+    asked = queries.withColumn("d", F.size("v")).dropDuplicates(["query_id", "v"]).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
+    found = dealt.groupBy("shard", "block", "d").cogroup(asked.groupBy("shard", "block", "d")).applyInArrow(_search(k), "query_id long, vec_id long, score long")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

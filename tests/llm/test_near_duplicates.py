@@ -50,8 +50,8 @@ def test_no_rows(spark):
 
 
 def test_many_members_in_blocks(spark, monkeypatch):
-    """Residual buckets of more members than a block are compared in pairs of blocks."""
-    monkeypatch.setattr(minhash, "BLOCK", 8)
+    """Residual buckets of more shingles than a block are compared in pairs of blocks."""
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 450)
     rng = np.random.default_rng(3)
     core = [f"c{i}" for i in range(60)]
     rows = []
