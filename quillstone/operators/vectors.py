@@ -72,7 +72,7 @@ def batch_top_k(vectors: DataFrame, queries: np.ndarray, query_ids: list[int], k
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def hashed_top_k(vectors: DataFrame, query: list[float], k: int = 10, bits: int = 8, tables: int = 12, seed: int = 7, name: str = "key") -> DataFrame:
+def hashed_top_k(vectors: DataFrame, query: list[float], k: int = 10, bits: int = 3, tables: int = 12, seed: int = 7, name: str = "key") -> DataFrame:
     """Approximate: only vectors that share a sign-hash bucket with the query are scored exactly.
 
     Hyperplanes come from a seed, so the hash is a column expression; for large tables

@@ -43,7 +43,7 @@ def vec_batch_topk(spark, d):
 
 @query()
 def vec_hashed_topk(spark, d):
-    return R.hashed_top_k(_vectors(spark, d), QUERY, 10, bits=3, tables=4, name="vec_id").select("vec_id", rounded("score").alias("score"))
+    return R.hashed_top_k(_vectors(spark, d), QUERY, 10, name="vec_id").select("vec_id", rounded("score").alias("score"))
 
 
 @query(f"select vec_id, round(sqrt(list_inner_product(n, n)), 6) as length from (select vec_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) as n from {_E})")
