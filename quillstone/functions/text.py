@@ -82,7 +82,7 @@ def tag_tokens(text: Column) -> Column:
 
 def word_tokens(text: Column) -> Column:
     """Lower-cased ASCII words of two characters at least, cut to 63."""
-    words = F.regexp_extract_all(ascii_lower(text), F.lit("[a-z0-9_]+"), 0)
+    words = F.split(ascii_lower(text), "[^a-z0-9_]+")
     return F.transform(F.filter(words, lambda w: F.length(w) >= 2), lambda w: F.substring(w, 1, 63))
 
 

@@ -18,8 +18,10 @@ COMPARE = {"==": lambda c, v: c == v, "!=": lambda c, v: c != v, ">": lambda c,
 
 def word_frequencies(texts: DataFrame, column: str = "text", mode: str = "term", least: int = MIN_COUNT) -> DataFrame:
     """word, df, idf = ln(texts / (df + 1)) + 1; df counts every occurrence, or texts in mode "document"."""
-    tokens = X.word_tokens(F.col(column))
-    words = texts.select(F.explode(F.array_distinct(tokens) if mode == "document" else tokens).alias("word"))
+    if mode == "document":
+        words = texts.select(F.explode(F.array_distinct(X.word_tokens(F.col(column)))).alias("word"))
+    else:  # the same words, tested and cut after they are rows, where the code is compiled
+        words = texts.select(F.explode(F.split(X.ascii_lower(F.col(column)), "[^a-z0-9_]+")).alias("word")).where(F.length("word") >= 2).select(F.substring("word", 1, 63).alias("word"))
     counts = words.groupBy("word").agg(F.count("*").alias("df")).where(F.col("df") >= least)
     total = texts.agg(F.count("*").alias("_n"))
     return counts.crossJoin(F.broadcast(total)).select("word", "df", (F.log(F.col("_n") / (F.col("df") + 1)) + 1).alias("idf"))
