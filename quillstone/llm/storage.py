@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset, as in local tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not hasattr(shared_root, "own"):
-            shared_root.own = tempfile.mkdtemp(prefix="quillstone-")
-        root = f"file://{shared_root.own}"
-    return root.rstrip("/")
+from quillstone.sources.staging import shared_root
 
 
 def modest(spark: SparkSession, size: str = "4m") -> None:
@@ -25,12 +17,14 @@ def modest(spark: SparkSession, size: str = "4m") -> None:
 
 
 def fresh(spark: SparkSession, label: str) -> str:
-    """A new path under the shared folder, deleted when the driver's JVM ends."""
+    """A new path under the shared folder, with its file system, deleted when the driver's JVM ends."""
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.deleteOnExit(target)
+    # Readers outside Spark must not take a path of the default file system for a local one.
+    return re.sub("^file:/(?!/)", "file:///", system.makeQualified(target).toString())
 
 
 def cut(frame: DataFrame, label: str = "step") -> DataFrame:
