@@ -1,6 +1,6 @@
 """Secrets in texts: three fixed patterns, and character Markov models for the rest.
 
-Two first-order models over a 65-symbol alphabet, of random strings and of
+Two first-order models over 67 symbols and an end, of random strings and of
 ordinary identifiers, give each candidate token a log-likelihood ratio.  The
 ordinary model is counted over all words of the corpus that no pattern marks;
 the random model over the marked values and a seeded generator's strings.
@@ -119,7 +119,7 @@ def log_ratios(ordinary: np.ndarray, random: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame) -> np.ndarray:
-    """The ratio table from all of `docs`: an aggregate of at most 66 * 66 rows, whatever their number."""
+    """The ratio table from all of `docs`: an aggregate of at most 68 * 68 rows, whatever their number."""
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_tally, "pair int, ordinary long, random long")
     rows = counted.groupBy("pair").agg(F.sum("ordinary").alias("o"), F.sum("random").alias("r")).collect()
     ordinary, random = np.zeros(_N * _N, np.int64), _generated()
