@@ -139,7 +139,8 @@ def _residual(num: int, den: int):
         for i in left:
             for j in left:
                 ie, je = min(i + _TILE, len(node)), min(j + _TILE, len(node))
-                if j < i or comp[i] == comp[ie - 1] == comp[j] == comp[je - 1]:
+                # Where block p ends and q starts, a tile's ends may be of one component and its middle of others.
+                if j < i or min(comp[i:ie].min(), comp[j:je].min()) == max(comp[i:ie].max(), comp[j:je].max()):
                     continue
                 want = comp[i:ie, None] != comp[None, j:je]
                 want &= (np.minimum.outer(sizes[i:ie], sizes[j:je]) * den) >= num * np.maximum.outer(sizes[i:ie], sizes[j:je])

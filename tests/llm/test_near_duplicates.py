@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillstone.llm import minhash
@@ -65,6 +66,18 @@ def test_many_members_in_blocks(spark, monkeypatch):
     assert found == expected
 
 
+def test_links_of_a_tile_that_spans_two_blocks(monkeypatch):
+    """A tile [0, 90 | 0, 0] has one component at its ends and another in its middle."""
+    monkeypatch.setattr(minhash, "_TILE", 4)
+    members = [(i, 0, 0) for i in range(5)] + [(90, 90, 0)] + [(i, 0, 1) for i in range(10, 22)]
+    sets = [np.arange(20 * i, 20 * i + 20, dtype=np.uint64) for i, _, _ in members]
+    sets[5] = np.append(sets[-1][:-1], np.uint64(9999))  # 90 is near 21 only
+    node, comp, block = (pa.array(c, pa.int64()) for c in zip(*members, strict=True))
+    ends = [pa.array([x] * len(members), pa.int32()) for x in (0, 1)]
+    table = pa.table({"p": ends[0], "q": ends[1], "node": node, "comp": comp, "block": block, "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
+    assert minhash._residual(80, 100)(table).to_pylist() == [{"a": 90, "b": 21}]
+
+
 def test_min_max_signature_estimates_jaccard():
     rng = np.random.default_rng(9)
     pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2)
