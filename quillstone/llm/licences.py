@@ -1,6 +1,6 @@
 """Licences by sentence rules.
 
-Texts are cut into sentences and normalised; known sentences become
+Texts are normalised; known sentences, on one line or wrapped, become
 identifiers, all others are dropped.  A document's sequence of identifiers is
 then matched against rules, which are ordered sequences of identifiers: longer
 rules first, and what a rule has matched is used up.  All of it is a narrow
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Known licence sentences, normalised, with their identifiers.
@@ -67,33 +67,58 @@ RULES = (
     (("Unlicense",), "Unlicense"),
     (("AllRights",), "Proprietary"),
 )
+#: Further sentences as the published notices have them; the SQL of oracle() does not know these.
+PUBLISHED = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "MitGrant",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "AsIs",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "Gpl3Terms",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "Gpl2Terms",
+    "this source code form is subject to the terms of the mozilla public license v. 2.0": "Mpl2Ref",
+}
+PUBLISHED_RULES = (
+    (("FreeSoftware", "Gpl3Terms"), "GPL-3.0-or-later"),
+    (("FreeSoftware", "Gpl2Terms"), "GPL-2.0-or-later"),
+)
+#: First sentences of notices, which may follow a title and a copyright on the same line.
+_FIRST = ("permission is hereby granted free of charge to any person obtaining", "licensed under the apache license version 2.0 the license")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Sentences end at line ends, semicolons, and . ! ? : , ; before white space or the end.
+#: For the SQL of oracle(), where sentences end at every line end.
 BREAK, JUNK, HINT = r"[\n;]|[.!?:][\t\r ]|[.!?:]$", r"[^a-z0-9.]+", r"licens|copyright|permi|redistribut|software|warrant|rights|endorse|version"
+#: Sentences end at semicolons, at . ! ? : before white space or the end (not at "v."), and at lines without a letter or digit.
+#: A known sentence may also begin and end with a line; line ends within it are white space.
+_STOP, _OTHER = r"(?<!\bv)[.!?:](?=[\t\r\n ]|$)|\n[^a-z0-9\n]*(?=\n)", r"[^a-z0-9.;\n]+"
 
 
-def _normal(sentence: Column) -> Column:
-    """ASCII letters lower-cased, runs of other characters one space, no dots or spaces at the ends."""
-    return F.regexp_replace(F.regexp_replace(sentence, JUNK, " "), r"^[ .]+|[ .]+$", "")
+def _pattern(sentences) -> str:
+    """A regular expression of the known sentences between their bounds, longer ones first; an address is an end."""
+    def gaps(s: str) -> str:
+        # The published Apache notice has an empty line before its address.
+        return s.replace(".", r"\.").replace(" ", r"[ \n]+").replace(r"at[ \n]+http", r"at[ ;\n]+http")
+
+    known = "|".join(gaps(s) for s in sorted(sentences, key=len, reverse=True))
+    return rf"(?:(?:^|[;\n])[ .]*+|(?<= )(?={'|'.join(map(gaps, _FIRST))}))({known})(?=[ .]*+(?:[;\n]|$)|(?<=licenses license 2\.0) )"
 
 
 def scan_licences(docs: DataFrame) -> DataFrame:
     """doc_id, sentences array<string> (identifiers in order), licences array<string> (sorted, distinct).
 
     One row per row of `docs` (doc_id, text; other columns are ignored), from
-    built-in functions only and without a shuffle.  Null and empty texts have
+    built-in functions only and without a shuffle.  Known sentences are found on
+    one line and hard-wrapped, also behind comment signs.  Null and empty texts have
     empty arrays; doc_ids are carried along, null or repeated; no rows give no
     rows.
     """
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER, _LOWER)
-    known = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in pair))
-    likely = F.filter(F.split(text, BREAK), lambda s: s.rlike(HINT))
-    found = F.filter(F.transform(likely, lambda s: F.try_element_at(known, _normal(s))), lambda i: i.isNotNull())
+    sentences = SENTENCES | PUBLISHED
+    known = F.create_map(*(F.lit(x) for pair in sentences.items() for x in pair))
+    plain = F.regexp_replace(F.regexp_replace(text, _STOP, ";"), _OTHER, " ")
+    likely = F.when(text.rlike(HINT), F.regexp_extract_all(plain, F.lit(_pattern(sentences)), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    found = F.transform(likely, lambda s: F.element_at(known, F.regexp_replace(s, r"[ ;\n]+", " ")))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("sentences"))
     # Identifiers are kept as "<a><b>", so a rule is a substring; what it matched becomes "|".
     line = F.array_join(F.transform("sentences", lambda s: F.concat(F.lit("<"), s, F.lit(">"))), "")
     out = out.withColumn("_line", line).withColumn("_found", F.lit("").cast("string"))
-    for sequence, name in RULES:
+    for sequence, name in (*PUBLISHED_RULES, *RULES):
         rule = "".join(f"<{s}>" for s in sequence)
         hit = F.contains(F.col("_line"), F.lit(rule))
         out = out.select("doc_id", "sentences", F.when(hit, F.replace(F.col("_line"), F.lit(rule), F.lit("|"))).otherwise(F.col("_line")).alias("_line"), F.when(hit, F.concat("_found", F.lit(name + "\n"))).otherwise(F.col("_found")).alias("_found"))
@@ -102,7 +127,9 @@ def scan_licences(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """DuckDB SQL for the same rows, arrays joined by commas."""
+    """DuckDB SQL, arrays joined by commas: the same rows where each notice is made of SENTENCES on lines of their own.
+
+    It knows neither wrapped sentences nor PUBLISHED."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     cases = " ".join(f"when {quote(s)} then {quote(i)}" for s, i in SENTENCES.items())
     steps = reduce(

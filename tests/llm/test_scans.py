@@ -133,6 +133,82 @@ def test_licences(spark):
     assert licences.scan_licences(frame(spark, [])).collect() == []
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of
+this software and associated documentation files (the "Software"), to deal in
+the Software without restriction, including without limitation the rights to
+use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies
+of the Software, and to permit persons to whom the Software is furnished to do
+so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE FOR ANY CLAIM.
+"""
+GPL3 = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+"""
+GPL2 = """    This program is free software; you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation; either version 2 of the License, or
+    (at your option) any later version.
+"""
+APACHE = """   Copyright 2020 Someone
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+"""
+MPL = """  This Source Code Form is subject to the terms of the Mozilla Public
+  License, v. 2.0. If a copy of the MPL was not distributed with this
+  file, You can obtain one at http://mozilla.org/MPL/2.0/.
+"""
+NOTICES = [
+    (MIT, "MitGrant MitNotice AsIs", "MIT"), (GPL3, "FreeSoftware Gpl3Terms", "GPL-3.0-or-later"), (GPL2, "FreeSoftware GplTerms V2OrLater", "GPL-2.0-or-later"),
+    (APACHE, "ApacheGrant ApacheComply ApacheCopy", "Apache-2.0"), (BSD, "BsdGrant BsdSource BsdBinary BsdEndorse", "BSD-3-Clause"), (MPL, "Mpl2Ref", "MPL-2.0"),
+]
+
+
+def test_published_notices(spark):
+    """Wrapped, on one line, with other line ends, and in comments; a reference stays whole before a further line."""
+    forms = [lambda t: t, lambda t: " ".join(t.split()), lambda t: t.replace("\n", "\r\n"), lambda t: "".join(f" * {line}\n" for line in t.splitlines()), lambda t: "".join(f"# {line}".rstrip() + "\n" for line in t.splitlines())]
+    rows = [(len(forms) * i + j, form(text)) for i, (text, _, _) in enumerate(NOTICES) for j, form in enumerate(forms)]
+    rows += [(900, "intro\nReleased under the MIT License\nmore text"), (901, "Copyright 2020 Someone\n" + MIT.split("\n\n", 2)[2].replace("\n\n", "\n")), (902, "not released under the MIT License"), (903, ";|. " * 9 + "v. 2.0 software")]
+    found = {r.doc_id: r for r in licences.scan_licences(frame(spark, rows)).collect()}
+    for i, (_, sentences, name) in enumerate(NOTICES):
+        for j in range(len(forms)):
+            one = found[len(forms) * i + j]
+            assert (one.sentences, one.licences) == (sentences.split(), [name]), (i, j)
+    assert found[900].licences == ["MIT"] and found[901].sentences == NOTICES[0][1].split() and found[902].sentences == found[903].sentences == []
+    assert all(re.search(licences.HINT, s) for s in licences.SENTENCES | licences.PUBLISHED)
+
+
 def leaks(rows, items, k=5, threshold=0.8):
     def grams(words, n):
         return [tuple(words[j : j + n]) for j in range(len(words) - n + 1)]
