@@ -3,8 +3,9 @@
 A window of as many words as an item has is reduced to a 64-bit fingerprint of
 its shingles.  Fingerprints are compared byte by byte: of two within RADIUS
 bits, some byte differs in at most RADIUS // 8 bits, so a table for each of the
-eight bytes finds all items within the radius.  The weighted Jaccard similarity
-of the shingle counts then decides exactly.
+eight bytes finds all items within the radius.  Where a shingle repeats in the
+window or the item, a count of shared shingles finds the item instead.  The
+weighted Jaccard similarity of the shingle counts then decides exactly.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import kernel as K
 
-#: Two windows of similarity 0.8 differ in 10 of 64 bits on average, with a
-#: standard deviation of 3; beyond 26 the chance is under 1e-6.
+#: Two windows of similarity 0.8 and distinct shingles differ in 10 of 64 bits on average,
+#: with a standard deviation of 3; beyond 26 the chance is under 1e-6.  It does not hold
+#: for repeated shingles, whose votes add up; these are found by counts.
 RADIUS = 26
 #: Most bytes of item texts that are broadcast at a time; more items take more passes.
 ITEM_BYTES = 8 << 20
@@ -71,14 +73,17 @@ class Items:
             hits = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] == shingles)
             if not len(hits):
                 continue
-            sizes = {int(self.sizes[i]) for h in hits.tolist() for i in self.postings[int(shingles[h])]}
-            for size in sizes:
+            where: dict[int, list[int]] = defaultdict(list)
+            for h in hits.tolist():
+                for i in self.postings[int(shingles[h])]:
+                    where[i].append(h)
+            for size in {int(self.sizes[i]) for i in where}:
                 if min(size, self.k) != min(k, self.k) and len(words) >= self.k:
                     continue
-                self._windows(words, shingles, hits, size, threshold, best)
+                self._windows(words, shingles, hits, where, size, threshold, best)
         return best
 
-    def _windows(self, words, shingles, hits, size, threshold, best) -> None:
+    def _windows(self, words, shingles, hits, where, size, threshold, best) -> None:
         window = min(size, len(words))  # a document shorter than the item is one window
         k = len(words) - len(shingles) + 1
         width = window - k + 1
@@ -97,8 +102,18 @@ class Items:
         passes = np.zeros((len(starts), len(members)), bool)
         for byte in range(8):
             passes |= _NEAR[prints[:, byte][:, None], known[None, :, byte]]
-        for w, j in zip(*np.nonzero(passes), strict=True):
-            if int(np.bitwise_count(prints[w] ^ known[j]).sum()) > RADIUS:
+        again, counted = repeats(shingles)[starts] < starts + width, np.zeros_like(passes)
+        for j, item in enumerate(members.tolist()):
+            total = self.counts[item].total()
+            either = again | (len(self.counts[item]) < total)
+            if item in where and either.any():
+                # The intersection is at most the number of the window's shingles that the item has.
+                shared = np.zeros(len(shingles) + 1, np.int64)
+                shared[np.array(where[item]) + 1] = 1
+                shared = np.cumsum(shared)
+                counted[:, j] = either & ((shared[starts + width] - shared[starts]) * (1 + threshold) >= threshold * (width + total) - 1e-6)
+        for w, j in zip(*np.nonzero(passes | counted), strict=True):
+            if not counted[w, j] and int(np.bitwise_count(prints[w] ^ known[j]).sum()) > RADIUS:
                 continue
             item, start = int(members[j]), int(starts[w])
             own = Counter(shingles[start : start + width].tolist())
@@ -108,6 +123,15 @@ class Items:
                 best[item] = (similarity, start, window)
 
 
+def repeats(shingles: np.ndarray) -> np.ndarray:
+    """For each position, where the first shingle that repeats one from there on stands, or a number beyond all."""
+    order = np.argsort(shingles, kind="stable")
+    same = shingles[order[1:]] == shingles[order[:-1]]
+    following = np.full(len(shingles), np.iinfo(np.int64).max)
+    following[order[:-1][same]] = order[1:][same]
+    return np.minimum.accumulate(following[::-1])[::-1]
+
+
 def rolling(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of every k consecutive words."""
     if k < 1 or len(words) < k:

@@ -243,6 +243,21 @@ def test_leaks_equal_brute_force(spark):
     assert Counter((r.doc_id, r.item_id, round(r.similarity, 9), r.first_word) for r in found) == leaks(rows, items)
 
 
+def test_leaks_whose_difference_is_one_word_often(spark):
+    """The votes of a repeated shingle put such windows far away in bits, not in similarity."""
+    rng = random.Random(6)
+    rows, items = [], []
+    for i in range(12):
+        words = [f"i{i}_{rng.randrange(10**6)}" for _ in range(204)]
+        plain, run = " ".join(words), " ".join([*words[:182], *["loop"] * 22])
+        items.append((i, plain if i % 2 else run))
+        rows.append((i, f"head {run if i % 2 else plain} tail"))
+    expected = leaks(rows, items)
+    assert len(expected) == 12
+    found = decontaminate.find_leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert Counter((r.doc_id, r.item_id, round(r.similarity, 9), r.first_word) for r in found) == expected
+
+
 def test_leaks_in_blocks_and_without_rows(spark, monkeypatch):
     rows = [(i, " ".join(f"t{i}_{j}" for j in range(20))) for i in range(30)]
     items = spark.createDataFrame(rows[::3], "item_id long, text string")
