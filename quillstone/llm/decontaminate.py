@@ -65,6 +65,8 @@ class Items:
     def search(self, words: np.ndarray, threshold: float) -> dict[int, tuple[float, int, int]]:
         """Item -> (similarity, first word, words) of its best window in one document."""
         best: dict[int, tuple[float, int, int]] = {}
+        if not len(self.known):
+            return best
         for k in [*self.short, self.k]:
             shingles = rolling(words, min(k, max(1, len(words))))
             if k < self.k and len(words) < k or not len(shingles):
@@ -158,7 +160,8 @@ def _scan(shared, threshold: float):
                     if len(found) and len(items.known):
                         spot = np.minimum(np.searchsorted(items.known, found), len(items.known) - 1)
                         touched[np.searchsorted(rows, np.flatnonzero(items.known[spot] == found), "right") - 1] = True
-                touched |= np.diff(rows) < items.k
+                if len(items.known):
+                    touched |= np.diff(rows) < items.k
                 ids, out = part.column("doc_id").to_pylist(), []
                 for r in np.flatnonzero(touched).tolist():
                     if rows[r] < rows[r + 1]:

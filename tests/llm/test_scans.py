@@ -267,6 +267,12 @@ def test_leaks_in_blocks_and_without_rows(spark, monkeypatch):
     assert decontaminate.find_leaks(frame(spark, rows), items.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("items", [[], [(1, None)], [(1, " ")], [(None, "one")]])
+def test_short_documents_without_items(spark, items):
+    items = spark.createDataFrame(items, "item_id long, text string")
+    assert decontaminate.find_leaks(frame(spark, [(1, "one"), (2, "one two"), (3, "")]), items).collect() == []
+
+
 def test_digests_of_the_queries(spark, encoding, tmp_path):
     from quillstone.llm import queries
 
