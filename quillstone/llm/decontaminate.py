@@ -11,6 +11,7 @@ weighted Jaccard similarity of the shingle counts then decides exactly.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -144,34 +145,61 @@ def rolling(words: np.ndarray, k: int) -> np.ndarray:
     return K.mix(acc)
 
 
+def _found(items: Items, part: pa.RecordBatch, threshold: float) -> Iterator[tuple[int, dict[int, tuple[float, int, int]]]]:
+    """The rows of the slice (column text) that may hold a passage, each with its search."""
+    data, at = K.utf8(part.column("text"))
+    data = K.LOWER[data]
+    starts, ends, rows = K.word_bounds(data, at)
+    words = K.span_hashes(data, starts, ends)
+    # One pass over all rows tells which have any shingle of an item.
+    touched = np.zeros(part.num_rows, bool)
+    for k in [*items.short, items.k]:
+        found = rolling(words, k)
+        if len(found) and len(items.known):
+            spot = np.minimum(np.searchsorted(items.known, found), len(items.known) - 1)
+            touched[np.searchsorted(rows, np.flatnonzero(items.known[spot] == found), "right") - 1] = True
+    if len(items.known):
+        touched |= np.diff(rows) < items.k
+    for r in np.flatnonzero(touched).tolist():
+        if rows[r] < rows[r + 1]:
+            yield r, items.search(words[rows[r] : rows[r + 1]], threshold)
+
+
 def _scan(shared, threshold: float):
     def run(batches):
         items: Items = shared.value
         for batch in batches:
             for part in K.slices(batch):
-                data, at = K.utf8(part.column("text"))
-                data = K.LOWER[data]
-                starts, ends, rows = K.word_bounds(data, at)
-                words = K.span_hashes(data, starts, ends)
-                # One pass over all rows tells which have any shingle of an item.
-                touched = np.zeros(part.num_rows, bool)
-                for k in [*items.short, items.k]:
-                    found = rolling(words, k)
-                    if len(found) and len(items.known):
-                        spot = np.minimum(np.searchsorted(items.known, found), len(items.known) - 1)
-                        touched[np.searchsorted(rows, np.flatnonzero(items.known[spot] == found), "right") - 1] = True
-                if len(items.known):
-                    touched |= np.diff(rows) < items.k
                 ids, out = part.column("doc_id").to_pylist(), []
-                for r in np.flatnonzero(touched).tolist():
-                    if rows[r] < rows[r + 1]:
-                        out += [(ids[r], items.ids[i], s, a, n) for i, (s, a, n) in items.search(words[rows[r] : rows[r + 1]], threshold).items()]
+                for r, best in _found(items, part, threshold):
+                    out += [(ids[r], items.ids[i], s, a, n) for i, (s, a, n) in best.items()]
                 columns = list(zip(*out, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "similarity", "first_word", "n_words"])
 
     return run
 
 
+def _clean(shared, threshold: float):
+    def run(batches):
+        for batch in batches:
+            for part in K.slices(batch):
+                keep = np.ones(part.num_rows, bool)
+                for r, best in _found(shared.value, part, threshold):
+                    keep[r] = not best
+                yield part.filter(pa.array(keep))
+
+    return run
+
+
+def _indexes(docs: DataFrame, items: DataFrame, k: int) -> Iterator:
+    """Broadcast indexes of the items, of at most about ITEM_BYTES each."""
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) // ITEM_BYTES))
+    for block in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
+        yield docs.sparkSession.sparkContext.broadcast(Items([r.item_id for r in rows], [r.text for r in rows], k))
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
     """doc_id, item_id, similarity, first_word, n_words: the best window of each document for each item
     with a weighted Jaccard similarity of k-word shingle counts of at least `threshold`.
@@ -185,12 +213,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float =
     items beyond ITEM_BYTES are split into blocks, each with a scan of its own.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) // ITEM_BYTES))
-    found, spark = None, docs.sparkSession
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        index = spark.sparkContext.broadcast(Items([r.item_id for r in rows], [r.text for r in rows], k))
+    found = None
+    for index in _indexes(docs, items, k):
         part = docs.mapInArrow(_scan(index, threshold), "doc_id long, item_id long, similarity double, first_word long, n_words long")
         found = part if found is None else found.unionByName(part)
     return found
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The rows of `docs` (text string; other columns stay as they are) in which find_leaks has no passage.
+
+    Every row is judged by its own text, whatever its doc_id.  The scan is narrow, one for each block of items."""
+    for index in _indexes(docs, items, k):
+        docs = docs.mapInArrow(_clean(index, threshold), docs.schema)
+    return docs

@@ -50,6 +50,16 @@ def test_stages(spark, folder, tmp_path):
     assert WORD is not None
 
 
+def test_leaks_go_by_row(spark, tmp_path, monkeypatch):
+    leak, clean = " ".join(f"item{j}" for j in range(25)), " ".join(f"good{j}" for j in range(25))
+    rows = [(i, t, "en", "s", 1) for i, t in [(None, f"head {leak} tail"), (None, clean), (1, f"head {leak}"), (1, clean), (2, None), (None, None)]]
+    spark.createDataFrame([(1, leak), (2, "other words of an item that is nowhere")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for size in (8 << 20, 40):
+        monkeypatch.setattr(corpus_pipeline.decontaminate, "ITEM_BYTES", size)
+        kept = corpus_pipeline.drop_leaks(spark, spark.createDataFrame(rows, COLUMNS), str(tmp_path)).collect()
+        assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted((str(i), str(t)) for i, t in [(None, clean), (1, clean), (2, None), (None, None)])
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
