@@ -13,6 +13,7 @@ from quillstone.llm import bpe, decontaminate, quality, secrets
 from quillstone.llm.minhash import minhash_dedup
 from quillstone.llm.queries import tokenizer_path
 from quillstone.llm.storage import cut, modest
+from quillstone.operators.ranking import numbered
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +26,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates (similarity 0.8 of five-word shingles), the one with
-    the smallest doc_id.  Rows without a doc_id stay; of rows that share one, the first by text."""
-    kept = minhash_dedup(docs, k=5, num=80, den=100).where("kept and doc_id is not null").select("doc_id").distinct()
-    stay = docs.join(kept.hint("merge"), "doc_id", "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    the smallest doc_id, then text.  Every row is a document by its own text, also where rows share a doc_id;
+    rows equal in both count once.  Rows without a doc_id stay."""
+    rows = numbered(docs.where("doc_id is not null"), "doc_id", "text", name="_row")
+    kept = minhash_dedup(rows.select(F.col("_row").alias("doc_id"), "text"), k=5, num=80, den=100).where("kept").select(F.col("doc_id").alias("_row"))
+    stay = rows.join(kept.hint("merge"), "_row", "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("_row"))
     return stay.withColumn("_n", first).where("_n = 1").select(*docs.columns).union(docs.where("doc_id is null"))
 
 

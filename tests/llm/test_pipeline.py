@@ -60,6 +60,15 @@ def test_leaks_go_by_row(spark, tmp_path, monkeypatch):
         assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted((str(i), str(t)) for i, t in [(None, clean), (1, clean), (2, None), (None, None)])
 
 
+def test_near_duplicates_by_row(spark, tmp_path):
+    """Rows that share a doc_id are documents of their own."""
+    one, two, three = (" ".join(f"{c}{j}" for j in range(25)) for c in "abc")
+    rows = [(5, one), (5, two), (3, one), (7, two), (9, three), (9, three), (9, ""), (9, ""), (9, None), (None, one)]
+    kept = corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], COLUMNS), str(tmp_path)).collect()
+    expected = [(3, one), (5, two), (9, three), (9, ""), (9, None), (None, one)]
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted((str(i), str(t)) for i, t in expected)
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
