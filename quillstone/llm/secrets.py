@@ -1,13 +1,17 @@
 """Secrets in texts: three fixed patterns, and character Markov models for the rest.
 
-Two first-order models over 67 symbols and an end, of random strings and of
-ordinary identifiers, give each candidate token a log-likelihood ratio.  The
-ordinary model is counted over all words of the corpus that no pattern marks;
-the random model over the marked values and a seeded generator's strings.
+First-order models over 67 symbols and an end are trained from labelled
+samples: one model of ordinary identifiers, and one of random strings for each
+alphabet that keys are written in.  A candidate token's log-likelihood ratio is
+that of an even mixture of the random models against the ordinary one.  The
+samples are generated by rule from a seed and a public vocabulary, so a token's
+verdict depends on nothing but the token.
 """
 
 from __future__ import annotations
 
+import base64
+import functools
 import re
 
 import numpy as np
@@ -23,11 +27,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = (("assign", 6), ("access", 20), ("hex", 24))
 
-#: Candidate tokens have so many characters at least, and a ratio of at least these natural log odds.
-MIN_TOKEN, LOG_ODDS = 20, 14.0
-#: Strings that the generator adds for each alphabet to the samples labelled random.
-RANDOM_STRINGS = 2000
-_ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+#: A candidate token is a maximal run of so many model symbols at least (shorter ones hold too little evidence),
+#: and is random at so many natural log odds in all and by symbol.
+MIN_TOKEN, LOG_ODDS, ODDS_BY_SYMBOL = 16, 12.0, 0.25
+#: Labelled strings generated for the ordinary model, and for the model of each alphabet.
+ORDINARY_STRINGS, RANDOM_STRINGS = 60_000, 4000
+#: Alphabets of random strings, and rows of the keyboard.
+_DIGITS, _CAPITALS, _SMALL = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ALPHABETS = (
+    _DIGITS + "abcdef", _DIGITS + "ABCDEF", _CAPITALS + "234567", _SMALL + _DIGITS, _CAPITALS + _DIGITS, _CAPITALS + _SMALL + _DIGITS,
+    _CAPITALS + _SMALL + _DIGITS + "+/", _CAPITALS + _SMALL + _DIGITS + "-_", _CAPITALS + _SMALL,
+)
 _SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 _CODE = np.full(256, len(_SYMBOLS), np.uint8)
 _CODE[[ord(c) for c in _SYMBOLS]] = np.arange(len(_SYMBOLS))
@@ -75,68 +85,102 @@ def _count(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return pairs
 
 
-def _tally(batches):
-    """Pair counts of the samples of both labels in this task: 0 ordinary, 1 random."""
-    totals = np.zeros((2, _N * _N), np.int64)
-    for batch in batches:
-        for part in K.slices(batch):
-            data, at, text = K.valid(part)
-            marked = np.zeros(len(data) + 1, bool)
-            points = K.code_points(data)
-            firsts = points[at]
-            where = np.concatenate([np.flatnonzero((data & 0xC0) != 0x80), [len(data)]])
-            for i in range(part.num_rows):
-                for start, end, _ in base_spans(text[firsts[i] : firsts[i + 1]]):
-                    marked[where[firsts[i] + start] : where[firsts[i] + end]] = True
-            starts, ends, _ = _runs(data, at)
-            random = marked[starts] & (ends - starts >= MIN_TOKEN)
-            touched = np.concatenate([[0], np.cumsum(marked)])
-            # Unmarked tokens of a candidate's length are not labelled: no candidate is its own sample.
-            ordinary = (touched[ends] == touched[starts]) & (ends - starts < MIN_TOKEN)
-            totals[0] += _count(data, starts[ordinary], ends[ordinary])
-            totals[1] += _count(data, starts[random], ends[random])
-    used = np.flatnonzero(totals.sum(0))
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(totals[0][used]), pa.array(totals[1][used])], ["pair", "ordinary", "random"])
-
-
-def _generated() -> np.ndarray:
-    rng, total = np.random.default_rng(77), np.zeros(_N * _N, np.int64)
-    for letters in _ALPHABETS:
-        rows = ["".join(rng.choice(list(letters), int(rng.integers(MIN_TOKEN, 48)))) for _ in range(RANDOM_STRINGS)]
-        data = np.frombuffer(" ".join(rows).encode(), np.uint8)
-        starts, ends, _ = _runs(data, np.array([0, len(data)]))
-        total += _count(data, starts, ends)
-    return total
-
-
-def log_ratios(ordinary: np.ndarray, random: np.ndarray) -> np.ndarray:
-    """Log-likelihood ratio of each symbol pair, from add-one smoothed counts."""
-    tables = []
-    for counts in (ordinary, random):
-        smooth = counts.reshape(_N, _N) + 1.0
-        tables.append(np.log(smooth / smooth.sum(1, keepdims=True)))
-    return (tables[1] - tables[0]).ravel()
-
-
-def train(docs: DataFrame) -> np.ndarray:
-    """The ratio table from all of `docs`: an aggregate of at most 68 * 68 rows, whatever their number."""
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_tally, "pair int, ordinary long, random long")
-    rows = counted.groupBy("pair").agg(F.sum("ordinary").alias("o"), F.sum("random").alias("r")).collect()
-    ordinary, random = np.zeros(_N * _N, np.int64), _generated()
-    for row in rows:
-        ordinary[row.pair] += row.o
-        random[row.pair] += row.r
-    return log_ratios(ordinary, random)
-
-
-def token_ratios(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The log-likelihood ratio of each run."""
-    codes = _CODE[data].astype(np.int32)
-    steps = np.concatenate([[0.0], np.cumsum(table[codes[:-1] * _N + codes[1:]])]) if len(data) else np.zeros(1)
-    return steps[ends - 1] - steps[starts] + table[(_N - 1) * _N + codes[starts]] + table[codes[ends - 1] * _N + _N - 1]
-
-
-def _scan(table: np.ndarray, log_odds: float):
+def vocabulary_words(path: str) -> list[str]:
+    """The words of a ranked vocabulary, four ASCII small letters at least after a space, by rank."""
+    with open(path, "rb") as lines:
+        tokens = (base64.b64decode(line.split()[0]) for line in lines if line.strip())
+        return [t[1:].decode() for t in tokens if re.fullmatch(rb" [a-z]{4,}", t)]
+
+
+def ordinary_strings(words: list[str], n: int, seed: int) -> list[str]:
+    """Identifiers, paths, numbers, dates, rules and rows of the keyboard as people write them."""
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(n):
+        own = [words[i] for i in rng.integers(0, len(words), int(rng.integers(1, 8)))]
+        style, number = int(rng.integers(0, 14)), str(int(10 ** rng.uniform(0, 5)))
+        if style < 2:
+            out.append("".join(own[:2]))
+        elif style < 4:
+            out.append(own[0] + "".join(w.capitalize() for w in own[1:]) + (number if rng.random() < 0.1 else ""))
+        elif style == 4:
+            out.append("".join(w.capitalize() for w in own) + (number if rng.random() < 0.1 else ""))
+        elif style in (5, 6, 7, 8):
+            text = "_-_/"[style - 5].join(own) + ("_-_/"[style - 5] + number if rng.random() < 0.2 else "")
+            out.append(text.upper() if style == 7 else text)
+        elif style == 9:
+            parts = ["".join(w.capitalize() for w in own[i : i + 2]) if rng.random() < 0.4 else own[i] for i in range(len(own))]
+            out.append("/" * int(rng.integers(0, 3)) + "/".join(parts))
+        elif style == 10:
+            out.append("".join(rng.choice(list(_DIGITS), int(rng.integers(1, 24)))))
+        elif style == 11:
+            out.append(f"{rng.integers(1970, 2040)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}" + ("T" + number if rng.random() < 0.3 else "/" + own[0] if rng.random() < 0.5 else ""))
+        elif style == 12:
+            symbols = "-=_/+" if rng.random() < 0.5 else _SYMBOLS
+            out.append(symbols[int(rng.integers(0, len(symbols)))] * int(rng.integers(1, 60)))
+        else:
+            row = (_SMALL, _CAPITALS, _DIGITS, "qwertyuiop", "asdfghjkl")[int(rng.integers(0, 5))]
+            first = int(rng.integers(0, 4))
+            out.append((row * 2)[first : first + int(rng.integers(4, 30))])
+    return out
+
+
+def random_strings(letters: str, n: int, seed: int) -> list[str]:
+    rng = np.random.default_rng(seed)
+    return ["".join(rng.choice(list(letters), int(rng.integers(16, 64)))) + "=" * (int(rng.integers(0, 3)) if "+" in letters else 0) for _ in range(n)]
+
+
+def _log_model(strings: list[str]) -> np.ndarray:
+    """Log probabilities of symbol pairs, from add-one smoothed counts."""
+    data = np.frombuffer(" ".join(strings).encode(), np.uint8)
+    starts, ends, _ = _runs(data, np.array([0, len(data)]))
+    smooth = _count(data, starts, ends).reshape(_N, _N) + 1.0
+    return np.log(smooth / smooth.sum(1, keepdims=True)).ravel()
+
+
+def train(words: list[str], seed: int = 77) -> np.ndarray:
+    """The models' log probabilities of symbol pairs: the ordinary one first, then one for each alphabet."""
+    models = [_log_model(ordinary_strings(words, ORDINARY_STRINGS, seed))]
+    models += [_log_model(random_strings(letters, RANDOM_STRINGS, seed + 1 + i)) for i, letters in enumerate(ALPHABETS)]
+    return np.array(models)
+
+
+@functools.lru_cache(maxsize=4)
+def models_of(path: str) -> np.ndarray:
+    return train(vocabulary_words(path))
+
+
+def default_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def token_ratios(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, models: np.ndarray) -> np.ndarray:
+    """The log-likelihood ratio of each run: the mixture of the random models against the ordinary one."""
+    if not len(starts):
+        return np.zeros(0)
+    sizes = ends - starts
+    begins = np.cumsum(sizes + 1) - (sizes + 1)  # a run has one pair more than symbols
+    total = int((sizes + 1).sum())
+    places = np.repeat(starts - begins, sizes + 1) + np.arange(total)
+    inner = np.ones(total, bool)
+    inner[begins] = False
+    first = np.full(total, _N - 1, np.int64)
+    first[inner] = _CODE[data[places[inner] - 1]]
+    second = np.full(total, _N - 1, np.int64)
+    closes = begins + sizes
+    inside = np.ones(total, bool)
+    inside[closes] = False
+    second[inside] = _CODE[data[places[inside]]]
+    sums = np.add.reduceat(models[:, first * _N + second], begins, axis=1)
+    return np.logaddexp.reduce(sums[1:], axis=0) - np.log(len(models) - 1) - sums[0]
+
+
+def is_random(ratios: np.ndarray, sizes: np.ndarray, log_odds: float = LOG_ODDS) -> np.ndarray:
+    return (ratios >= log_odds) & (ratios >= ODDS_BY_SYMBOL * sizes)
+
+
+def _scan(models: np.ndarray, log_odds: float):
     kinds = pa.array([k for k, _ in KINDS] + ["markov"])
 
     def run(batches):
@@ -148,7 +192,7 @@ def _scan(table: np.ndarray, log_odds: float):
                 starts, ends, rows = _runs(data, at)
                 row_of = np.repeat(np.arange(part.num_rows), np.diff(rows))
                 odd = np.flatnonzero(ends - starts >= MIN_TOKEN)
-                odd = odd[token_ratios(data, starts[odd], ends[odd], table) >= log_odds] if len(odd) else odd
+                odd = odd[is_random(token_ratios(data, starts[odd], ends[odd], models), (ends - starts)[odd], log_odds)]
                 extra: dict[int, list[tuple[int, int, int]]] = {}
                 for i in odd.tolist():
                     r = int(row_of[i])
@@ -168,26 +212,28 @@ def _scan(table: np.ndarray, log_odds: float):
     return run
 
 
-def scan_secrets(docs: DataFrame, log_odds: float = LOG_ODDS) -> DataFrame:
+def scan_secrets(docs: DataFrame, log_odds: float = LOG_ODDS, vocabulary: str | None = None) -> DataFrame:
     """doc_id, text, spans array<struct<kind, start, end>> (code points, end exclusive), by start and kind.
 
     One row per row of `docs` (doc_id, text; other columns are ignored).  Kinds
-    are assign, access and hex by the fixed patterns, and markov for tokens that
-    the models call random and that overlap no pattern's span.  A null or empty
-    text has no spans; doc_ids are carried along, null or repeated; no rows give
-    no rows.  Two narrow passes, no shuffle beyond the pair counts.
+    are assign, access and hex by the fixed patterns, and markov for maximal
+    runs of MIN_TOKEN or more of A-Z a-z 0-9 + / _ - = that the models call
+    random and that overlap no pattern's span.  `vocabulary` is the path of a
+    public vocabulary on the driver, from whose words the ordinary samples are
+    made.  A null or empty text has no spans; doc_ids are carried along, null or
+    repeated; no rows give no rows.  One narrow pass, no shuffle.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_scan(train(docs), log_odds), "doc_id long, text string, spans array<struct<kind: string, start: int, end: int>>")
+    return docs.mapInArrow(_scan(models_of(vocabulary or default_vocabulary()), log_odds), "doc_id long, text string, spans array<struct<kind: string, start: int, end: int>>")
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[SECRET]", vocabulary: str | None = None) -> DataFrame:
     """`docs` with every span in text, overlapping ones together, replaced by `mark`; all other columns stay."""
-    table = train(docs)
+    models = models_of(vocabulary or default_vocabulary())
     fields = docs.schema
 
     def run(batches):
-        scan = _scan(table, LOG_ODDS)
+        scan = _scan(models, LOG_ODDS)
         for batch in batches:
             done = []
             narrow = batch.select([i for i, name in enumerate(batch.schema.names) if name in ("doc_id", "text")])
