@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import urllib.parse
 import uuid
 import zlib
 
@@ -22,8 +23,8 @@ from quillstone.llm.storage import cut, fresh
 
 #: Payloads of fewer bytes are always stored; archive and split sizes in bytes.
 MIN_REVISIT, ARCHIVE_BYTES, SPLIT_BYTES = 1000, 32 << 20, 4 << 20
-#: Copies of each repeated digest's row, for spreading the pages that carry it.
-SALT = 32
+#: Digests that are looked up in a broadcast table: the most frequent ones, so any other has at most one page in so many.
+HOT_DIGESTS = 1000
 _MAGIC, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
@@ -36,15 +37,23 @@ def _urn(page_id: int | None) -> str:
     return f"<urn:uuid:{uuid.UUID(int=(page_id + (1 << 63)) if page_id is not None else (1 << 64), version=None)}>"
 
 
-def _page_of(urn: str) -> int | None:
-    number = uuid.UUID(urn.strip("<>").removeprefix("urn:uuid:")).int
+def _page_of(urn: str | None) -> int | None:
+    """The page_id in a record id that _urn made; None for any other id."""
+    try:
+        number = uuid.UUID((urn or "").strip("<>").removeprefix("urn:uuid:")).int
+    except ValueError:
+        return None
     return None if number >= 1 << 64 else number - (1 << 63)
 
 
+def target_uri(url: str | None) -> str:
+    """The URL in printable ASCII; every other character as its percent-encoded UTF-8 bytes."""
+    return urllib.parse.quote(url, safe="".join(map(chr, range(0x21, 0x7F)))) if url else "urn:none"
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
     """One gzip member.  The digest is hex SHA-1 and is written in base 32, as is usual."""
-    uri = "".join(c if " " < c < "\x7f" else "%" + format(ord(c) % 256, "02X") for c in url or "urn:none")
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_urn(page_id)}", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}", f"X-Payload-Length: {len(payload)}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_urn(page_id)}", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Target-URI: {target_uri(url)}", f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}", f"X-Payload-Length: {len(payload)}"]
     if revisit:
         lines += [f"WARC-Refers-To: {_urn(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     block = _HTTP if revisit else _HTTP + payload
@@ -97,10 +106,15 @@ def write_warc(pages: DataFrame, root: str) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     pages = pages.withColumn("digest", F.sha1("payload"))
     long = F.octet_length("payload") >= MIN_REVISIT
-    # Only digests that occur twice matter; each gets SALT copies, as one may hold a third of all pages.
-    repeated = pages.where(long).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("largest")).where("n > 1").select("digest", "largest", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    salted = pages.withColumn("salt", F.when(long, F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int")))
-    known = salted.join(repeated, ["digest", "salt"], "left")
+    # Only digests that occur twice matter.  One of them may hold a third of all pages: the most frequent ones, a
+    # bounded number of rows, are broadcast, and their pages go to the join under keys of their own, as short ones do.
+    repeated = cut(pages.where(long).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("largest")).where("n > 1"), "digests")
+    hot = repeated.orderBy(F.desc("n"), "digest").limit(HOT_DIGESTS).select("digest", F.col("largest").alias("hot_largest"), F.lit(True).alias("is_hot"))
+    marked = pages.join(F.broadcast(hot), "digest", "left")
+    own = F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))
+    marked = marked.withColumn("key", F.when(long & F.col("is_hot").isNull(), F.col("digest")).otherwise(own))
+    known = marked.join(repeated.select(F.col("digest").alias("key"), "largest"), "key", "left")
+    known = known.withColumn("largest", F.when(long, F.coalesce("hot_largest", "largest")))
     revisit = F.coalesce(F.col("largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest")), F.lit(False))
     known = known.select("page_id", "url", "payload", "digest", F.when(revisit, F.col("largest")).alias("refers_to"), revisit.alias("revisit"))
     return cut(known.mapInArrow(_writer(root), "path string, bytes long"), "archives")
@@ -171,35 +185,68 @@ def read_range(path: str, start: int, end: int, size: int):
             at, content = got
             head, _, rest = content.partition(b"\r\n\r\n")
             headers = _headers(head)
-            yield headers, rest[: int(headers.get("content-length", len(rest)))]
+            length = headers.get("content-length", "")
+            yield headers, rest[: int(length)] if length.isdigit() else rest
             window.drop(min(at, window.at + len(window.data)))
 
 
+def _declared(headers: dict[str, str]) -> str | None:
+    """The hex SHA-1 that a record states for its payload, in base 32 or hex; None for none or another kind."""
+    kind, _, value = headers.get("warc-payload-digest", "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    try:
+        return (bytes.fromhex(value) if len(value) == 40 else base64.b32decode(value.upper())).hex()
+    except ValueError:
+        return None
+
+
+def _row(headers: dict[str, str], block: bytes) -> tuple:
+    kind = headers.get("warc-type")
+    http = headers.get("content-type", "").lower().startswith("application/http")
+    payload, declared = block.partition(b"\r\n\r\n")[2] if http else block, _declared(headers)
+    if kind == "revisit":  # what it stands for is told by its headers only
+        length = headers.get("x-payload-length", "")
+        size, digest, intact, payload = int(length) if length.isdigit() else None, declared, None, None
+    else:
+        size, digest = len(payload), hashlib.sha1(payload).hexdigest()
+        intact = None if declared is None else declared == digest
+    return (_page_of(headers.get("warc-record-id")), kind, _page_of(headers.get("warc-refers-to")) if kind == "revisit" else None, headers.get("warc-target-uri"), payload, size, digest, headers.get("warc-record-id"), intact)
+
+
+RECORDS = "page_id long, record_type string, refers_to long, target_uri string, payload binary, payload_bytes long, payload_digest string, record_id string, intact boolean"
+
+
 def _reader(batches):
-    kinds = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("target_uri", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
+    kinds = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("target_uri", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_id", pa.string()), ("intact", pa.bool_())])
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
+
     for batch in batches:
         for split in batch.to_pylist():
             rows, held = [], 0
             for headers, block in read_range(split["path"], split["start"], split["end"], split["bytes"]):
-                payload = block.partition(b"\r\n\r\n")[2]
-                revisit = headers["warc-type"] == "revisit"
-                declared = base64.b32decode(headers["warc-payload-digest"].removeprefix("sha1:")).hex()
-                # What a response holds is measured; of a revisit only its header tells.
-                size, digest = (int(headers["x-payload-length"]), declared) if revisit else (len(payload), hashlib.sha1(payload).hexdigest())
-                if digest != declared:
-                    raise ValueError(f"{split['path']}: the payload of {headers['warc-record-id']} does not have its digest")
-                rows.append((_page_of(headers["warc-record-id"]), headers["warc-type"], _page_of(headers["warc-refers-to"]) if revisit else None, headers["warc-target-uri"], None if revisit else payload, size, digest))
-                held += len(payload)
+                rows.append(_row(headers, block))
+                held += len(block)
                 if held > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
+                    yield batch_of(rows)
                     rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
+                yield batch_of(rows)
 
 
 def read_warc(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """The records of `archives` (path, bytes): page_id, record_type, refers_to, target_uri, payload
-    (null for revisits), payload_bytes, payload_digest (hex SHA-1; of the full payload).
+    """The records of `archives` (path, bytes): page_id, record_type, refers_to, target_uri (percent-encoded),
+    payload, payload_bytes, payload_digest (hex SHA-1; of the full payload), record_id, intact.
+
+    Any gzip-member archive can be read.  record_type is the record's own, also
+    warcinfo, request, metadata and others; page_id and refers_to are null where
+    the ids are not those of write_warc; a payload is the block behind its HTTP
+    headers, or the whole block where there are none.  Of a revisit payload is
+    null, and length and digest are those it states, null where it states none.
+    intact says whether the payload has the SHA-1 that the record states, null
+    without one.
 
     Every `split_bytes` of an archive are a unit of work of their own; an
     archive without records, or none, gives no rows.
@@ -208,9 +255,11 @@ def read_warc(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     splits = archives.where("bytes > 0").withColumn("start", starts).withColumn("end", F.col("start") + split_bytes)
     # Ranges are a few bytes a row; dealt out evenly, so that each task gets a like share of the archives.
     parallel = archives.sparkSession.sparkContext.defaultParallelism
-    return splits.repartition(4 * parallel, "path", "start").mapInArrow(_reader, "page_id long, record_type string, refers_to long, target_uri string, payload binary, payload_bytes long, payload_digest string")
+    return splits.repartition(4 * parallel, "path", "start").mapInArrow(_reader, RECORDS)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Writes `pages` to archives in the shared folder and reads them back."""
-    return read_warc(write_warc(pages, fresh(spark, "warc")))
+    """Writes `pages` to archives in the shared folder and reads them back; a payload without its digest is an error."""
+    read = read_warc(write_warc(pages, fresh(spark, "warc")))
+    damaged = F.raise_error(F.concat(F.lit("damaged record "), F.coalesce("record_id", F.lit("")))).cast("string")
+    return read.withColumn("record_type", F.when(F.coalesce("intact", F.lit(True)), F.col("record_type")).otherwise(damaged))

@@ -78,5 +78,45 @@ def test_archives_are_plain_gzip_members(spark, tmp_path):
     assert uuid.UUID(text.split(b"urn:uuid:")[1][:36].decode())
 
 
+def test_foreign_archives(spark, tmp_path):
+    """A warcinfo, a request, a response with a hex digest, a metadata record, a foreign revisit and one with a wrong digest."""
+    page, http = b"<p>\xc3\xa9</p>", b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    sha, two = hashlib.sha1(page).hexdigest(), "WARC-Record-ID: <urn:uuid:6f1f5a3c-8d0e-4a6b-9d49-0d5a3c1f2b7e>"
+    records = [
+        (["WARC-Type: warcinfo", "WARC-Record-ID: <urn:x:1>", "Content-Type: application/warc-fields"], b"software: x\r\n"),
+        (["WARC-Type: request", two, "WARC-Target-URI: http://h/%E4%B8%80", "Content-Type: application/http;msgtype=request"], b"GET / HTTP/1.1\r\nHost: h\r\n\r\n"),
+        (["WARC-Type: response", two, f"WARC-Payload-Digest: sha1:{sha}", "Content-Type: application/http; msgtype=response"], http + page),
+        (["WARC-Type: metadata", "Content-Type: text/plain", "WARC-Payload-Digest: md5:abc"], b"via: y\r\n\r\nz"),
+        (["WARC-Type: revisit", "WARC-Refers-To: <urn:uuid:6f1f5a3c-8d0e-4a6b-9d49-0d5a3c1f2b7e>", "Content-Type: application/http"], http),
+        (["WARC-Type: response", "WARC-Payload-Digest: sha1:" + "A" * 32, "Content-Type: application/http"], http + page),
+        (["no colon"], b""),
+    ]
+    raw = b"".join(gzip.compress(b"WARC/1.0\r\n" + "\r\n".join([*h, f"Content-Length: {len(b)}"]).encode() + b"\r\n\r\n" + b + b"\r\n\r\n") for h, b in records)
+    (tmp_path / "a.warc.gz").write_bytes(raw)
+    archives = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz", len(raw))], "path string, bytes long")
+    for split in (50, 1 << 20):
+        found = sorted(((r.record_type, bytes(r.payload) if r.payload is not None else None, r.payload_digest, r.intact, r.page_id, r.refers_to) for r in warc.read_warc(archives, split).collect()), key=str)
+        assert found == sorted([
+            ("warcinfo", records[0][1], hashlib.sha1(records[0][1]).hexdigest(), None, None, None), ("request", b"", hashlib.sha1(b"").hexdigest(), None, None, None),
+            ("response", page, sha, True, None, None), ("metadata", records[3][1], hashlib.sha1(records[3][1]).hexdigest(), None, None, None),
+            ("revisit", None, None, None, None, None), ("response", page, sha, False, None, None), (None, b"", hashlib.sha1(b"").hexdigest(), None, None, None),
+        ], key=str)
+
+
+def test_urls_hot_payloads_and_long_pages(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HOT_DIGESTS", 1)
+    urls = {1: "http://h/\u4e00/é", 2: "http://h/a%20b?x=1", 3: "http://h/a b\r\nWARC-Type: x"}
+    rng = random.Random(4)
+    long = "".join(rng.choices("abcdefgh é", k=3_000_000))
+    rows = [(i, urls.get(i, "u"), "hot" * 500 if i > 10 else "cold" * 400 if i > 5 else long if i == 4 else "s") for i in range(60)] + [(200, "u", long)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit("mine")).withColumn("largest", F.lit(1)).withColumn("key", F.lit("k"))
+    read = warc.round_trip(spark, frame).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in read), key=str) == expected(rows)
+    import urllib.parse
+
+    found = {r.page_id: r.target_uri for r in read}
+    assert all(urllib.parse.unquote(found[i]) == urllib.parse.unquote(u) for i, u in urls.items()) and found[1] == "http://h/%E4%B8%80/%C3%A9" and found[2] == urls[2]
+
+
 def test_no_pages(spark):
     assert warc.round_trip(spark, spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
