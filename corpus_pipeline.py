@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillstone.llm import bpe, decontaminate, quality, secrets
 from quillstone.llm.minhash import minhash_dedup
 from quillstone.llm.queries import tokenizer_path
-from quillstone.llm.storage import cut, modest
+from quillstone.llm.storage import cut, modest, spare
 from quillstone.operators.ranking import numbered
 
 
@@ -21,24 +21,31 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     modest(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label"))
     model = quality.train(docs, labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
-    return quality.score(docs, model).where("score >= 0.3").select(*docs.columns)
+    score = spare(docs, "score")
+    return quality.score(docs, model, score).where(F.col(score) >= 0.3).drop(score)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates (similarity 0.8 of five-word shingles), the one with
-    the smallest doc_id, then text.  Every row is a document by its own text, also where rows share a doc_id;
-    rows equal in both count once.  Rows without a doc_id stay."""
-    rows = numbered(docs.where("doc_id is not null"), "doc_id", "text", name="_row")
-    kept = minhash_dedup(rows.select(F.col("_row").alias("doc_id"), "text"), k=5, num=80, den=100).where("kept").select(F.col("doc_id").alias("_row"))
-    stay = rows.join(kept.hint("merge"), "_row", "left_semi")
+    """One document of each class of near-duplicates (similarity 0.8 of five-word shingles): the first by
+    doc_id (nulls last), text, then the other columns as JSON.  Every row is a document by its own text, also
+    where rows share a doc_id or have none.  Of texts without words, which are in no class, rows equal in
+    doc_id and text count once."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    # Further columns travel in one struct, so that no name of theirs can clash with an operator's.
+    packed = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in others), F.lit(0).alias("_")).alias("_others"))
+    ordered = packed.withColumn("_null", F.col("doc_id").isNull()).withColumn("_rest", F.to_json("_others"))
+    rows = numbered(ordered, "_null", "doc_id", "text", "_rest", name="_row").drop("_null", "_rest")
+    kept = minhash_dedup(rows.select(F.col("_row").alias("doc_id"), "text"), k=5, num=80, den=100).where("kept")
+    stay = rows.join(kept.select(F.col("doc_id").alias("_row"), (F.col("n_shingles") > 0).alias("_words")).hint("merge"), "_row")
     first = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("_row"))
-    return stay.withColumn("_n", first).where("_n = 1").select(*docs.columns).union(docs.where("doc_id is null"))
+    bare = stay.where("not _words").withColumn("_n", first).where("_n = 1").drop("_n")
+    return stay.where("_words").union(bare).select(*(c if c in ("doc_id", "text") else F.col(f"_others.`{c}`") for c in docs.columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage (a window of weighted similarity 0.8 with an item); every
     row counts by its own text, with or without a doc_id."""
-    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -146,8 +146,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return np.frombuffer(rows[0].model, np.float32), rows[0].a, rows[0].b
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float, float]) -> DataFrame:
-    """`docs` with score, the probability of label 1 from the text alone, in one narrow pass."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float, float], name: str = "score") -> DataFrame:
+    """`docs` with the column `name` (which it must not have), the probability of label 1 from the text alone, in one narrow pass."""
     weights, a, b = model
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
@@ -157,9 +157,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, float]) -> DataFrame:
             for part in K.slices(batch):
                 m = np.array([margin(x, w, ratio) if len(x) else 0.0 for x in features(part)])
                 p = 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
-                yield part.append_column("score", pa.array(p, pa.float64()))
+                yield part.append_column(name, pa.array(p, pa.float64()))
 
-    fields = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+    fields = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     return docs.mapInArrow(run, fields)
 
 

@@ -27,6 +27,14 @@ def fresh(spark: SparkSession, label: str) -> str:
     return re.sub("^file:/(?!/)", "file:///", system.makeQualified(target).toString())
 
 
+def spare(frame: DataFrame, name: str) -> str:
+    """`name`, or with underscores before it a name that no column of `frame` has in any case."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def cut(frame: DataFrame, label: str = "step") -> DataFrame:
     """The frame written as a table in the shared folder and read back: its lineage ends there,
     so later stages neither recompute it nor depend on the executors that made it."""
