@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from quillstone.llm import exchange as X
 from quillstone.llm import kernel as K
 
+#: Kinds of answers: whether a block is shared, and whether a window's place is its first.
+_HITS, _FIRST = 0, 1
 PLACES = "bucket int, chunk long, hashes binary, others binary, ids binary, starts binary"
 
 
@@ -68,7 +70,7 @@ class _Chunk:
 
     def windows(self, replies: pa.Table, buckets: int):
         """Starts of the windows with a hit, and of each its first equal one (by document and start) in this chunk."""
-        hit = X.answers(replies, 0, self.hashes, buckets)[self.inverse]
+        hit = X.answers(replies, _HITS, self.hashes, buckets)[self.inverse]
         near = np.zeros(len(self.words) + 1, np.int32)
         at = self.probes[hit]
         np.add.at(near, np.maximum(at - (self.window - self.block), 0), 1)
@@ -90,7 +92,7 @@ class _Chunk:
 def _offer(window: int, buckets: int):
     def run(batch: pa.RecordBatch, chunk: int) -> pa.Table:
         c = _Chunk(batch, window)
-        return X.offer(chunk, c.hashes, c.indexed.astype(np.uint8) + 2 * c.many.astype(np.uint8), buckets)
+        return X.offer(chunk, c.hashes, c.indexed, c.many, buckets)
 
     return run
 
@@ -104,10 +106,9 @@ def _places(window: int, buckets: int):
         at = starts[firsts]
         row = c.row_of[at] if len(at) else at
         ids, offsets = X.rank_ids(batch)[row], (at - c.rows[row]).astype(np.int32)
-        cuts = X.bucket_cuts(one, buckets)
-        used = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-        pack = lambda x: pa.array([_planes(x[cuts[b] : cuts[b + 1]]) for b in used], pa.binary())
-        return pa.table({"bucket": pa.array(used, pa.int32()), "chunk": pa.array([chunk] * len(used), pa.int64()), "hashes": pack(one), "others": pack(two), "ids": pack(ids), "starts": pack(offsets)})
+        used, cuts = X.runs(X.bucket_of(one, buckets))
+        pack = lambda x: pa.array([_planes(x[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())
+        return X.rows(chunk, used, hashes=pack(one), others=pack(two), ids=pack(ids), starts=pack(offsets))
 
     return run
 
@@ -124,7 +125,7 @@ def _earliest(table: pa.Table) -> pa.Table:
     lead = order[np.flatnonzero(new)][np.cumsum(new) - 1]  # of each, the earliest equal one
     first = np.empty(len(order), bool)
     first[order] = (ids[lead] == ids[order]) & (starts[lead] == starts[order])
-    return X.reply(table, 1, [np.packbits(x) for x in np.split(first, np.cumsum(sizes)[:-1])])
+    return X.reply(table, _FIRST, [np.packbits(x) for x in np.split(first, np.cumsum(sizes)[:-1])])
 
 
 def _cleaned(window: int, buckets: int):
@@ -133,7 +134,7 @@ def _cleaned(window: int, buckets: int):
         starts, one, _, group, firsts = c.windows(replies, buckets)
         repeated = np.zeros(len(starts), bool)
         if len(starts):
-            first = X.answers(replies, 1, one, buckets)
+            first = X.answers(replies, _FIRST, one, buckets)
             ids, row = X.rank_ids(batch), c.row_of[starts]
             lead = starts[firsts][group]
             # The chunk's first place stands if the bucket says so, and with it equal rows' same places.
@@ -181,9 +182,11 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
     all others; rows of one doc_id count as one document, and of windows at the
     same start in them none is the earlier.  No rows give no rows.
     """
+    if window % 2 or window < 2:
+        raise ValueError(f"a window is an even number of words, not {window}")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     dealt, buckets = X.deal(docs)
-    hits = X.ask(dealt, _offer(window, buckets))
+    hits = X.ask(dealt, _offer(window, buckets), X.shared(_HITS))
     places = X.with_replies(dealt, hits, _places(window, buckets), PLACES)
     first = places.groupBy("bucket").applyInArrow(_earliest, X.REPLY)
     return X.with_replies(dealt, hits.union(first), _cleaned(window, buckets), "doc_id long, n_words long, n_removed long, n_spans long, kept_text binary")

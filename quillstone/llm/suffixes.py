@@ -3,8 +3,10 @@
 Windows of 50 bytes are gathered where equal ones must meet: every window is
 filed under its anchor, the smallest-hashed 20-gram in it, so equal windows have
 equal anchors, and a run of windows of one anchor is one short string.  Anchors
-that only one document has are settled by a count.  The strings of the others
-go to buckets by anchor; a bucket builds transform and common prefixes of its
+that only one document has are settled by a count.  Where very many documents
+share an anchor, at the edges of a common passage each has a string of its own;
+there a count of every window first cuts the strings to what some other document
+has.  The strings then go to buckets by anchor; a bucket builds transform and common prefixes of its
 collection column by column, and windows are equal where neighbouring suffixes
 share 50 bytes.  A string's length is bounded by the window, so the number of
 rounds is too, however long the documents are.
@@ -26,6 +28,11 @@ ANCHOR = 20
 #: Buckets of strings for each bucket of hashes, and collections of a bucket: one of a thousand or two
 #: strings stays in a core's cache, where the rounds take a third of the time.
 FINER, COLLECTIONS = 12, 4
+#: An anchor that more chunks have is hot.
+HOT_CHUNKS = 16
+#: Kinds of answers: whether an anchor is shared, whether it is hot, whether a hot anchor's window is shared, and a
+#: bit for each window of a string that a smaller doc_id has.
+_SHARED, _HOT, _WINDOWS, _COVERED = 0, 1, 2, 3
 #: Text bytes of a step.
 STEP_BYTES = 1 << 20
 STRINGS = "bucket int, chunk long, texts binary, sizes binary, ids binary, counts array<int>"
@@ -88,29 +95,68 @@ class _Chunk:
     def offer(self):
         order = np.argsort(self.anchor, kind="stable")
         hashes = self.anchor[order]
-        starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
-        ends = np.append(starts[1:], len(hashes)) - 1
+        _, cuts = X.runs(hashes)
+        starts, ends = cuts[:-1], cuts[1:] - 1
         return hashes[starts], self.row[order[ends]] != self.row[order[starts]], order, starts
 
+    def _of_runs(self, answers: np.ndarray, order: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.anchor), bool)
+        out[order] = np.repeat(answers, np.diff(np.append(starts, len(order))))
+        return out
+
+    def hot_windows(self, replies: pa.Table, buckets: int):
+        """Whether runs have a hot anchor; start, run and hash of each of their windows; the distinct hashes and
+        each window's number among them."""
+        hashes, _, order, starts = self.offer()
+        hot = self._of_runs(X.answers(replies, _HOT, hashes, buckets), order, starts)
+        runs = np.flatnonzero(hot)
+        counts = self.last[runs] - self.first[runs] + 1
+        run = np.repeat(runs, counts)
+        at = np.repeat(self.first[runs] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        rolled = K.rolling(self.data, self.window)[at] if len(at) else np.zeros(0, np.uint64)
+        known, inverse = np.unique(rolled, return_inverse=True)
+        return hot, at, run, rolled, known, inverse
+
     def strings(self, replies: pa.Table, buckets: int):
-        """Runs with a shared anchor, the first run of each distinct string in order of anchor, and each run's string."""
+        """The runs that are compared (anchor, first, last, row), those of hot anchors cut to the windows that are
+        shared; the first run of each distinct string in order of anchor, and each run's string."""
         hashes, _, order, starts = self.offer()
-        hit = np.zeros(len(self.anchor), bool)
-        hit[order] = np.repeat(X.answers(replies, 0, hashes, buckets), np.diff(np.append(starts, len(order))))
-        runs = np.flatnonzero(hit)
-        order = np.lexsort((self.key[runs], self.anchor[runs]))  # stable: equal strings by document
-        a, k = self.anchor[runs][order], self.key[runs][order]
+        hit = self._of_runs(X.answers(replies, _SHARED, hashes, buckets), order, starts)
+        hot, at, run, rolled, known, inverse = self.hot_windows(replies, buckets)
+        kept = X.answers(replies, _WINDOWS, known, buckets)[inverse]
+        together = kept[1:] & kept[:-1] & (run[1:] == run[:-1])
+        heads, tails = np.flatnonzero(kept & ~np.append(False, together)[: len(kept)]), np.flatnonzero(kept & ~np.append(together, False)[: len(kept)])
+        # The first and the last window cover a run's string, so their hashes stand for it.
+        cut_key = K.mix(rolled[heads] * np.uint64(0xD6E8FEB86659FD93) + rolled[tails] + (tails - heads).astype(np.uint64))
+        cold = np.flatnonzero(hit & ~hot)
+        anchor, key = np.concatenate([self.anchor[cold], self.anchor[run[heads]]]), np.concatenate([self.key[cold], cut_key])
+        first, last = np.concatenate([self.first[cold], at[heads]]), np.concatenate([self.last[cold], at[tails]])
+        row = np.concatenate([self.row[cold], self.row[run[heads]]])
+        order = np.lexsort((first, key, anchor))  # equal strings by document
+        a, k = anchor[order], key[order]
         new = np.ones(len(order), bool)
         new[1:] = (a[1:] != a[:-1]) | (k[1:] != k[:-1])
         group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(new) - 1
-        return runs, runs[order[new]], group
+        return (anchor, first, last, row), order[new], group
 
 
 def _offer(window: int, buckets: int):
     def run(batch: pa.RecordBatch, chunk: int) -> pa.Table:
         hashes, many, _, _ = _Chunk(batch, window).offer()
-        return X.offer(chunk, hashes, np.uint8(1) + 2 * many.astype(np.uint8), buckets)
+        return X.offer(chunk, hashes, np.ones(len(hashes), bool), many, buckets)
+
+    return run
+
+
+def _window_offer(window: int, buckets: int):
+    def run(batch: pa.RecordBatch, chunk: int, replies: pa.Table) -> pa.Table:
+        c = _Chunk(batch, window)
+        _, _, of_run, rolled, known, inverse = c.hot_windows(replies, buckets)
+        low, high = np.full(len(known), len(c.at)), np.full(len(known), -1)
+        np.minimum.at(low, inverse, c.row[of_run])
+        np.maximum.at(high, inverse, c.row[of_run])
+        return X.offer(chunk, known, np.ones(len(known), bool), low < high, buckets)
 
     return run
 
@@ -122,15 +168,17 @@ def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
 def _strings(window: int, buckets: int):
     def run(batch: pa.RecordBatch, chunk: int, replies: pa.Table) -> pa.Table:
         c = _Chunk(batch, window)
-        _, firsts, _ = c.strings(replies, buckets)
-        ids = X.rank_ids(batch)[c.row[firsts]]
-        sizes = c.last[firsts] - c.first[firsts] + window
-        fine = X.bucket_cuts(c.anchor[firsts], buckets * FINER * COLLECTIONS)
-        cuts, counts = fine[::COLLECTIONS], np.diff(fine).reshape(-1, COLLECTIONS)
-        used = [b for b in range(buckets * FINER) if cuts[b] < cuts[b + 1]]
-        pack = lambda x: pa.array([x[cuts[b] : cuts[b + 1]].tobytes() for b in used], pa.binary())
-        texts = pa.array([_gather(c.data, c.first[firsts[cuts[b] : cuts[b + 1]]], sizes[cuts[b] : cuts[b + 1]]).tobytes() for b in used], pa.binary())
-        return pa.table({"bucket": pa.array(used, pa.int32()), "chunk": pa.array([chunk] * len(used), pa.int64()), "texts": texts, "sizes": pack(sizes.astype(np.uint8)), "ids": pack(ids), "counts": pa.array([counts[b].tolist() for b in used], pa.list_(pa.int32()))})
+        (anchor, first, last, row), firsts, _ = c.strings(replies, buckets)
+        ids = X.rank_ids(batch)[row[firsts]]
+        sizes = last[firsts] - first[firsts] + window
+        fine = X.bucket_of(anchor[firsts], buckets * FINER * COLLECTIONS)
+        used, cuts = X.runs(fine // np.uint64(COLLECTIONS))
+        counts = np.zeros((len(used), COLLECTIONS), np.int32)
+        np.add.at(counts, (np.repeat(np.arange(len(used)), np.diff(cuts)), (fine % np.uint64(COLLECTIONS)).astype(np.int64)), 1)
+        # Each string's bytes follow those of the one before, so the cuts of the texts are sums of sizes.
+        texts = X.packed(_gather(c.data, first[firsts], sizes), np.concatenate([[0], np.cumsum(sizes)])[cuts])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1) * COLLECTIONS, pa.int32()), pa.array(counts.ravel()))
+        return X.rows(chunk, used, texts=texts, sizes=X.packed(sizes.astype(np.uint8), cuts), ids=X.packed(ids, cuts), counts=lists)
 
     return run
 
@@ -181,7 +229,7 @@ def _repeats(window: int):
             which = np.flatnonzero(collection == number)
             if len(which):
                 bits[which] = _covered(text, starts[which], sizes[which], ids[which], window)
-        return X.reply(table, 1, np.split(bits, np.cumsum(lengths)[:-1]))
+        return X.reply(table, _COVERED, np.split(bits, np.cumsum(lengths)[:-1]))
 
     return run
 
@@ -189,15 +237,15 @@ def _repeats(window: int):
 def _cleaned(window: int, buckets: int):
     def run(batch: pa.RecordBatch, chunk: int, replies: pa.Table) -> pa.Table:
         c = _Chunk(batch, window)
-        runs, firsts, group = c.strings(replies, buckets)
+        (anchor, first, last, row), firsts, group = c.strings(replies, buckets)
         cover = np.zeros(len(c.data) + window + 1, np.int8)  # at most one window starts at a byte, so counts stay below window
-        if len(runs):
-            bits = X.answers(replies, 1, c.anchor[firsts], buckets * FINER, np.uint32)[group]
-            ids = X.rank_ids(batch)
-            bits = np.where(ids[c.row[runs]] > ids[c.row[firsts]][group], np.uint32(0xFFFFFFFF), bits)
+        if len(first):
+            bits = X.answers(replies, _COVERED, anchor[firsts], buckets * FINER, np.uint32)[group]
+            ids = X.rank_ids(batch)[row]
+            bits = np.where(ids > ids[firsts][group], np.uint32(0xFFFFFFFF), bits)
             for offset in range(window - ANCHOR + 1):
-                at = c.first[runs] + offset
-                at = at[(bits >> np.uint32(offset) & np.uint32(1)).astype(bool) & (at <= c.last[runs])]
+                at = first + offset
+                at = at[(bits >> np.uint32(offset) & np.uint32(1)).astype(bool) & (at <= last)]
                 cover[at] += 1  # a window start is in one run only
                 cover[at + window] -= 1
         gone = np.cumsum(cover, dtype=np.int8)[: len(c.data)] > 0
@@ -224,11 +272,15 @@ def suffix_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     smaller doc_id; strings are judged on the input and never cross documents.
     A null text is empty; a null doc_id counts as larger than all others; rows
     of one doc_id take nothing from each other.  No rows give no rows.
-    `window` is even and 22 to 50, as a string has at most 32 windows.
+    `window` is even and 22 to 50, as a string has at most 32 windows; others are an error.
     """
+    if window % 2 or not ANCHOR + 2 <= window <= 50:
+        raise ValueError(f"a window is even and {ANCHOR + 2} to 50, not {window}")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     dealt, buckets = X.deal(docs)
-    hits = X.ask(dealt, _offer(window, buckets))
-    strings = X.with_replies(dealt, hits, _strings(window, buckets), STRINGS)
+    hits = X.ask(dealt, _offer(window, buckets), X.shared(_SHARED, HOT_CHUNKS, _HOT))
+    windows = X.with_replies(dealt, hits, _window_offer(window, buckets), X.OFFER).groupBy("bucket").applyInArrow(X.shared(_WINDOWS), X.REPLY)
+    known = hits.union(windows)
+    strings = X.with_replies(dealt, known, _strings(window, buckets), STRINGS)
     found = strings.groupBy("bucket").applyInArrow(_repeats(window), X.REPLY)
-    return X.with_replies(dealt, hits.union(found), _cleaned(window, buckets), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_bytes binary")
+    return X.with_replies(dealt, known.union(found), _cleaned(window, buckets), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_bytes binary")

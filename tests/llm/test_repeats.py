@@ -2,12 +2,15 @@
 
 import hashlib
 import os
+import random
+import time
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillstone.llm import bwt
+from quillstone.llm import bwt, exchange, suffixes
 from quillstone.llm.substring import substring_dedup
 from quillstone.llm.suffixes import suffix_dedup
 from tests.llm.fixtures import WORD, frame, odd_rows
@@ -66,6 +69,64 @@ def test_word_passages(spark):
     assert sorted(map(key, found)) == sorted(map(key, by_words(rows)))
 
 
+@pytest.mark.parametrize("hot", [0, 2, 16])
+def test_passages_of_many_documents(spark, monkeypatch, hot):
+    """A passage in every document with contexts of their own, copies of whole documents, over many small chunks."""
+    monkeypatch.setattr(exchange, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(exchange, "BUCKET_BYTES", 5000)
+    monkeypatch.setattr(suffixes, "HOT_CHUNKS", hot)
+    rng = random.Random(hot)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 8)))
+    passage, copy = " ".join(word() for _ in range(40)), " ".join(word() for _ in range(120))
+    rows = [(i, " ".join(word() for _ in range(30)) + f" {passage} " + " ".join(word() for _ in range(30))) for i in range(150)]
+    rows += [(200 + i, copy) for i in range(60)] + [(300 + i, copy[: 100 + 7 * i] + " end") for i in range(20)] + odd_rows()
+    found = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept_bytes)) for r in suffix_dedup(frame(spark, rows)).collect()]
+    assert sorted(map(key, found)) == sorted(map(key, by_bytes(rows)))
+    found = [(r.doc_id, r.n_words, r.n_removed, bytes(r.kept_text)) for r in substring_dedup(frame(spark, rows)).collect()]
+    assert sorted(map(key, found)) == sorted(map(key, by_words(rows)))
+
+
+def test_texts_longer_than_a_chunk(spark):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(600_000)]
+    one = " ".join(words)  # more than 4 MB
+    two = " ".join([*words[400_000:], "middle", *words[:50_000]])
+    rows = [(4, one), (7, two), (2, " ".join(words[100:150]))]
+    found = {r.doc_id: r for r in suffix_dedup(frame(spark, rows)).collect()}
+    assert found[2].n_removed == 0 and found[4].n_removed == len(" ".join(words[100:150])) + 2 or found[4].n_removed >= len(" ".join(words[100:150]))
+    assert bytes(found[7].kept_bytes).strip() == b"middle"
+    found = {r.doc_id: r for r in substring_dedup(frame(spark, rows)).collect()}
+    assert (found[2].n_removed, found[4].n_removed, bytes(found[7].kept_text)) == (0, 50, b"middle")
+
+
+def test_cost_of_an_offer_depends_on_its_own_hashes():
+    hashes = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 50_000, dtype=np.uint64) * np.uint64(2))
+    none = np.zeros(len(hashes), bool)
+
+    def seconds(buckets):
+        best = 9.0
+        for _ in range(5):
+            start = time.perf_counter()
+            made = exchange.offer(0, hashes, none, none, buckets)
+            best = min(best, time.perf_counter() - start)
+        assert sum(len(x.as_py()) for x in made["hashes"]) == 4 * len(hashes)
+        return best
+
+    assert seconds(100_000_000) < 5 * seconds(1_000_000)
+    for buckets in (1, 7, 1000):
+        assert (np.diff(exchange.bucket_of(hashes, buckets).astype(np.int64)) >= 0).all() and exchange.bucket_of(hashes, buckets).max() < buckets
+    assert exchange.sizes(100 << 40)[0] < 100 << 20 and exchange.sizes(0) == (8, 8)
+
+
+@pytest.mark.parametrize("window", [20, 51, 52, 23])
+def test_windows_out_of_range(spark, window):
+    with pytest.raises(ValueError):
+        suffix_dedup(frame(spark, []), window)
+    if window % 2:
+        with pytest.raises(ValueError):
+            substring_dedup(frame(spark, []), window)
+
+
 def test_no_rows(spark):
     assert suffix_dedup(frame(spark, [])).collect() == [] and substring_dedup(frame(spark, [])).collect() == []
 
