@@ -24,8 +24,9 @@ from quillstone.llm.storage import cut
 #: Bands and signature values a band.  With 30 bands of 5 values a pair of
 #: similarity 0.85 shares no band with probability 2e-8, one of 0.80 with 7e-6.
 BANDS, ROWS = 30, 5
-#: Shingles (8 bytes each) of the members of a residual bucket that one task compares with as many others.
-BLOCK_SHINGLES = 2 << 20
+#: Shingles (8 bytes each) of the members of a residual bucket that one task compares with as many others; smaller
+#: buckets too are cut into a few blocks of EVEN_SHINGLES, so that tasks are even.
+BLOCK_SHINGLES, EVEN_SHINGLES, FEW_BLOCKS = 2 << 20, 1 << 16, 8
 _TILE, _COLUMNS = 512, 8192
 
 
@@ -181,7 +182,8 @@ def minhash_dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, ba
     128-bit key, so thousands of copies are one representative from there on.
     A bucket first tests only its smallest member against the others (a star).
     What stays in different components in buckets of three and more is compared
-    exactly in tiles, large buckets in pairs of blocks; pairs are never emitted.
+    exactly in tiles, in pairs of blocks, and once where buckets have the same
+    members; pairs are never emitted.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = cut(docs.mapInArrow(_profile(k, bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "profile")
@@ -204,8 +206,11 @@ def minhash_dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, ba
     found = connected_components(links)
     rest = members.where("n > 2 and node <> pivot").join(found.toDF("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     rest = cut(rest.select("key", "node", "size", "comp"), "rest")
-    mixed = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum("size").alias("size")).where("low <> high")
-    rest = rest.drop("size").join(mixed.select("key", F.ceil(F.col("size") / BLOCK_SHINGLES).cast("int").alias("blocks")), "key")
+    # Buckets of the same members, as the bands of one group of near copies often are, are compared once.
+    mixed = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum("size").alias("size"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("low <> high")
+    mixed = mixed.groupBy("n", "x", "y").agg(F.min("key").alias("key"), F.first("size").alias("size"))
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK_SHINGLES), F.least(F.lit(FEW_BLOCKS), F.ceil(F.col("size") / EVEN_SHINGLES)))
+    rest = rest.drop("size").join(mixed.select("key", blocks.cast("int").alias("blocks")), "key")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("key", "node", "comp", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))

@@ -46,13 +46,24 @@ def test_classes_equal_brute_force(spark, num):
             assert r.n_shingles in {len(s) for s in sets[r.doc_id]}
 
 
+def test_a_text_longer_than_a_slice(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in rng.integers(0, 1 << 30, 400_000)]
+    near = [*words[:200_000], "other", *words[200_001:]]
+    rows = [(5, " ".join(words)), (3, " ".join(near)), (4, " ".join(words[:300_000])), (9, "short")]
+    found = {r.doc_id: (r.component_id, r.n_shingles) for r in minhash.minhash_dedup(frame(spark, rows), num=85).collect()}
+    assert found == {5: (3, 399_996), 3: (3, 399_996), 4: (4, 299_996), 9: (9, 1)}
+
+
 def test_no_rows(spark):
     assert minhash.minhash_dedup(frame(spark, [])).collect() == []
 
 
-def test_many_members_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("size", ["BLOCK_SHINGLES", "EVEN_SHINGLES"])
+def test_many_members_in_blocks(spark, monkeypatch, size):
     """Residual buckets of more shingles than a block are compared in pairs of blocks."""
-    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 450)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 450 if size == "BLOCK_SHINGLES" else 1 << 20)
+    monkeypatch.setattr(minhash, "EVEN_SHINGLES", 300 if size == "EVEN_SHINGLES" else 1 << 20)
     rng = np.random.default_rng(3)
     core = [f"c{i}" for i in range(60)]
     rows = []
