@@ -1,11 +1,12 @@
 """Benchmark passages in documents, by SimHash of item-sized windows.
 
-A window of as many words as an item has is reduced to a 64-bit fingerprint of
-its shingles.  Fingerprints are compared byte by byte: of two within RADIUS
-bits, some byte differs in at most RADIUS // 8 bits, so a table for each of the
-eight bytes finds all items within the radius.  Where a shingle repeats in the
-window or the item, a count of shared shingles finds the item instead.  The
-weighted Jaccard similarity of the shingle counts then decides exactly.
+A window of as many words as an item has is reduced to a 256-bit fingerprint of
+its shingles.  Items of one size are filed by every 16-bit block of theirs, with
+all values one bit away, and a window asks for its own blocks with all values one
+bit away: whatever differs by two bits at most in some block is found, and so is
+every fingerprint within RADIUS bits.  Where a shingle repeats in the window or
+the item, a count of shared shingles finds the item instead.  The weighted
+Jaccard similarity of the shingle counts then decides exactly.
 """
 
 from __future__ import annotations
@@ -20,27 +21,70 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import kernel as K
 
-#: Two windows of similarity 0.8 and distinct shingles differ in 10 of 64 bits on average,
-#: with a standard deviation of 3; beyond 26 the chance is under 1e-6.  It does not hold
-#: for repeated shingles, whose votes add up; these are found by counts.
-RADIUS = 26
+#: Bits of a fingerprint in words of 64, blocks of 16 bits, and the radius that they guarantee: of RADIUS differing
+#: bits some block has two at most.  Two windows of similarity 0.8 and distinct shingles differ in 39 bits on
+#: average, and all sixteen blocks in three bits or more with probability 3e-6.  An unrelated pair passes with
+#: probability 0.03.  None of this holds for repeated shingles, whose votes add up; these are found by counts.
+WORDS = 4
+BLOCKS = 4 * WORDS
+RADIUS = 3 * BLOCKS - 1
 #: Most bytes of item texts that are broadcast at a time; more items take more passes.
 ITEM_BYTES = 8 << 20
-_NEAR = np.array([[bin(a ^ b).count("1") <= RADIUS // 8 for b in range(256)] for a in range(256)])
+#: A block value itself and with any one bit changed; and shingles that vote at a time.
+_NEAR = np.array([0, *(1 << b for b in range(16))], np.uint32)
+_VOTES = 1 << 14
 
 
 def fingerprints(shingles: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    """SimHash bytes (n, 8) of the `width` shingles from each start; a shingle weighs as often as it occurs."""
-    votes = np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
-    sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(votes, axis=0, dtype=np.int32)])
-    return np.packbits(sums[starts + width] - sums[starts] > 0, axis=1)
+    """SimHash blocks (n, BLOCKS), 16 bits each, of the `width` shingles from each of the ascending starts; a
+    shingle weighs as often as it occurs."""
+    out = np.empty((len(starts), 8 * WORDS), np.uint8)
+    first = 0
+    while first < len(starts):
+        base = int(starts[first])
+        last = max(first + 1, int(np.searchsorted(starts, base + max(_VOTES, width))))
+        own, rows = shingles[base : int(starts[last - 1]) + width], starts[first:last] - base
+        for word in range(WORDS):
+            bits = np.unpackbits(K.mix(own + np.uint64(0x9E3779B97F4A7C15 * (word + 1) & (1 << 64) - 1)).view(np.uint8).reshape(-1, 8), axis=1)
+            sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
+            out[first:last, 8 * word : 8 * word + 8] = np.packbits(2 * (sums[rows + width] - sums[rows]) > width, axis=1)
+        first = last
+    return out.view(np.uint16)
+
+
+class _Tables:
+    """The multi-index of the items of one size: (block, value) -> items, also for values one bit away."""
+
+    def __init__(self, members: np.ndarray, prints: np.ndarray):
+        self.members, self.prints = members, prints
+        keys = _keys(prints).ravel()
+        owner = np.repeat(np.arange(len(members)), BLOCKS * len(_NEAR))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owner = keys[order], owner[order]
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (window, member) that some block brings together, each once."""
+        asked = _keys(prints).ravel()
+        low, high = np.searchsorted(self.keys, asked, "left"), np.searchsorted(self.keys, asked, "right")
+        hit = np.flatnonzero(high > low)
+        counts = (high - low)[hit]
+        at = np.repeat(low[hit] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        pairs = np.unique(np.repeat(hit // (BLOCKS * len(_NEAR)), counts) * len(self.members) + self.owner[at])
+        return pairs // len(self.members), pairs % len(self.members)
+
+
+def _keys(prints: np.ndarray) -> np.ndarray:
+    """(n, BLOCKS, 17): block number and value of all blocks, as they are and with one bit changed."""
+    return (prints.astype(np.uint32)[:, :, None] ^ _NEAR) | (np.arange(BLOCKS, dtype=np.uint32) << np.uint32(16))[None, :, None]
 
 
 class Items:
-    """The index of a bounded set of items: shingle postings, and byte tables of their fingerprints by size."""
+    """The index of a bounded set of items: their shingles, and the multi-index of their fingerprints by size.
+
+    `seen` counts windows, pairs of a window and an item of its size, and pairs that the multi-index lets pass."""
 
     def __init__(self, ids: list[int], texts: list[str], k: int):
-        self.k, self.ids = k, ids
+        self.k, self.ids, self.seen = k, ids, np.zeros(3, np.int64)
         batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
         data, at = K.utf8(batch.column("text"))
         data = K.LOWER[data]
@@ -48,7 +92,7 @@ class Items:
         words = K.span_hashes(data, starts, ends)
         self.sizes = np.diff(rows)
         self.counts: list[Counter] = []
-        self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.by_size: dict[int, _Tables] = {}
         self.postings: dict[int, list[int]] = defaultdict(list)
         groups = defaultdict(list)
         for i, size in enumerate(self.sizes.tolist()):
@@ -59,7 +103,7 @@ class Items:
             if size:
                 groups[size].append((i, fingerprints(own, np.zeros(1, np.int64), len(own))[0]))
         for size, members in groups.items():
-            self.by_size[size] = np.array([i for i, _ in members]), np.array([f for _, f in members])
+            self.by_size[size] = _Tables(np.array([i for i, _ in members]), np.array([f for _, f in members]))
         self.short = sorted({s for s in self.by_size if s < k})
         self.known = np.array(sorted(self.postings), np.uint64)
 
@@ -100,28 +144,35 @@ class Items:
         starts = starts[starts <= len(shingles) - width]
         if not len(starts):
             return
-        prints = fingerprints(shingles, starts, width)
-        members, known = self.by_size[size]
-        passes = np.zeros((len(starts), len(members)), bool)
-        for byte in range(8):
-            passes |= _NEAR[prints[:, byte][:, None], known[None, :, byte]]
-        again, counted = repeats(shingles)[starts] < starts + width, np.zeros_like(passes)
+        tables = self.by_size[size]
+        members = tables.members
+        again, counted = repeats(shingles)[starts] < starts + width, {}
         for j, item in enumerate(members.tolist()):
+            if item not in where:
+                continue
             total = self.counts[item].total()
             either = again | (len(self.counts[item]) < total)
-            if item in where and either.any():
+            if either.any():
                 # The intersection is at most the number of the window's shingles that the item has.
                 shared = np.zeros(len(shingles) + 1, np.int64)
                 shared[np.array(where[item]) + 1] = 1
                 shared = np.cumsum(shared)
-                counted[:, j] = either & ((shared[starts + width] - shared[starts]) * (1 + threshold) >= threshold * (width + total) - 1e-6)
-        for w, j in zip(*np.nonzero(passes | counted), strict=True):
-            if not counted[w, j] and int(np.bitwise_count(prints[w] ^ known[j]).sum()) > RADIUS:
-                continue
+                counted[j] = np.flatnonzero(either & ((shared[starts + width] - shared[starts]) * (1 + threshold) >= threshold * (width + total) - 1e-6))
+        for first in range(0, len(starts), _VOTES):
+            part = starts[first : first + _VOTES]
+            w, j = tables.near(fingerprints(shingles, part, width))
+            self.seen += [len(part), len(part) * len(members), len(w)]
+            pairs = set(zip((w + first).tolist(), j.tolist(), strict=True))
+            for other, windows in counted.items():
+                pairs |= {(x, other) for x in windows[(windows >= first) & (windows < first + _VOTES)].tolist()}
+            self._verify(shingles, starts, width, window, members, sorted(pairs), threshold, best)
+
+    def _verify(self, shingles, starts, width, window, members, pairs, threshold, best) -> None:
+        for w, j in pairs:
             item, start = int(members[j]), int(starts[w])
             own = Counter(shingles[start : start + width].tolist())
             both = sum((own & self.counts[item]).values())
-            similarity = both / (width + sum(self.counts[item].values()) - both)
+            similarity = both / (width + self.counts[item].total() - both)
             if similarity >= threshold and similarity > best.get(item, (0.0,))[0]:
                 best[item] = (similarity, start, window)
 
