@@ -33,6 +33,36 @@ def test_top_k_equals_brute_force(spark):
     assert got == sorted(want)
 
 
+def test_top_k_of_clusters_prunes(spark, monkeypatch):
+    """Far clusters are left out by their bounds; of huge components a vector takes no part; sizes are not mixed."""
+    monkeypatch.setattr(topk, "BLOCK", 8)
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 16)) * 3
+    rows = [(i, (centres[i % 12] + rng.normal(size=16) * 0.05).tolist(), 0) for i in range(960)]
+    rows += [(2000, [3e38] * 16, 0), (2050, [-3e38] + [0.0] * 15, 0), (3000, [1.0, 2.0], 0), (3050, [2.0, 1.0], 0), (3100, [], 0)]
+    table = topk.quantised(vectors(spark, rows)).cache()
+    asked = table.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    sent = []
+    keep = topk.cut
+    monkeypatch.setattr(topk, "cut", lambda f, name: sent.append((name, keep(f, name))) or sent[-1][1])
+    found = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(table, asked, 5, shard=40).collect())
+    whole = {r.vec_id: r.v for r in table.collect()}
+    assert 2000 not in whole and 2050 not in whole
+    want = []
+    for q in (i for i in whole if i % 50 == 0 and whole[i]):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert found == sorted(want)
+    pairs = sum(len(r.ids) // 8 for r in dict(sent)["survivors"].collect())
+    assert pairs < 0.5 * 25 * asked.count()
+    scored: list[int] = []
+    ids = np.arange(960)
+    order = np.argsort(ids % 12, kind="stable")
+    v = np.array([whole[i] for i in ids.tolist()])
+    topk.search_shard(ids[order], v[order], ids[::50], v[::50], 5, scored=scored)
+    assert sum(scored) < 0.4 * 960 * 20
+
+
 def test_top_k_of_few_and_none(spark):
     table = topk.quantised(vectors(spark, [(0, [1.0], 0), (1, [2.0], 0), (0, [1.0], 0)]))
     asked = table.where("vec_id = 0").withColumnRenamed("vec_id", "query_id")
