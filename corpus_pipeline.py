@@ -26,15 +26,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates (similarity 0.8 of five-word shingles): the first by
-    doc_id (nulls last), text, then the other columns as JSON.  Every row is a document by its own text, also
+    """One document of each class of near-duplicates (similarity 0.8 of five-word shingles): the one with the
+    smallest doc_id (nulls last), of several the one whose text and other columns hash lowest.  Every row is a document by its own text, also
     where rows share a doc_id or have none.  Of texts without words, which are in no class, rows equal in
     doc_id and text count once."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     # Further columns travel in one struct, so that no name of theirs can clash with an operator's.
     packed = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in others), F.lit(0).alias("_")).alias("_others"))
-    ordered = packed.withColumn("_null", F.col("doc_id").isNull()).withColumn("_rest", F.to_json("_others"))
-    rows = numbered(ordered, "_null", "doc_id", "text", "_rest", name="_row").drop("_null", "_rest")
+    # The order's keys are short, as the bounds of its ranges are sampled from them.
+    ordered = packed.withColumn("_null", F.col("doc_id").isNull()).withColumn("_hash", F.xxhash64("text", F.to_json("_others")))
+    rows = numbered(ordered, "_null", "doc_id", "_hash", name="_row").drop("_null", "_hash")
     kept = minhash_dedup(rows.select(F.col("_row").alias("doc_id"), "text"), k=5, num=80, den=100).where("kept")
     stay = rows.join(kept.select(F.col("doc_id").alias("_row"), (F.col("n_shingles") > 0).alias("_words")).hint("merge"), "_row")
     first = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("_row"))
