@@ -96,10 +96,16 @@ def name_of(key: Column) -> Column:
     return F.regexp_extract(key, r"([^/]*)$", 1)
 
 
+def first_bytes(text: Column, size: int) -> Column:
+    """The first `size` bytes, each read as one Latin-1 character."""
+    return F.decode(F.substring(F.encode(text, "UTF-8"), 1, size), "ISO-8859-1")
+
+
 def keyword_matches(value: Column, query: str) -> Column:
-    """How many of the query's words (two bytes at least, query cut to 255 bytes) are in the value's first 1023 bytes."""
-    words = [w for w in query.encode()[:255].decode(errors="ignore").lower().split() if len(w.encode()) >= 2]
-    head = ascii_lower(F.substring(value, 1, 1023))
+    """How many of the query's words (between ASCII white space, two bytes at least, query cut to 255 bytes) are in
+    the value's first 1023 bytes; ASCII case is ignored."""
+    words = [w.decode("latin-1") for w in query.encode()[:255].lower().split() if len(w) >= 2]
+    head = first_bytes(ascii_lower(value), 1023)
     return sum((F.contains(head, F.lit(w)).cast("int") for w in words), F.lit(0))
 
 
@@ -162,8 +168,16 @@ def clean_text(text: Column) -> Column:
     return F.regexp_replace(F.make_valid_utf8(text), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
 
 
+def within_bytes(text: Column, size: int) -> Column:
+    """The longest beginning of at most `size` bytes that ends with a character."""
+    # A cut inside a character leaves an invalid tail, which reads as one replacement character.
+    cut = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, size).cast("string")), "�+$", "")
+    return F.when(F.octet_length(text) > size, cut).otherwise(text)
+
+
 def preview(text: Column) -> Column:
-    return F.substring(text, 1, PREVIEW)
+    """The first 200 bytes without a broken character; page_rows escapes it as it writes JSON."""
+    return within_bytes(text, PREVIEW)
 
 
 def strip_html(html: Column) -> Column:
@@ -183,11 +197,8 @@ def safe_name(title: Column) -> Column:
 def chapter_name(index: Column, title: Column) -> Column:
     """Two digits of the 1-based index, a dash, and the safe name cut to 60 bytes on a character boundary."""
     name = safe_name(title)
-    raw = F.encode(name, "UTF-8")
-    # A cut inside a character leaves an invalid tail, which reads as one replacement character.
-    cut = F.regexp_replace(F.make_valid_utf8(F.substring(raw, 1, 60).cast("string")), "�+$", "")
     number = (index + 1).cast("string")
-    return F.concat(F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number), F.lit("-"), F.when(F.octet_length(name) > 60, cut).otherwise(name))
+    return F.concat(F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number), F.lit("-"), within_bytes(name, 60))
 
 
 def skipped_file(path: Column) -> Column:

@@ -50,10 +50,14 @@ def caller_map(frame: DataFrame, group: str, caller: str, most: int = 10) -> Dat
     return best.select(group, F.map_from_entries(F.transform("_b", lambda x: F.struct(x["k"], -x["n"]))).alias("callers"))
 
 
+def off_cpu_stacks(samples: DataFrame) -> DataFrame:
+    """stack, state, samples: counts by stack and reason."""
+    return samples.groupBy("stack", "state").agg(F.count("*").alias("samples"))
+
+
 def off_cpu(samples: DataFrame) -> DataFrame:
     """state, samples, stacks: counts by reason and the number of stacks of each."""
-    two = samples.groupBy("state", "stack").agg(F.count("*").alias("_c"))
-    return two.groupBy("state").agg(F.sum("_c").alias("samples"), F.count("*").alias("stacks"))
+    return off_cpu_stacks(samples).groupBy("state").agg(F.sum("samples").alias("samples"), F.count("*").alias("stacks"))
 
 
 def hot_functions(samples: DataFrame, name: str = "function", n: int = 10) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from quillstone.functions import text as X
 from quillstone.operators.ranking import numbered
+from quillstone.sources.staging import staged
 
 #: Bytes of the shortest paragraph, of a sentence chunk, of a page; paragraphs below which
 #: sentences decide, and from which text size; how far a cut moves back.
@@ -42,6 +43,12 @@ def best_cut(raw: bytes, start: int, target: int) -> int:
     return at
 
 
+@F.pandas_udf(T.LongType())
+def cut_at(text: pd.Series, target: pd.Series) -> pd.Series:
+    """Where best_cut cuts each text from its beginning."""
+    return pd.Series([best_cut((s or "").encode(), 0, int(t)) for s, t in zip(text, target, strict=True)])
+
+
 def split_text(text: str) -> list[str]:
     """Pages of a text: paragraphs between blank lines, sentence chunks where paragraphs are few, long ones
     cut, and short neighbours merged up to a page."""
@@ -118,13 +125,16 @@ def assembled(pages: DataFrame, spans: DataFrame) -> DataFrame:
     return pages.join(spans, "book").where(inside).groupBy("book", "title").agg(F.count("*").alias("pages"))
 
 
-def flat_outline(nodes: DataFrame, max_level: int = 8) -> DataFrame:
-    """book, id, level, title, page of an outline tree (book, id, parent, title, page): level by level, each
-    a join of one level with its children."""
+def flat_outline(nodes: DataFrame) -> DataFrame:
+    """book, id, level, title, page of an outline tree (book, id, parent, title, page) of any depth: level by level,
+    each a join of one level with its children, staged, until a level is empty."""
     level = nodes.where("parent is null").withColumn("level", F.lit(0))
     out = level
-    for n in range(1, max_level + 1):
-        level = nodes.alias("c").join(level.select(F.col("book").alias("_b"), F.col("id").alias("_i")), (F.col("c.book") == F.col("_b")) & (F.col("c.parent") == F.col("_i"))).select("c.*").withColumn("level", F.lit(n))
+    for n in range(1, nodes.count() + 1):  # a tree has no more levels than nodes
+        children = nodes.alias("c").join(level.select(F.col("book").alias("_b"), F.col("id").alias("_i")), (F.col("c.book") == F.col("_b")) & (F.col("c.parent") == F.col("_i")))
+        level = staged(children.select("c.*").withColumn("level", F.lit(n)), "outline")
+        if level.isEmpty():
+            break
         out = out.unionByName(level)
     return out.drop("parent")
 

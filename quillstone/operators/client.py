@@ -73,7 +73,7 @@ class Cache:
             return
         self.frame = keyed.upsert(self.frame, changes)
         if self.max_memory:
-            self.frame = keyed.retained(self.frame.where(~F.col("deleted")), self.max_memory, buckets=16)
+            self.frame = keyed.retained(self.frame.where(~F.col("deleted")), self.max_memory)
         self._merges += 1
         if self._merges % STAGE_EVERY == 0:
             self.frame = staged(self.frame, "cache")

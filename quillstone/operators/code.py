@@ -27,11 +27,63 @@ CALL_KEYWORDS = ("if", "while", "for", "switch", "return", "sizeof", "typeof", "
 #: Kinds that a symbol index leaves out, and kinds of chunks that a syntax-tree indexer keeps.
 LOW_VALUE_KINDS = ("variable", "member", "field", "local", "parameter")
 CHUNK_KINDS = ("declaration", "method", "class", "interface", "type_alias", "enum", "module", "function")
-#: Frequent library names that are no call targets of interest.
-NOISE_SYMBOLS = ("Array", "Boolean", "Date", "Error", "JSON", "Map", "Math", "Number", "Object", "Promise", "RegExp", "Set", "String", "console", "exports", "module", "process", "require", "undefined", "add", "catch", "clear", "concat", "delete", "entries", "every", "filter", "finally", "find", "flat", "flatMap", "forEach", "get", "has", "includes", "indexOf", "join", "keys", "map", "match", "pop", "push", "reduce", "replace", "reverse", "set", "shift", "slice", "some", "sort", "splice", "split", "startsWith", "endsWith", "test", "exec", "then", "toString", "trim", "unshift", "values", "fetch", "pipe", "log", "error", "warn", "setTimeout", "setInterval", "parseInt", "parseFloat")
+#: Frequent library names without a namespace that are no call targets of interest.
+NOISE_NAMES = (
+    "Array", "ArrayBuffer", "Boolean", "Buffer", "DataView", "Date", "Error", "Function", "Infinity", "JSON", "Map", "Math", "NaN", "Number", "Object",
+    "Promise", "Proxy", "RangeError", "ReferenceError", "RegExp", "Set", "String", "Symbol", "TypeError", "URIError", "WeakMap", "WeakSet",
+    "console", "exports", "global", "globalThis", "module", "process", "require", "undefined",
+    "at", "concat", "copyWithin", "entries", "every", "fill", "filter", "find", "findIndex", "findLast", "findLastIndex", "flat", "flatMap", "forEach",
+    "includes", "indexOf", "join", "keys", "lastIndexOf", "map", "pop", "push", "reduce", "reduceRight", "reverse", "shift", "slice", "some", "sort",
+    "splice", "toLocaleString", "toString", "unshift", "values",
+    "charAt", "charCodeAt", "codePointAt", "endsWith", "fromCharCode", "match", "matchAll", "normalize", "padEnd", "padStart", "repeat", "replace",
+    "replaceAll", "search", "split", "startsWith", "substring", "substr", "toLowerCase", "toUpperCase", "trim", "trimEnd", "trimStart",
+    "isFinite", "isInteger", "isNaN", "isSafeInteger", "parseFloat", "parseInt", "toFixed", "toPrecision",
+    "abs", "ceil", "floor", "max", "min", "pow", "random", "round", "sqrt", "trunc",
+    "getDate", "getDay", "getFullYear", "getHours", "getMilliseconds", "getMinutes", "getMonth", "getSeconds", "getTime", "getTimezoneOffset", "getUTCDate",
+    "toISOString", "toUTCString", "exec", "test", "add", "clear", "delete", "get", "has", "set", "size", "catch", "finally", "then",
+    "setTimeout", "clearTimeout", "setInterval", "clearInterval", "setImmediate",
+    "Effect", "Context", "Layer", "Ref", "Option", "Either", "Schema", "pipe", "fetch", "log", "error", "warn",
+)
+#: Members of namespaces that are noise as well; of those of fs that are marked so also the name with Sync.
+NOISE_MEMBERS = {
+    "Array": ("from", "isArray", "of"),
+    "Object": (
+        "assign", "create", "defineProperties", "defineProperty", "entries", "freeze", "fromEntries", "getOwnPropertyDescriptor", "getOwnPropertyDescriptors",
+        "getOwnPropertyNames", "getOwnPropertySymbols", "getPrototypeOf", "hasOwn", "is", "isExtensible", "isFrozen", "isSealed", "keys", "preventExtensions",
+        "seal", "setPrototypeOf", "values",
+    ),
+    "JSON": ("parse", "stringify"),
+    "Promise": ("all", "allSettled", "any", "race", "reject", "resolve"),
+    "console": ("debug", "error", "info", "log", "trace", "warn"),
+    "process": ("cwd", "env", "exit", "nextTick"),
+    "Effect": (
+        "acquireUseRelease", "all", "andThen", "annotateLogs", "as", "bind", "bindTo", "catch", "catchAll", "catchSome", "catchTag", "catchTags",
+        "die", "either", "fail", "filter", "flatMap", "fn", "fork", "forever", "fromNullable", "gen", "if", "ignore", "iterate", "join", "let", "log", "logError",
+        "map", "mapBoth", "mapError", "mergeAll", "never", "onExit", "orDie", "optionFromOptional", "provide", "provideLayer", "provideService",
+        "provideServiceEffect", "promise", "race", "raceAll", "repeat", "retry", "runFork", "runPromise", "runPromiseExit", "runSync", "schedule", "scoped",
+        "sleep", "succeed", "sync", "tap", "tapBoth", "tapError", "timeout", "try", "tryPromise", "unified", "void", "withSpan", "zip", "zipLeft", "zipRight", "zipWith",
+    ),
+    "Context": ("Service", "Tag", "add", "get", "make", "merge", "empty"),
+    "Layer": ("effect", "merge", "provide", "succeed", "sync", "toRuntime"),
+    "Ref": ("get", "make", "set", "update", "updateAndGet"),
+    "Option": ("flatMap", "fromNullable", "getOrElse", "getOrThrow", "map", "none", "orElse", "some"),
+    "Either": ("flatMap", "left", "map", "match", "right", "void"),
+    "Schema": (
+        "Array", "Boolean", "Class", "Date", "Literal", "Number", "Record", "String", "Struct", "Tuple", "Union", "decode", "decodeUnknown",
+        "encode", "encodeUnknown", "optional", "parseJson",
+    ),
+    "Buffer": ("alloc", "concat", "from", "isBuffer"),
+    "path": ("basename", "dirname", "extname", "format", "isAbsolute", "join", "normalize", "parse", "relative", "resolve"),
+    "child_process": ("exec", "execFile", "execFileSync", "execSync", "fork", "spawn"),
+    "fs": ("existsSync",),
+}
+NOISE_FS = ("access", "appendFile", "copyFile", "cp", "mkdir", "readFile", "readdir", "rename", "rm", "rmdir", "stat", "writeFile")
+NOISE_SYMBOLS = (*NOISE_NAMES, *(f"{space}.{name}" for space, names in NOISE_MEMBERS.items() for name in names), *(f"fs.{name}{sync}" for name in NOISE_FS for sync in ("", "Sync")))
 #: Most arguments of a call, most lines and look-ahead of a block, windows of a long body.
 MAX_ARGUMENTS, MAX_BLOCK_LINES, BRACE_WITHIN = 20, 500, 10
 WINDOW_FROM, WINDOW, OVERLAP, MAX_PARTS = 2000, 1500, 500, 5
+#: Most import terms that are compared with all repositories.
+MAX_TERMS = 10_000
 #: Words that begin a declaration in C.
 C_TYPES = ("int", "char", "float", "double", "long", "short", "unsigned", "signed", "void", "bool", "size_t", "struct", "enum", "union", "const", "static", "auto", "uint8_t", "uint16_t", "uint32_t", "uint64_t", "int8_t", "int16_t", "int32_t", "int64_t")
 C_KEYWORDS = ("if", "else", "while", "for", "do", "switch", "case", "break", "continue", "return", "goto", "default", "sizeof", "typedef", "extern", "NULL")
@@ -91,33 +143,42 @@ def imports(code: Column, language: str) -> dict[str, Column]:
 
 def repositories_for(terms: DataFrame, repos: DataFrame) -> DataFrame:
     """repo for import terms (term) and repositories (repo: /code/owner/name): containment either way with
-    the name or the owner, also without - _ and dots.  Terms of one source file are few and are broadcast."""
+    the name or the owner, also without - _ and dots.  Terms are those of one source file: their number is
+    checked before they are broadcast."""
+    terms = terms.distinct()
+    if terms.limit(MAX_TERMS + 1).count() > MAX_TERMS:
+        raise ValueError(f"more than {MAX_TERMS} import terms")
     parts = F.split(F.lower("repo"), "/")
     known = repos.where(F.size(F.split("repo", "/")) >= 3).withColumn("_name", F.element_at(parts, -1)).withColumn("_owner", F.element_at(parts, -2))
     t = F.lower("term")
     bare = lambda c: F.regexp_replace(c, "[-_.]", "")
     either = lambda a, b: F.contains(a, b) | F.contains(b, a)
     match = either(F.col("_name"), t) | either(F.col("_owner"), t) | either(bare(F.col("_name")), bare(t))
-    return known.join(F.broadcast(terms.distinct()), match).select("repo").distinct()
+    return known.join(F.broadcast(terms), match).select("repo").distinct()
 
 
-def noise_symbol(name: Column) -> Column:
-    """Names that are no functions of interest: punctuation, library names, under three characters, no lower-case letter."""
-    return name.isNull() | name.rlike(r"[()\[\]{}`$\"']") | name.rlike(r"^\s*$") | name.isin(*NOISE_SYMBOLS) | (F.octet_length(name) < 3) | ~name.rlike("[a-z]")
+def noise_symbol(name: Column, further: tuple[str, ...] = ()) -> Column:
+    """Names that are no functions of interest: punctuation, library names and `further` ones, under three bytes, no lower-case letter."""
+    return name.isNull() | name.rlike(r"[()\[\]{}`$\"']") | name.rlike(r"^\s*$") | name.isin(*NOISE_SYMBOLS, *further) | (F.octet_length(name) < 3) | ~name.rlike("[a-z]")
 
 
-def call_sites(bodies: DataFrame, functions: DataFrame) -> DataFrame:
-    """src, dst, file, line: calls of known functions in bodies (name, file, line_start, content).
+def call_sites(bodies: DataFrame, functions: DataFrame, arguments: bool = False) -> DataFrame:
+    """src, dst, file, line[, args]: calls of known functions in bodies (name, file, line_start, content).
 
     A body is cut into lines, a line into identifiers before parentheses; each joins the function table.
-    Self calls, noise names and repeated (callee, caller, file, line) are dropped."""
+    Self calls, noise names and repeated (callee, caller, file, line) are dropped.  With `arguments` the
+    top-level arguments of the first call of that name in the line come along, as flow() needs them."""
     lines = bodies.select(F.col("name").alias("src"), "file", "line_start", F.posexplode(F.split("content", "\n")).alias("_i", "_l"))
-    tokens = lines.select("src", "file", (F.col("line_start") + F.col("_i")).alias("line"), F.explode(F.array_distinct(F.regexp_extract_all("_l", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\s*\("), 1))).alias("token"))
+    found = F.explode(F.array_distinct(F.regexp_extract_all("_l", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\s*\("), 1))).alias("token")
+    tokens = lines.select("src", "file", (F.col("line_start") + F.col("_i")).alias("line"), *(["_l"] if arguments else []), found)
     tokens = tokens.where(~F.col("token").isin(*CALL_KEYWORDS) & ~noise_symbol(F.col("token")))
-    return resolve_callees(tokens, functions).select("src", "dst", "file", "line").distinct()
+    sites = resolve_callees(tokens, functions)
+    if not arguments:
+        return sites.select("src", "dst", "file", "line").distinct()
+    return sites.select("src", "dst", "file", "line", call_arguments("_l", "token").alias("args")).dropDuplicates(["src", "dst", "file", "line"])
 
 
-@F.udf(T.ArrayType(T.StringType()))
+@F.udf(returnType=T.ArrayType(T.StringType()), useArrow=True)
 def call_arguments(line: str, name: str):
     """The top-level arguments of the first call of `name` in a line, at most 20."""
     at = re.search(rf"(?<![A-Za-z0-9_]){re.escape(name)}\s*\(", line or "")
@@ -147,7 +208,7 @@ def call_arguments(line: str, name: str):
     return (out + [last] if last or out else out)[:MAX_ARGUMENTS]
 
 
-@F.udf(T.IntegerType())
+@F.udf(returnType=T.IntegerType(), useArrow=True)
 def block_end(lines: list[str], start: int):
     """The 0-based line where the block that begins near `start` ends; 0 for a declaration or no brace nearby."""
     depth, opened, comment = 0, False, False
@@ -183,7 +244,7 @@ def block_end(lines: list[str], start: int):
     return min(len(lines), start + MAX_BLOCK_LINES) - 1 if opened else 0
 
 
-@F.udf(T.StringType())
+@F.udf(returnType=T.StringType(), useArrow=True)
 def full_definition(content: str, start: int):
     """The text from a line to the end of its block."""
     lines = (content or "").split("\n")
@@ -191,7 +252,7 @@ def full_definition(content: str, start: int):
     return "\n".join(lines[start : end + 1]) if end else "\n".join(lines[start : start + 1])
 
 
-@F.udf(T.ArrayType(T.StructType([T.StructField("part", T.IntegerType()), T.StructField("content", T.StringType())])))
+@F.udf(returnType=T.ArrayType(T.StructType([T.StructField("part", T.IntegerType()), T.StructField("content", T.StringType())])), useArrow=True)
 def body_windows(content: str, signature: str, name: str):
     """A body of over 2000 bytes as itself and windows of 1500 bytes with 500 overlap, five parts at most;
     a window ends at its last line end and begins with the signature (or name) and its part number."""
@@ -217,7 +278,7 @@ def body_windows(content: str, signature: str, name: str):
     return out
 
 
-@F.udf(T.ArrayType(T.StructType([T.StructField("variable", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("line", T.IntegerType()), T.StructField("field", T.StringType())])))
+@F.udf(returnType=T.ArrayType(T.StructType([T.StructField("variable", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("line", T.IntegerType()), T.StructField("field", T.StringType())])), useArrow=True)
 def variable_occurrences(content: str):
     """Definitions, assignments and uses of variables in one C function body, line by line.
 
@@ -246,12 +307,23 @@ def variable_occurrences(content: str):
     return out
 
 
+def c_word(word: Column) -> Column:
+    """type, keyword or name."""
+    return F.when(word.isin(*C_TYPES), "type").when(word.isin(*C_KEYWORDS), "keyword").otherwise("name")
+
+
 def dataflow(bodies: DataFrame) -> DataFrame:
     """variable, function, file, line, kind, field for bodies (name, file, line_start, content)."""
     rows = bodies.select(F.col("name").alias("function"), "file", "line_start", F.explode(variable_occurrences("content")).alias("_o"))
     return rows.select("_o.variable", "function", "file", (F.col("line_start") + F.col("_o.line")).alias("line"), "_o.kind", "_o.field")
 
 
+def function_index(occurrences: DataFrame) -> DataFrame:
+    """function, file, variable, definitions, assignments, usages: the occurrences regrouped by function."""
+    kinds = (("definition", "definitions"), ("assignment", "assignments"), ("usage", "usages"))
+    return occurrences.groupBy("function", "file", "variable").agg(*(F.count_if(F.col("kind") == k).alias(name) for k, name in kinds))
+
+
 def field_counts(occurrences: DataFrame) -> DataFrame:
     return occurrences.where("field is not null").groupBy("variable", "field").agg(F.count("*").alias("occurrences"))
 
@@ -275,6 +347,8 @@ def key_rows(namespace: str, chunks: DataFrame, sites: DataFrame | None = None,
     if occurrences is not None:
         group = F.array_sort(F.collect_list(F.struct("file", "line", "function", "kind", "field")))
         out = out.unionByName(occurrences.groupBy("variable").agg(group.alias("o")).select(F.concat_ws("/", n, F.lit("dataflow/vars"), "variable").alias("key"), F.to_json("o").alias("value")))
+        index = function_index(occurrences).groupBy("function").agg(F.array_sort(F.collect_list("variable")).alias("v"))  # as many as a function has variables
+        out = out.unionByName(index.select(F.concat_ws("/", n, F.lit("dataflow/_func_index"), "function").alias("key"), F.to_json("v").alias("value")))
     info = chunks.agg(F.count("*").alias("chunks"), F.count_distinct("file").alias("files"))
     return out.unionByName(info.select(F.concat_ws("/", n, F.lit("_meta/info")).alias("key"), F.to_json(F.struct("chunks", "files")).alias("value")))
 

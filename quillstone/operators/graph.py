@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.operators.ranking import top
+from quillstone.sources.staging import staged
 
-#: Levels and paths that an expansion goes at most.
-MAX_DEPTH, MAX_PATHS = 5, 50
+#: Levels and paths that an expansion goes at most, and sites of one name that an array holds.
+MAX_DEPTH, MAX_PATHS, MAX_SITES = 5, 50, 1000
 
 
 def fan_in(edges: DataFrame) -> DataFrame:
@@ -29,14 +30,32 @@ def top_fan_out(edges: DataFrame, n: int = 20) -> DataFrame:
     return top(fan_out(edges), n, "fan_out", "name")
 
 
-def callers(sites: DataFrame) -> DataFrame:
-    """name, count, sites: the call sites (src, dst, file, line) of each callee."""
-    return sites.groupBy(F.col("dst").alias("name")).agg(F.count("*").alias("count"), F.array_sort(F.collect_list(F.struct(F.col("src").alias("function"), "file", "line"))).alias("sites"))
+def _grouped(sites: DataFrame, name: str, function: str, most: int) -> DataFrame:
+    counts = sites.groupBy(F.col(name).alias("name")).agg(F.count("*").alias("count"))
+    order = Window.partitionBy("name").orderBy("function", "file", "line")
+    first = sites.select(F.col(name).alias("name"), F.col(function).alias("function"), "file", "line").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
+    lists = first.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("function", "file", "line"))).alias("sites"))
+    return counts.join(lists, "name")
 
 
-def callees(sites: DataFrame) -> DataFrame:
-    """name, count, sites: the call sites of each caller."""
-    return sites.groupBy(F.col("src").alias("name")).agg(F.count("*").alias("count"), F.array_sort(F.collect_list(F.struct(F.col("dst").alias("function"), "file", "line"))).alias("sites"))
+def callers(sites: DataFrame, most: int = MAX_SITES) -> DataFrame:
+    """name, count, sites: how many call sites (src, dst, file, line) a callee has, and the first `most` of them by
+    function, file and line; all of them are the rows of `sites`."""
+    return _grouped(sites, "dst", "src", most)
+
+
+def callees(sites: DataFrame, most: int = MAX_SITES) -> DataFrame:
+    """name, count, sites: the same of each caller."""
+    return _grouped(sites, "src", "dst", most)
+
+
+def neighbourhood(sites: DataFrame, name: str | Column, depth: int = 2) -> DataFrame:
+    """name, direction (callers or callees), depth: the functions within `depth` calls of one function."""
+    start = sites.sparkSession.range(1).select(F.lit(name).cast(dict(sites.dtypes)["src"]).alias("name"))
+    edges = sites.select("src", "dst").distinct()
+    down = reach(edges, start, depth).withColumn("direction", F.lit("callees"))
+    up = reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), start, depth).withColumn("direction", F.lit("callers"))
+    return up.unionByName(down).where("depth > 0").select("name", "direction", "depth")
 
 
 def referenced(sites: DataFrame, n: int = 20) -> DataFrame:
@@ -48,27 +67,35 @@ def referenced(sites: DataFrame, n: int = 20) -> DataFrame:
 def paths_up(edges: DataFrame, start, max_depth: int = MAX_DEPTH, max_paths: int = MAX_PATHS) -> DataFrame:
     """path: ways from `start` to its callers' callers.  A path ends at a function without callers, at
     max_depth calls, or at a node that it already has, which it then includes; the first max_paths by
-    path.  max_depth joins of the frontier with the edges; no state on the driver."""
+    path.  max_depth joins of the frontier with the edges; no state on the driver.  A path's continuations
+    stand together in the order of paths, so of each level only the first max_paths can matter; every level
+    is staged, as the next one reads it twice."""
     pairs = edges.select("src", "dst").distinct()
     kind = dict(edges.dtypes)["src"]
     frontier = edges.sparkSession.range(1).select(F.array(F.lit(start).cast(kind)).alias("path"), F.lit(start).cast(kind).alias("at"), F.lit(False).alias("looped"))
     done = None
-    for _ in range(max_depth):
+    for level in range(max_depth):
         step = frontier.where("not looped").join(pairs.withColumnRenamed("dst", "at"), "at", "left")
         closed = frontier.where("looped").select("path").unionByName(step.where("src is null").select("path"))
         done = closed if done is None else done.unionByName(closed)
         onward = step.where("src is not null")
         frontier = onward.select(F.array_append("path", F.col("src")).alias("path"), F.col("src").alias("at"), F.array_contains("path", F.col("src")).alias("looped"))
+        frontier = frontier.orderBy("path").limit(max_paths)
+        if level + 1 < max_depth:
+            frontier = staged(frontier, "paths")
     return done.unionByName(frontier.select("path")).orderBy("path").limit(max_paths)
 
 
 def reach(edges: DataFrame, start: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """name, depth: breadth-first from `start` (name) along the calls; every function at its least depth."""
+    """name, depth: breadth-first from `start` (name) along the calls; every function at its least depth.  Each
+    level is staged, as the next ones read it several times."""
     seen = start.select("name", F.lit(0).alias("depth")).distinct()
     frontier, pairs = seen, edges.select(F.col("src").alias("name"), "dst").distinct()
     for depth in range(1, max_depth + 1):
         step = frontier.join(pairs, "name").select(F.col("dst").alias("name")).distinct()
-        frontier = step.join(seen, "name", "left_anti").withColumn("depth", F.lit(depth))
+        frontier = staged(step.join(seen, "name", "left_anti").withColumn("depth", F.lit(depth)), "reach")
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 

@@ -84,6 +84,21 @@ def remove(kv: DataFrame, keys: DataFrame) -> DataFrame:
     return kv.join(keys.select("key").distinct(), "key", "left_anti")
 
 
+def set_in(kv: DataFrame, namespace: str, key: str, value: str, now: int, ttl_ms: int = 0) -> DataFrame:
+    """`kv` with an entry at the namespace's key, as a newer version than any."""
+    row = kv.sparkSession.range(1).crossJoin(F.broadcast(kv.agg((F.coalesce(F.max("version"), F.lit(0)) + 1).alias("_v"))))
+    made = entries(row, F.lit(full_key(namespace, key)), F.lit(value), F.lit(now), ttl_ms, F.col("_v"))
+    return upsert(kv, made)
+
+
+def get_in(kv: DataFrame, namespace: str, key: str, now: int) -> DataFrame:
+    return get(kv, full_key(namespace, key), now)
+
+
+def remove_in(kv: DataFrame, namespace: str, key: str) -> DataFrame:
+    return kv.where(F.col("key") != full_key(namespace, key))
+
+
 def full_key(namespace: str, key: str) -> str:
     return f"{namespace.rstrip('/')}/{key}"
 
@@ -140,14 +155,20 @@ def namespace_counts(kv: DataFrame) -> DataFrame:
     return kv.groupBy(namespace_of(F.col("key")).alias("namespace")).agg(F.count("*").alias("entries"))
 
 
-def retained(kv: DataFrame, capacity: int, *, buckets: int = 1024) -> DataFrame:
+#: Entries of a range whose running sum one task forms.
+RANGE_ENTRIES = 1_000_000
+
+
+def retained(kv: DataFrame, capacity: int, *, buckets: int | None = None) -> DataFrame:
     """The entries that least-recently-used eviction leaves within `capacity` bytes.
 
     Permanent entries stay and use capacity.  Of the others the most recently
     used suffix stays whose bytes fit into the rest, ties by key.  The running
     sum is two-level: bytes are summed per range of access times first, and only
-    the entries of one range meet in a task's window.
+    the entries of one range, RANGE_ENTRIES or so, meet in a task's window.
     """
+    if buckets is None:
+        buckets = -(-kv.count() // RANGE_ENTRIES) + 7
     sized = kv.withColumn("_b", entry_bytes())
     fixed = sized.where("permanent").agg(F.coalesce(F.sum("_b"), F.lit(0)).alias("_fixed"))
     loose = sized.where("not permanent")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as X
 from quillstone.operators.keyed import in_namespace, live
+from quillstone.sources.staging import staged
 
 
 @dataclass(frozen=True)
@@ -60,11 +61,18 @@ def fuzzy(kv: DataFrame, target: str, now: int, options: Options = Options()) ->
 
 
 def tag(kv: DataFrame, word: str, now: int, options: Options = Options()) -> DataFrame:
-    """Values with the tag as a token (as written); without any, values with it as a bounded word."""
-    tokens = _found(kv, now, options, F.array_contains(X.tag_tokens(F.col("value")), word) if len(word.encode()) >= 2 else F.lit(False))
-    bounded = _found(kv, now, options, X.contains_word(F.col("value"), word))
-    none = tokens.limit(1).agg((F.count("*") == 0).alias("_none"))
-    return tokens.unionByName(bounded.crossJoin(F.broadcast(none)).where("_none").drop("_none"))
+    """Values with the tag as a token (as written); without any, values with it as a bounded word.
+
+    One scan finds both; what it finds is staged, and whether a token was among it decides."""
+    token = F.array_contains(X.tag_tokens(F.col("value")), word) if len(word.encode()) >= 2 else F.lit(False)
+    either = token | X.contains_word(F.col("value"), word)
+    rows = live(kv, now).where(F.contains("value", F.lit(word))).where(either)
+    if options.namespace is not None:
+        rows = rows.where(in_namespace(options.namespace))
+    rows = staged(rows.select("key", "value", F.lit(1.0).alias("score"), token.alias("_token")), "tag")
+    any_token = rows.agg(F.coalesce(F.bool_or("_token"), F.lit(False)).alias("_any"))
+    kept = rows.crossJoin(F.broadcast(any_token)).where(F.col("_token") | ~F.col("_any")).select("key", "value", "score")
+    return kept.orderBy("key").limit(options.max_results) if options.max_results else kept
 
 
 def structure(kv: DataFrame, query: str, now: int, options: Options = Options()) -> DataFrame:
@@ -73,10 +81,24 @@ def structure(kv: DataFrame, query: str, now: int, options: Options = Options())
     return _found(kv, now, options, F.contains(value, F.lit('"type":"')) & F.contains(value, F.lit(query)))
 
 
+def tag_postings(kv: DataFrame) -> DataFrame:
+    """tag, key: the inverted index, a row for each key of a tag.  A tag of any number of keys stays rows."""
+    return kv.select(F.explode(F.array_distinct(X.tag_tokens(F.col("value")))).alias("tag"), "key")
+
+
 def tag_index(kv: DataFrame) -> DataFrame:
-    """tag -> keys: the inverted index as a table, for many lookups."""
-    rows = kv.select("key", F.explode(F.array_distinct(X.tag_tokens(F.col("value")))).alias("tag"))
-    return rows.groupBy("tag").agg(F.count("*").alias("entries"))
+    """tag, entries: how many keys each tag of the index has."""
+    return tag_postings(kv).groupBy("tag").agg(F.count("*").alias("entries"))
+
+
+def write_tag_index(kv: DataFrame, path: str) -> None:
+    """The postings stored in order of tag and key, so that a lookup skips all row groups but a few."""
+    tag_postings(kv).repartitionByRange("tag", "key").sortWithinPartitions("tag", "key").write.mode("overwrite").parquet(path)
+
+
+def tagged(kv: DataFrame, postings: DataFrame, word: str, now: int) -> DataFrame:
+    """key, value of the live entries that the stored index has for a tag."""
+    return live(kv, now).join(postings.where(F.col("tag") == word).select("key"), "key", "left_semi").select("key", "value")
 
 
 def serve(kv: DataFrame, parameters: dict[str, str], now: int) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstone.functions.text import within_bytes
+
 #: Field types by name.
 TYPES = {
     "int32": T.IntegerType(), "int64": T.LongType(), "uint64": T.DecimalType(20, 0), "float": T.FloatType(), "double": T.DoubleType(),
@@ -51,8 +53,7 @@ def schema_of(fields: dict[str, str]) -> T.StructType:
 
 def fixed_string(text: Column, size: int) -> Column:
     """A string field of `size` bytes keeps size - 1 of them, on a character boundary."""
-    cut = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, size - 1).cast("string")), "�+$", "")
-    return F.when(F.octet_length(text) >= size, cut).otherwise(text)
+    return within_bytes(text, size - 1)
 
 
 def managed(frame: DataFrame, *order: str) -> DataFrame:
@@ -161,6 +162,25 @@ def compact_due(table: DataFrame, threshold: float = 0.3) -> bool:
     return threshold > 0 and ratio is not None and ratio >= threshold
 
 
+def log_records(rows: DataFrame, op: int, first_lsn: int, *order: str) -> DataFrame:
+    """lsn, op, body (the row as JSON), crc of changed rows, numbered from first_lsn in the given order."""
+    from quillstone.operators.ranking import numbered
+
+    body = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
+    made = numbered(rows, *order, name="_lsn").select((F.col("_lsn") + first_lsn - 1).alias("lsn"), F.lit(op).alias("op"), body.alias("body"))
+    return made.withColumn("crc", F.crc32(F.col("body").cast("binary")))
+
+
+def append_log(log_path: str, records: DataFrame) -> None:
+    """Appends log_records; files of one append become visible together, when its job commits."""
+    records.write.mode("append").parquet(log_path)
+
+
+def logged_rows(log: DataFrame, schema: str) -> DataFrame:
+    """lsn, op and the fields of the sound records of a log (lsn, op, body, crc)."""
+    return valid_log(log).select("lsn", "op", F.from_json("body", schema).alias("_r")).select("lsn", "op", "_r.*")
+
+
 def replay(log: DataFrame, *key: str) -> DataFrame:
     """The rows that a change log (lsn, op 1 insert, 2 update, 3 delete, fields) leaves: the last change of
     each key, deletions dropped.  Replaying twice gives the same rows; of records with one lsn, one counts."""

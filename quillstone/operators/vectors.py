@@ -1,4 +1,4 @@
-"""Vector search and ranking: exact top-k, hybrid and engine scores, batch search, optional hashing index."""
+"""Vector search and ranking: exact top-k, hybrid and engine scores, batch search, stored codes for approximate search."""
 
 from __future__ import annotations
 
@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 
 from quillstone.functions import text as X
 from quillstone.functions import vectors as V
-from quillstone.operators.ranking import top
+from quillstone.operators.graph import neighbourhood
+from quillstone.operators.keyed import in_namespace, live
+from quillstone.operators.ranking import cross_project, length_batches, top
 
 #: Largest vector, dimension of the ranking engine, and the confidence below which a first hit is doubtful.
 MAX_DIM, ENGINE_DIM, LOW_CONFIDENCE = 1536, 768, 0.30
@@ -72,20 +74,120 @@ def batch_top_k(vectors: DataFrame, queries: np.ndarray, query_ids: list[int], k
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def hashed_top_k(vectors: DataFrame, query: list[float], k: int = 10, bits: int = 3, tables: int = 12, seed: int = 7, name: str = "key") -> DataFrame:
-    """Approximate: only vectors that share a sign-hash bucket with the query are scored exactly.
+#: Queries of a block, and vectors that a block meets in one task.
+QUERY_BLOCK, VECTOR_PART = 4096, 65536
 
-    Hyperplanes come from a seed, so the hash is a column expression; for large tables
-    store the hash columns and cluster by them."""
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, len(query)))
-    want = (planes @ np.asarray(query) > 0).astype(int)
-    near = F.lit(False)
-    for t in range(tables):
-        same = F.lit(True)
-        for b in range(bits):
-            same = same & ((V.dot(F.col("embedding"), V.literal(planes[t, b])) > 0) == bool(want[t, b]))
-        near = near | same
-    return exact_top_k(vectors.where((F.size("embedding") == len(query)) & near), query, k, name=name)
+
+def all_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, name: str = "vec_id") -> DataFrame:
+    """query_id, name, score, rank: the k most similar vectors of every row of `queries` (query_id, embedding), of
+    any number.  Blocks of queries meet parts of the vectors, a pair to a task, which passes on k rows a query."""
+    rows = vectors.where("embedding is not null").select(F.col(name).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.size("embedding").alias("d"))
+    asked = queries.where("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("v"), F.size("embedding").alias("d"))
+    parts, blocks = -(-rows.count() // VECTOR_PART) or 1, -(-asked.count() // QUERY_BLOCK) or 1
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).withColumn("block", every(blocks))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("part", every(parts))
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        return table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        if left.num_rows and right.num_rows and left["d"][0].as_py():
+            v, ids = matrix(left), left["id"].to_numpy()
+            lengths = np.linalg.norm(v, axis=1)
+            for start in range(0, right.num_rows, 256):
+                part = right.slice(start, 256)
+                q = matrix(part)
+                own = np.linalg.norm(q, axis=1)[:, None] * lengths
+                scores = (np.where(own > 0, q @ v.T / np.maximum(own, 1e-300), 0.0) + 1) / 2
+                best = np.lexsort((np.broadcast_to(ids, scores.shape), -scores))[:, :k]
+                for column, values in zip(out, (np.repeat(part["query_id"].to_numpy(), best.shape[1]), ids[best].ravel(), np.take_along_axis(scores, best, 1).ravel()), strict=True):
+                    column.append(values)
+        return pa.table(dict(zip(("query_id", name, "score"), (pa.array(np.concatenate(x)) for x in out), strict=True)))
+
+    found = rows.groupBy("part", "block", "d").cogroup(asked.groupBy("part", "block", "d")).applyInArrow(run, f"query_id long, {name} long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), name))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+#: Sign bits of a stored code, and how many candidates per wanted row are compared exactly.
+CODE_BITS, OVER_FETCH = 256, 40
+
+
+def _planes(dim: int, bits: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).normal(size=(bits, dim))
+
+
+def _codes(planes: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """(n, bits / 64) words of the signs of the products with the planes."""
+    return np.packbits(vectors @ planes.T > 0, axis=1).view(np.int64)
+
+
+def build_index(vectors: DataFrame, dim: int, bits: int = CODE_BITS, seed: int = 7, name: str = "key") -> DataFrame:
+    """name, codes array<long>, embedding of every vector of that dimension: a code of `bits` signs, an eighth of
+    the vector's bytes or less.  Nothing is fitted.  Store the result (write_index); a search reads the codes of all
+    rows, and the vectors of its candidates only."""
+    planes = _planes(dim, bits, seed)
+
+    def run(batches):
+        for batch in batches:
+            part = batch.filter(pa.array([x.is_valid and len(x) == dim for x in batch.column("embedding")], pa.bool_()))
+            values = part.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, dim).astype(np.float64)
+            words = _codes(planes, values) if part.num_rows else np.zeros((0, bits // 64), np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * (bits // 64), pa.int32()), pa.array(words.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column("name"), lists, part.column("embedding")], ["name", "codes", "embedding"])
+
+    kind = dict(vectors.dtypes)[name]
+    made = vectors.select(F.col(name).alias("name"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, f"name {kind}, codes array<long>, embedding array<double>")
+    return made.withColumnRenamed("name", name)
+
+
+def write_index(index: DataFrame, path: str, name: str = "key") -> None:
+    """Codes and vectors as two tables, so that the scan of codes reads nothing else."""
+    index.select(name, "codes").write.mode("overwrite").parquet(f"{path}/codes")
+    index.select(name, "embedding").write.mode("overwrite").parquet(f"{path}/vectors")
+
+
+def indexed_top_k(codes: DataFrame, vectors: DataFrame, query: list[float], k: int = 10, over: int = OVER_FETCH, bits: int = CODE_BITS, seed: int = 7, name: str = "key") -> DataFrame:
+    """name, score: approximately the k most similar vectors.  The over * k rows whose codes differ in the fewest
+    bits (ties by name) are candidates; their exact similarities decide."""
+    own = _codes(_planes(len(query), bits, seed), np.asarray(query, float)[None, :])[0]
+    apart = sum((F.bit_count(F.col("codes")[i].bitwiseXOR(F.lit(int(w)))) for i, w in enumerate(own)), F.lit(0))
+    near = codes.select(name, apart.alias("_apart")).orderBy("_apart", name).limit(over * k).select(name)
+    return exact_top_k(vectors.join(F.broadcast(near), name), query, k, name=name)  # over * k rows
+
+
+def indexed_all_top_k(index: DataFrame, queries: DataFrame, k: int = 10, over: int = OVER_FETCH, bits: int = CODE_BITS, seed: int = 7, name: str = "vec_id") -> DataFrame:
+    """query_id, name, score, rank: the same for every row of `queries` (query_id, embedding) of the index's
+    dimension, of any number.  Blocks of queries meet parts of the index; of a part the over * k nearest codes of
+    each query are scored, so no candidate is lost that the single search would have."""
+    rows = index.select(F.col(name).cast("long").alias("id"), "codes", F.col("embedding").alias("v"))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("v"))
+    parts, blocks = -(-rows.count() // VECTOR_PART) or 1, -(-asked.count() // QUERY_BLOCK) or 1
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).withColumn("block", every(blocks))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("part", every(parts))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        if left.num_rows and right.num_rows:
+            flat = lambda t, c: t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+            words, v, q = flat(left, "codes").view(np.uint64), flat(left, "v"), flat(right, "v")
+            own = _codes(_planes(q.shape[1], bits, seed), q).view(np.uint64)
+            lengths, ids = np.linalg.norm(v, axis=1), left["id"].to_numpy()
+            for i, query_id in enumerate(right["query_id"].to_pylist()):
+                apart = np.bitwise_count(words ^ own[i]).sum(axis=1)
+                near = np.lexsort((ids, apart))[: over * k]
+                score = (v[near] @ q[i] / np.maximum(lengths[near] * np.linalg.norm(q[i]), 1e-300) + 1) / 2
+                best = np.lexsort((ids[near], -score))[:k]
+                for column, values in zip(out, (np.full(len(best), query_id), ids[near][best], score[best]), strict=True):
+                    column.append(values)
+        return pa.table(dict(zip(("query_id", name, "score"), (pa.array(np.concatenate(x)) for x in out), strict=True)))
+
+    found = rows.groupBy("part", "block").cogroup(asked.groupBy("part", "block")).applyInArrow(run, f"query_id long, {name} long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), name))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def hybrid_score(score: Column, key: Column, value: Column, query_text: str | None) -> Column:
@@ -140,7 +242,12 @@ def sharpened(score: Column) -> Column:
 def engine_scores(hits: DataFrame, meta: DataFrame, query: str, idf: DataFrame | None = None, callers: DataFrame | None = None, options: EngineOptions = EngineOptions()) -> DataFrame:
     """hits (name, score) rescored with metadata (name, file, kind, language[, line_no]), idf (word, idf)
     and callers (name, callers): an S-curve, keyword and caller boosts capped at 1, a penalty for test
-    paths; anonymous names and undefined scores go; filters drop hits without metadata."""
+    paths; anonymous names and undefined scores go; filters drop hits without metadata.  Hits may carry
+    file, kind and language themselves, with `meta` for the others or None."""
+    if meta is None:
+        meta = hits.sparkSession.createDataFrame([], "name string")
+    missing = [c for c in ("file", "kind", "language") if c not in meta.columns and c not in hits.columns]
+    meta = meta.select("*", *(F.lit(None).cast("string").alias(c) for c in missing))
     last = meta if "line_no" not in meta.columns else meta.withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("line_no")))).where("_n = 1").drop("_n", "line_no")
     rows = hits.where(~F.col("name").startswith("__anon") & ~F.isnan("score") & F.col("score").isNotNull()).join(last, "name", "left")
     score = sharpened(F.col("score"))
@@ -160,6 +267,44 @@ def engine_scores(hits: DataFrame, meta: DataFrame, query: str, idf: DataFrame |
     return rows.select("name", "file", "kind", "language", score.alias("score"))
 
 
+def cross_engine(sources: dict[str, tuple[DataFrame, DataFrame]], query: str, k: int = 10, idf: DataFrame | None = None, callers: DataFrame | None = None, options: EngineOptions = EngineOptions(), over: int = 4) -> DataFrame:
+    """project, name, score: the engine's scores over several projects (hits, metadata), the best hit of each name,
+    then the best k of all.  Of each project `over` * k hits, by similarity and then name, are rescored; 0 is all."""
+    rows = None
+    for project, (hits, meta) in sorted(sources.items()):
+        some = top(hits, over * k, "score", "name") if over else hits
+        part = engine_scores(some, meta, query, idf, callers, options).select(F.lit(project).alias("project"), "name", "score")
+        rows = part if rows is None else rows.unionByName(part)
+    return cross_project(rows, k)
+
+
+def explore(hits: DataFrame, meta: DataFrame, sites: DataFrame, query: str, k: int = 5, depth: int = 2, idf: DataFrame | None = None, options: EngineOptions = EngineOptions()) -> DataFrame:
+    """part, name, depth, score: the best k engine hits (part hit), and the functions within `depth` calls of the
+    first of them (parts callers and callees)."""
+    best = top(engine_scores(hits, meta, query, idf, None, options).select("name", "score"), k, "score", "name")
+    out = best.select(F.lit("hit").alias("part"), "name", F.lit(0).alias("depth"), "score")
+    first = best.orderBy(F.desc("score"), "name").first()
+    if first is None:
+        return out
+    around = neighbourhood(sites, first.name, depth)
+    return out.unionByName(around.select(F.col("direction").alias("part"), "name", "depth", F.lit(None).cast("double").alias("score")))
+
+
+def vector_job(kv: DataFrame, namespace: str, now: int, size: int = 32) -> DataFrame:
+    """key, name, text, batch: what is to be embedded of a repository's live chunks (JSON values with name, file,
+    language, signature, docstring, content): paths of tests and mocks left out, texts in batches of like length."""
+    chunk = F.from_json("value", "name string, file string, language string, signature string, docstring string, content string")
+    rows = live(kv, now).where(in_namespace(f"{namespace}/chunks")).select("key", chunk.alias("c")).where(~X.is_noise_path(F.coalesce("c.file", F.lit(""))))
+    texts = rows.select("key", F.col("c.name").alias("name"), X.embedding_text(F.col("c.name"), F.col("c.language"), F.col("c.signature"), F.col("c.docstring"), F.col("c.content")).alias("text"))
+    return length_batches(texts, "text", "key", size)
+
+
+def embedded(job: DataFrame, embed: Column | None = None) -> DataFrame:
+    """key, name, embedding of a job's texts at length 1, embedded in Arrow batches; the stand-in model by default."""
+    vector = hashing_embedding("text") if embed is None else embed
+    return job.select("key", "name", vector.alias("embedding")).withColumn("embedding", V.normalised(F.col("embedding")))
+
+
 def source_matches(source: Column, namespace: str) -> Column:
     """Whether a vector source serves a namespace: equal, contained either way, or /code/x for /code/local/x."""
     wanted = F.lit(namespace)

@@ -6,7 +6,6 @@ from quillstone.operators import aggregates as A
 from quillstone.operators import books as B
 from quillstone.operators import code as C
 from quillstone.operators import graph as G
-from quillstone.operators import keyed
 from quillstone.plans.registry import CALLS, calls, query, rounded, table
 
 _EDGES = f"(select distinct src, dst from {CALLS})"
@@ -16,14 +15,23 @@ def _edges(spark, d):
     return calls(spark, d).select("src", "dst").distinct()
 
 
-@query(f"select dst as name, count(*) as count from {CALLS} group by 1")
+_SITES = "string_agg({f} || ':' || file || ':' || line, ' ' order by {f}, file, line)"
+
+
+def _listed(frame):
+    return frame.select("name", "count", F.array_join(F.transform("sites", lambda s: F.concat_ws(":", s["function"].cast("string"), s["file"], s["line"].cast("string"))), " ").alias("sites"))
+
+
+@query(f"select dst as name, count(*) as count, {_SITES.format(f='src')} as sites from {CALLS} group by 1")
 def callers_count(spark, d):
-    return G.callers(calls(spark, d)).select("name", "count")
+    """Every callee with all of its call sites, which are fewer than the limit of an array here."""
+    return _listed(G.callers(calls(spark, d), 1_000_000))
 
 
-@query(f"select src as name, count(*) as count, min(dst) as first from {CALLS} group by 1")
+@query(f"with r as (select *, row_number() over (partition by src order by dst, file, line) as n from {CALLS}) select src as name, max(n) as count, {_SITES.format(f='dst')} filter (n <= 20) as sites from r group by 1")
 def callees_list(spark, d):
-    return G.callees(calls(spark, d)).select("name", "count", F.element_at("sites", 1)["function"].alias("first"))
+    """Every caller with its first twenty call sites."""
+    return _listed(G.callees(calls(spark, d), 20))
 
 
 @query(f"select name, count(*) as \"references\" from (select src as name from {CALLS} union all select dst from {CALLS}) group by 1 order by 2 desc, 1 limit 20")
@@ -64,11 +72,14 @@ def flow_bfs(spark, d):
     return G.flow(edges, "buf", start, uses, 2)
 
 
-@query("select src, dst from (select l_linenumber as n, 'A::f' || l_linenumber as src, case when l_linenumber % 3 = 0 then 'A::own' when l_linenumber % 3 = 1 then 'B::only' else 'bare' end as dst from lineitem) group by 1, 2")
+@query("select distinct case l_partkey % 2 when 0 then 'A' else 'B' end || '::f' || l_suppkey as src, case when l_partkey % 6 < 2 then case l_partkey % 2 when 0 then 'A' else 'B' end || '::own' when l_partkey % 6 < 4 then 'N' || l_suppkey || '::only_' || l_suppkey else 'bare' end as dst from lineitem")
 def callee_resolution(spark, d):
-    n = F.col("l_linenumber")
-    rows = table(spark, d, "lineitem").select(F.concat(F.lit("A::f"), n).alias("src"), F.when(n % 3 == 0, "own").when(n % 3 == 1, "only").otherwise("bare").alias("token")).distinct()
-    known = spark.createDataFrame([("A::own",), ("C::own",), ("B::only",), ("bare",)], "name string")
+    """Callees of three kinds: of the caller's scope, of the only scope that has the name, and without one."""
+    k, n = F.col("l_partkey"), F.col("l_suppkey")
+    items = table(spark, d, "lineitem").select("l_partkey", "l_suppkey")
+    token = F.when(k % 6 < 2, F.lit("own")).when(k % 6 < 4, F.concat(F.lit("only_"), n)).otherwise("bare")
+    rows = items.select(F.concat(F.when(k % 2 == 0, "A").otherwise("B"), F.lit("::f"), n).alias("src"), token.alias("token")).distinct()
+    known = items.select(F.concat(F.lit("N"), n, F.lit("::only_"), n).alias("name")).distinct().union(spark.createDataFrame([("A::own",), ("B::own",), ("bare",)], "name string"))
     return G.resolve_callees(rows, known).select("src", "dst")
 
 
@@ -114,23 +125,6 @@ def noise_symbols(spark, d):
     return table(spark, d, "part").select("p_partkey", C.noise_symbol(name).alias("noise"))
 
 
-@query("select r_name as repo from (values ('/code/facebook/hnsw-lib'), ('/code/onnx/runtime')) t(r_name)")
-def import_repositories(spark, d):
-    repos = spark.createDataFrame([("/code/facebook/hnsw-lib",), ("/code/onnx/runtime",), ("/code/other/thing",)], "repo string")
-    return C.repositories_for(spark.createDataFrame([("hnswlib",), ("onnx/runtime.h",)], "term string"), repos)
-
-
-@query()
-def dataflow(spark, d):
-    return C.dataflow(_bodies(spark, d).select("name", "file", "line_start", "content"))
-
-
-@query()
-def key_rows(spark, d):
-    bodies = _bodies(spark, d).drop("p_partkey", "p_size")
-    return C.key_rows("/code/demo/parts", bodies, G.resolve_callees(bodies.select(F.col("name").alias("src"), F.lit("helper_1").alias("token"), "file", F.col("line_start").alias("line")), spark.createDataFrame([("helper_1",)], "name string")))
-
-
 def _pages(spark, d):
     return table(spark, d, "pages").select((F.col("page_id") % 7).alias("book"), (F.floor(F.col("page_id") / 7) + 1).cast("int").alias("page"), "html")
 
@@ -164,7 +158,7 @@ def outline_flatten(spark, d):
     nation = table(spark, d, "nation")
     k = F.col("n_nationkey")
     nodes = nation.select(F.col("n_regionkey").alias("book"), k.alias("id"), F.when(k % 3 != 0, k - k % 3).alias("parent"), F.col("n_name").alias("title"), k.alias("page"))
-    return B.flat_outline(nodes, 3).select("book", "id", "level")
+    return B.flat_outline(nodes).select("book", "id", "level")
 
 
 @query("select '/v/' || vec_id as key from embeddings where vec_id % 3 = 0")
@@ -204,7 +198,7 @@ def probe_percentile(spark, d):
     return A.percentiles(table(spark, d, "events"), "event_type", "value", exact=True)
 
 
-@query()
+@query("select event_type, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.9) as p90, quantile_disc(value, 0.99) as p99 from events group by 1")
 def probe_percentile_approx(spark, d):
     return A.percentiles(table(spark, d, "events"), "event_type", "value")
 
@@ -219,6 +213,11 @@ def off_cpu(spark, d):
     return A.off_cpu(table(spark, d, "events").select(F.col("event_type").alias("state"), F.col("user_id").alias("stack")))
 
 
+@query("select event_type as state, user_id as stack, count(*) as samples from events group by 1, 2")
+def off_cpu_stacks(spark, d):
+    return A.off_cpu_stacks(table(spark, d, "events").select(F.col("event_type").alias("state"), F.col("user_id").alias("stack")))
+
+
 @query("with t as (select user_id, count(*) as samples from events group by 1 order by 2 desc, 1 limit 10) select user_id, samples, round(samples / max(samples) over (), 6) as share from t")
 def hot_top10_share(spark, d):
     return A.hot_functions(table(spark, d, "events"), "user_id").withColumn("share", rounded("share"))
@@ -262,12 +261,6 @@ def symbol_chunk(spark, d):
     return C.symbol_chunk(kv, "/ns", "all").select("key", F.when(F.col("value").startswith("{"), "record").otherwise(F.col("value")).alias("value"))
 
 
-@query("select 'f7' as name, 'S' as symbols, 'C' as callers, null::varchar as callees, 'V' as variables from region limit 1")
-def symbol_context(spark, d):
-    kv = spark.createDataFrame([("/ns/symbols/f7", "S"), ("/ns/callers/f7", "C"), ("/ns/dataflow/vars/f7", "V"), ("/ns/symbols/f8", "x")], "key string, value string")
-    return C.context(kv, "/ns", "f7")
-
-
 @query("select source_file, symbol from (select 'a' || n_nationkey as source_file, case when n_nationkey % 2 = 0 then '*' else unnest(['x', 'y']) end as symbol from nation) group by 1, 2")
 def import_edges(spark, d):
     k = F.col("n_nationkey")
@@ -282,8 +275,3 @@ def chunk_selection(spark, d):
     return C.chunk_records(rows).select("event_id")
 
 
-@query("select '/vec/chunks/' || doc_id as key, left(text, 100) as text from documents where doc_id % 2 = 0")
-def vector_job(spark, d):
-    docs = table(spark, d, "documents")
-    kv = keyed.entries(docs, F.concat(F.when(F.col("doc_id") % 2 == 0, "/vec/chunks/").otherwise("/other/"), "doc_id"), F.col("text"), F.col("doc_id"))
-    return keyed.live(kv, 0).where(keyed.in_namespace("/vec/chunks")).select("key", F.substring("value", 1, 100).alias("text"))

@@ -8,11 +8,9 @@ from quillstone.functions import text as X
 from quillstone.operators import aggregates as A
 from quillstone.operators import books as B
 from quillstone.operators import code as C
-from quillstone.operators import graph as G
 from quillstone.operators import keyed, ranking
-from quillstone.operators import table as T
 from quillstone.plans.analysis import _bodies
-from quillstone.plans.registry import NOW, kv_documents, query, rounded, table
+from quillstone.plans.registry import NOW, preview_of, query, rounded, table
 from quillstone.sources.staging import shared_root
 from quillstone.streaming import streams
 
@@ -48,7 +46,7 @@ def book_overview(spark, d):
     return B.overview(table(spark, d, "documents").select(F.col("lang").alias("book"), F.col("source").alias("chapter"), F.col("doc_id").alias("page"), "text"))
 
 
-@query("select '/books/' || lang || '/chapters/' || source || '/page_' || lpad(doc_id::varchar, greatest(4, length(doc_id::varchar))::int, '0') as key, strlen(text) as content_len, left(text, 200) as preview from documents")
+@query("select '/books/' || lang || '/chapters/' || source || '/page_' || lpad(doc_id::varchar, greatest(4, length(doc_id::varchar))::int, '0') as key, strlen(text) as content_len, " + preview_of("text") + " as preview from documents")
 def page_records(spark, d):
     pages = table(spark, d, "documents").select(F.col("lang").alias("book"), F.col("source").alias("chapter"), F.col("doc_id").alias("page"), "text")
     rows = B.page_rows(pages)
@@ -77,24 +75,6 @@ def top_per_namespace(spark, d):
     return ranking.top_per(hits, 3, "namespace", "score", "name")
 
 
-@query("select key, callers from (select 'part_fn_' || p_partkey as key, 'helper_' || (p_size % 5) as helper from part order by p_size desc, p_partkey limit 1) t, (select 'helper_' || (p_size % 5) as h, count(*) as callers from part group by 1) c where t.helper = c.h")
-def explore(spark, d):
-    """The best hit of a search, then how often its callee is called."""
-    bodies = _bodies(spark, d)
-    first = ranking.top(bodies.select("name", F.col("p_size").alias("score"), "p_partkey"), 1, "score", "p_partkey").select("name")
-    known = bodies.select("name").union(spark.range(5).select(F.concat(F.lit("helper_"), "id")))
-    sites = C.call_sites(bodies, known)
-    called = sites.join(F.broadcast(first.withColumnRenamed("name", "src")), "src").select(F.col("src").alias("key"), F.col("dst").alias("name"))
-    return called.join(G.callers(sites).select("name", F.col("count").alias("callers")), "name").select("key", "callers")
-
-
-@query("select count(*) as n from documents where starts_with(lang, 'e')")
-def streamed_scan(spark, d):
-    """Rows one by one from a filtered scan, stopped by the caller; here all are counted."""
-    rows = T.stream(kv_documents(spark, d).where(X.has_prefix(F.col("key"), "/e")).select("key"))
-    return spark.createDataFrame([(sum(1 for _ in rows),)], "n long")
-
-
 @query("select key, max(position) as position from (select '/' || lang || '/' || doc_id as key, doc_id as position from documents union all select '/' || lang || '/' || doc_id, doc_id + 1 from documents where doc_id % 2 = 0) group by 1")
 def batch_set(spark, d):
     docs = table(spark, d, "documents").select("lang", "doc_id")

@@ -1,11 +1,14 @@
 """Queries of the keyed layer and its searches."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as X
 from quillstone.operators import keyed as K
 from quillstone.operators import search as S
 from quillstone.plans.registry import KV_DOCUMENTS, KV_EVENTS, NOW, kv_documents, kv_events, query, rounded, table
+from quillstone.sources.staging import shared_root
 
 _LIVE = f"not deleted and (expire_at = 0 or expire_at >= {NOW})"
 _BYTES = "cast(ceil((strlen(key) + strlen(value) + 30) / 8.0) * 8 as bigint)"
@@ -110,7 +113,7 @@ def kv_stats(spark, d):
 
 @query(f"with k as (select *, {_BYTES} as b from {KV_EVENTS}), f as (select coalesce(sum(b), 0) as fixed from k where permanent), r as (select key, sum(b) over (order by access_time desc, key rows unbounded preceding) as run from k where not permanent) select key from k where permanent union all select key from r, f where run + fixed <= 400000")
 def lru_survivors(spark, d):
-    return K.retained(kv_events(spark, d), 400_000, buckets=16).select("key")
+    return K.retained(kv_events(spark, d), 400_000).select("key")
 
 
 @query(f"select regexp_extract(key, '^(.*)/[^/]*$', 1) as namespace, count(*) as entries from {KV_DOCUMENTS} group by 1")
@@ -164,6 +167,20 @@ def tag_index(spark, d):
     return S.tag_index(kv_documents(spark, d))
 
 
+@query(r"select tag, key from (select distinct key, unnest(regexp_extract_all(value, '[A-Za-z0-9_]+|[^\x00-\x7F](?:[A-Za-z0-9_]|[^\x00-\x7F])*')) as tag from " + KV_DOCUMENTS + ") where strlen(tag) >= 2")
+def tag_postings(spark, d):
+    """The inverted index itself: the keys of every tag."""
+    return S.tag_postings(kv_documents(spark, d))
+
+
+@query(r"select key from " + KV_DOCUMENTS + r" where list_contains(regexp_extract_all(value, '[A-Za-z0-9_]+|[^\x00-\x7F](?:[A-Za-z0-9_]|[^\x00-\x7F])*'), 'token')")
+def tag_lookup(spark, d):
+    """One tag by the stored index."""
+    kv, path = kv_documents(spark, d), f"{shared_root(spark)}/tags-{uuid.uuid4().hex}"
+    S.write_tag_index(kv, path)
+    return S.tagged(kv, spark.read.parquet(path), "token", NOW).select("key")
+
+
 @query("select event_id, cast(json_extract_string(props, '$.k') as integer) as k from events")
 def json_field(spark, d):
     return table(spark, d, "events").select("event_id", X.json_field(F.col("props"), "k").cast("int").alias("k"))

@@ -1,13 +1,18 @@
 """Queries of vector search and ranking."""
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from quillstone.functions import vectors as V
+from quillstone.operators import code as C
 from quillstone.operators import graph as G
 from quillstone.operators import keyed, ranking
 from quillstone.operators import vectors as R
-from quillstone.plans.registry import calls, query, rounded, table
+from quillstone.plans.analysis import _bodies
+from quillstone.plans.registry import calls, head_has, query, rounded, table
+from quillstone.sources.staging import shared_root
 
 #: A fixed query vector of the tables' 64 dimensions.
 QUERY = [round(float(np.sin(i + 1)), 3) for i in range(64)]
@@ -36,14 +41,38 @@ def vec_dot_topk(spark, d):
     return R.dot_top_k(_vectors(spark, d), QUERY, 10, "vec_id").select("vec_id", rounded("score").alias("score"))
 
 
-@query(f"with s as (select q.query_id, vec_id, (list_inner_product(e, q.v) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(q.v, q.v))) + 1) / 2 as score from {_E}, (select 0 as query_id, {_Q} as v union all select 1, list_reverse({_Q})) q), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) select query_id::bigint as query_id, vec_id, round(score, 6) as score, rank::int as rank from r where rank <= 5")
+@query(f"with s as (select q.vec_id as query_id, v.vec_id, (list_inner_product(v.e, q.e) / (sqrt(list_inner_product(v.e, v.e)) * sqrt(list_inner_product(q.e, q.e))) + 1) / 2 as score from {_E} v, {_E} q where q.vec_id % 100 = 0), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) select query_id, vec_id, round(score, 6) as score, rank::int as rank from r where rank <= 5")
 def vec_batch_topk(spark, d):
-    return R.batch_top_k(_vectors(spark, d), np.array([QUERY, QUERY[::-1]]), [0, 1], 5).select("query_id", "vec_id", rounded("score").alias("score"), "rank")
+    """Every row whose id is divisible by 100 as a query."""
+    rows = _vectors(spark, d)
+    return R.all_top_k(rows, rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5).select("query_id", "vec_id", rounded("score").alias("score"), "rank")
+
+
+@query("select true as reached, count(*) as queries from embeddings where vec_id % 100 = 0 and len(embedding) = 64")
+def vec_index_recall(spark, d):
+    """Recall of the stored codes against brute force over all queries: 0.9 or more."""
+    rows, path = _vectors(spark, d), f"{shared_root(spark)}/codes-{uuid.uuid4().hex}"
+    R.write_index(R.build_index(rows, 64, name="vec_id"), path, "vec_id")
+    index = spark.read.parquet(f"{path}/codes").join(spark.read.parquet(f"{path}/vectors"), "vec_id")
+    asked = rows.where("vec_id % 100 = 0 and size(embedding) = 64").select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = R.all_top_k(rows.where("size(embedding) = 64"), asked, 10).select("query_id", "vec_id")
+    found = R.indexed_all_top_k(index, asked, 10).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    recall = exact.join(found, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    return recall.agg((F.avg("recall") >= 0.9).alias("reached"), F.count("*").alias("queries"))
 
 
-@query()
-def vec_hashed_topk(spark, d):
-    return R.hashed_top_k(_vectors(spark, d), QUERY, 10, name="vec_id").select("vec_id", rounded("score").alias("score"))
+@query(f"select vec_id, round({_SIM}, 6) as score from {_E} order by {_SIM} desc, vec_id limit 1")
+def vec_index_topk(spark, d):
+    """The best vector by the stored codes."""
+    index = R.build_index(_vectors(spark, d), 64, name="vec_id")
+    return R.indexed_top_k(index, index, QUERY, 1, over=400, name="vec_id").select("vec_id", rounded("score").alias("score"))
+
+
+@query(f"select vec_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: pow((e[i] + case when vec_id % 2 = 0 then e[65 - i] else 0 end) / case when vec_id % 2 = 0 then 2 else 1 end, 2)))), 6) as pooled, round(case when list_sum(list_transform(e, lambda x: x * x)) > 0 then 1 else 0 end, 6) as length from {_E}")
+def vec_pooling(spark, d):
+    rows = _vectors(spark, d).where("size(embedding) = 64")
+    mean = V.mean_pooled(F.array("embedding", F.reverse("embedding")), F.array(F.lit(1), F.when(F.col("vec_id") % 2 == 0, 1).otherwise(0)))
+    return rows.select("vec_id", rounded(V.norm(mean)).alias("pooled"), rounded(V.norm(V.normalised(mean))).alias("length"))
 
 
 @query(f"select vec_id, round(sqrt(list_inner_product(n, n)), 6) as length from (select vec_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) as n from {_E})")
@@ -54,7 +83,7 @@ def vec_normalise(spark, d):
 _KEY = "case when vec_id % 5 = 0 then '/books/' || vec_id || '/title' when vec_id % 5 = 1 then '/books/_meta/' || vec_id else '/books/content/p' || (vec_id % 7) end"
 
 
-@query(f"with s as (select {_KEY} as key, text, {_SIM} as score from {_E} join documents on vec_id = doc_id), h as (select key, score * case when vec5 = 0 then 1.5 when vec5 = 1 then 1.3 else 1.0 end * least(1.5, 1 + 0.1 * (contains(lower(left(text, 1023)), 'the')::int + contains(lower(left(text, 1023)), 'and')::int)) * case when para < 3 then 1.1 else 1.0 end as score, id from (select s.*, case when key like '%/title' then 0 when contains(key, '/_meta/') then 1 else 2 end as vec5, coalesce(try_cast(nullif(regexp_extract(key, '/content/p([0-9]+)', 1), '') as int), 999) as para, key as id from s)) select key, round(score, 6) as score from h order by h.score desc, key limit 10")
+@query(f"with s as (select {_KEY} as key, text, {_SIM} as score from {_E} join documents on vec_id = doc_id), h as (select key, score * case when vec5 = 0 then 1.5 when vec5 = 1 then 1.3 else 1.0 end * least(1.5, 1 + 0.1 * ({head_has('text', 'the')} + {head_has('text', 'and')})) * case when para < 3 then 1.1 else 1.0 end as score, id from (select s.*, case when key like '%/title' then 0 when contains(key, '/_meta/') then 1 else 2 end as vec5, coalesce(try_cast(nullif(regexp_extract(key, '/content/p([0-9]+)', 1), '') as int), 999) as para, key as id from s)) select key, round(score, 6) as score from h order by h.score desc, key limit 10")
 def vec_hybrid(spark, d):
     v = F.col("vec_id")
     key = F.when(v % 5 == 0, F.concat(F.lit("/books/"), v, F.lit("/title"))).when(v % 5 == 1, F.concat(F.lit("/books/_meta/"), v)).otherwise(F.concat(F.lit("/books/content/p"), v % 7))
@@ -137,3 +166,59 @@ def vector_entries(spark, d):
     vectors = _vectors(spark, d).select(F.concat(F.lit("/v/"), "vec_id").alias("key"), "embedding", "vec_id")
     kv = keyed.entries(vectors.where("vec_id % 2 = 0"), F.col("key"), F.lit("text"), F.col("vec_id"))
     return R.vector_entries(kv, vectors).select("key", F.col("dim").cast("long").alias("dim"))
+
+
+_ENGINE = "least(1.0, tanh((score - 0.5) * 2 * 1.5) * 0.5 + 0.5 + least(0.3, 0.01 + 1 / 9.0 * 0.07))"
+_SCORED = f"(select vec_id, label, 'find_page_' || (vec_id % 50) as name, case when vec_id % 4 = 0 then 'src/test/a.c' else 'src/b.c' end as file, {_SIM} as score from {_E})"
+
+
+@query(f"""
+with h as (select *, row_number() over (partition by label order by score desc, name) as n from {_SCORED} where label in (0, 1)),
+s as (select 'p' || label as project, name, {_ENGINE} * case when contains(file, '/test') then 0.85 else 1.0 end as score from h where n <= 40),
+b as (select project, name, max(score) as score from s group by 1, 2)
+select project, name, round(score, 6) as score from b order by b.score desc, project, name limit 10""")
+def cross_project_engine(spark, d):
+    """The engine's scores over two projects, merged; a name's hits each have their own file."""
+    v = F.col("vec_id")
+    rows = _vectors(spark, d).where("size(embedding) = 64").select("label", F.concat(F.lit("find_page_"), v % 50).alias("name"), F.when(v % 4 == 0, "src/test/a.c").otherwise("src/b.c").alias("file"), R.similarity(F.col("embedding"), QUERY).alias("score"))
+    sources = {}
+    for label in (0, 1):
+        own = rows.where(F.col("label") == label)
+        sources[f"p{label}"] = own.select("name", "score", "file")
+    out = R.cross_engine({p: (h, None) for p, h in sources.items()}, "find", 10)
+    return out.withColumn("score", rounded("score"))
+
+
+@query("""
+with h as (select 'part_fn_' || p_partkey as name, p_size / 100.0::double as score, 'helper_' || (p_size % 5) as helper from part),
+e as (select name, round(least(1.0, tanh((score - 0.5) * 2 * 1.5) * 0.5 + 0.5 + least(0.3, 0.01 + 1 / 9.0 * 0.07)), 6) as score, helper from h),
+b as (select * from e order by score desc, name limit 5),
+f as (select * from b order by score desc, name limit 1)
+select 'hit' as part, name, 0 as depth, score from b union all select 'callees', helper, 1, null from f""")
+def explore(spark, d):
+    """The five best hits of a search, and what the first of them calls and is called by within two calls."""
+    bodies = _bodies(spark, d)
+    hits = bodies.select("name", (F.col("p_size") / 100.0).alias("score"))
+    meta = bodies.select("name", F.lit("src/b.c").alias("file"), "kind", "language")
+    known = bodies.select("name").union(spark.range(5).select(F.concat(F.lit("helper_"), "id")))
+    return R.explore(hits, meta, C.call_sites(bodies, known), "part").withColumn("score", rounded("score"))
+
+
+@query("""
+with j as (select '/vec/chunks/' || doc_id as key, 'f' || doc_id || ' (' || lang || ') ' || source || ' ' || array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: ltrim(x, ' ')), lambda x: x <> '')[1:10], ' ') as text from documents where doc_id % 2 = 0 and doc_id % 10 <> 4)
+select key, text, cast(floor((row_number() over (order by strlen(text), key) - 1) / 32) as bigint) as batch from j""")
+def vector_job(spark, d):
+    """What is embedded of the chunks of a repository: whole chunks as JSON values, one in ten in a test path."""
+    docs, k = table(spark, d, "documents"), F.col("doc_id")
+    file = F.when(k % 10 == 4, "src/test/a.c").otherwise("src/b.c")
+    value = F.to_json(F.struct(F.concat(F.lit("f"), k).alias("name"), file.alias("file"), F.col("lang").alias("language"), F.col("source").alias("signature"), F.lit("").alias("docstring"), F.col("text").alias("content")))
+    kv = keyed.entries(docs, F.concat(F.when(k % 2 == 0, "/vec/chunks/").otherwise("/other/"), k), value, k)
+    return R.vector_job(kv, "/vec", 0).select("key", "text", "batch")
+
+
+@query("select '/vec/chunks/' || doc_id as key, 64::bigint as dim, true as same from documents")
+def text_embeddings(spark, d):
+    """The stand-in model over whole texts in batches: one vector a text, the same at every run."""
+    job = table(spark, d, "documents").select(F.concat(F.lit("/vec/chunks/"), "doc_id").alias("key"), F.lit("n").alias("name"), F.coalesce("text", F.lit("")).alias("text"))
+    one, two = R.embedded(job), R.embedded(job.repartition(3, "key")).withColumnRenamed("embedding", "again")
+    return one.join(two, "key").select("key", F.size("embedding").cast("long").alias("dim"), (F.col("embedding") == F.col("again")).alias("same"))

@@ -31,6 +31,20 @@ def rounded(column, digits: int = 6):
     return F.round(column, digits)
 
 
+def head_has(text: str, word: str) -> str:
+    """SQL: 1 where the first 1023 bytes of a text, ASCII capitals small, have an ASCII word, else 0; bytes are compared as hex pairs."""
+    low = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"contains(regexp_replace(left(hex(encode({low})), 2046), '(..)', '\\1,', 'g'), '{''.join(f'{b:02X},' for b in word.encode())}')::int"
+
+
+#: SQL of a text's first 200 bytes: the characters whose bytes all lie within them.
+PREVIEW = "array_to_string(list_filter(list_transform(range(1, least(length({t}), 200) + 1), lambda i: case when strlen(left({t}, i::int)) <= 200 then substr({t}, i, 1) end), lambda c: c is not null), '')"
+
+
+def preview_of(text: str) -> str:
+    return PREVIEW.replace("{t}", text)
+
+
 #: Documents and events as keyed tables, here and in SQL.
 KV_DOCUMENTS = "(select '/' || lang || '/' || source || '/' || doc_id as key, text as value from documents)"
 KV_EVENTS = "(select '/events/' || event_type || '/' || user_id || '/' || event_id as key, props as value, event_id * 1000 as written_at, event_id * 1000 as access_time, (event_id % 4) * 3600000 as ttl_ms, case when event_id % 4 > 0 then event_id * 1000 + (event_id % 4) * 3600000 else 0 end as expire_at, event_id % 4 = 0 as permanent, event_id % 10 = 9 as deleted, event_id as version from events)"

@@ -13,9 +13,9 @@ def scan_filter_topn(spark, d):
     return T.select(rows, T.where_clause(l_quantity__gt=45), "l_extendedprice", False, 10, 5, ("l_orderkey", "l_linenumber"))
 
 
-@query("select * from region")
+@query("select * from customer")
 def full_scan(spark, d):
-    return T.scan(T.managed(table(spark, d, "region"), "r_regionkey"))
+    return T.scan(T.managed(table(spark, d, "customer"), "c_custkey"))
 
 
 @query("select count(*) as n from orders")
@@ -78,9 +78,9 @@ def order_limit_offset(spark, d):
     return T.select(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), None, "o_totalprice", True, 20, 100, ("o_orderkey",))
 
 
-@query("select r_regionkey, r_name from region where false")
+@query("select o_orderkey, o_totalprice from orders order by o_orderkey offset 1000000000")
 def offset_past_end(spark, d):
-    return T.select(table(spark, d, "region"), None, "r_regionkey", True, 0, 100)
+    return T.select(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), None, "o_orderkey", True, 0, 1_000_000_000)
 
 
 @query("select row_number() over (order by c_custkey) as _rowid, c_custkey, c_name from customer")

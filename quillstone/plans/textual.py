@@ -7,7 +7,7 @@ from quillstone.functions import text as X
 from quillstone.operators import aggregates as A
 from quillstone.operators import books as B
 from quillstone.operators import code as C
-from quillstone.plans.registry import query, rounded, table
+from quillstone.plans.registry import head_has, preview_of, query, rounded, table
 
 _WORDS = "list_transform(list_filter(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9_]+'), lambda w: length(w) >= 2), lambda w: left(w, 63))"
 _LETTERS = r"(strlen(text) - strlen(regexp_replace(text, '[A-Za-z]|[^\x00-\x7F]', '', 'g')))"
@@ -47,7 +47,7 @@ def edit_distance(spark, d):
     return table(spark, d, "part").select("p_partkey", X.byte_levenshtein(F.col("p_name"), F.col("p_type")).cast("long").alias("distance"), rounded(X.fuzzy_score(F.col("p_name"), F.col("p_type"))).alias("score"))
 
 
-@query("select doc_id, contains(lower(left(text, 1023)), 'the')::int + contains(lower(left(text, 1023)), 'token')::int as hits from documents")
+@query(f"select doc_id, {head_has('text', 'the')} + {head_has('text', 'token')} as hits from documents")
 def keyword_matches(spark, d):
     return table(spark, d, "documents").select("doc_id", X.keyword_matches(F.col("text"), "The token").alias("hits"))
 
@@ -77,7 +77,7 @@ def namespace_split(spark, d):
     return table(spark, d, "documents").select("doc_id", X.namespace_of(key).alias("namespace"), X.name_of(key).alias("name"))
 
 
-@query("select doc_id, left(text, 200) as preview from documents")
+@query(f"select doc_id, {preview_of('text')} as preview from documents")
 def previews(spark, d):
     return table(spark, d, "documents").select("doc_id", X.preview(F.col("text")).alias("preview"))
 
@@ -134,9 +134,61 @@ def path_filters(spark, d):
     return table(spark, d, "events").select("event_id", X.skipped_file(path).alias("skipped"), X.is_noise_path(path).alias("noise"))
 
 
-@query()
+_BYTES = "list_transform(range(1, length(p_name) + 1), lambda i: unicode(substr(p_name, i::int, 1))::uhugeint)"
+_2_64 = "18446744073709551616::uhugeint"
+
+
+@query(f"""
+select p_partkey, list_reduce(list_prepend(14695981039346656037::uhugeint, {_BYTES}), lambda h, b: (xor(h, b) * 1099511628211::uhugeint) % {_2_64})::decimal(20, 0) as fnv,
+  list_reduce(list_prepend(5381::uhugeint, {_BYTES}), lambda h, b: (h * 33 + b) % {_2_64})::decimal(20, 0) as djb2 from part""")
 def hash_functions(spark, d):
-    return table(spark, d, "part").select("p_partkey", H.fnv1a64("p_name").alias("fnv"), H.djb2("p_name").alias("djb2"), H.crc(F.col("p_name")).alias("crc"))
+    return table(spark, d, "part").select("p_partkey", H.fnv1a64("p_name").alias("fnv"), H.djb2("p_name").alias("djb2"))
+
+
+@query("select p_partkey, 3632233996 as known, true as same from part")
+def crc_32(spark, d):
+    """CRC-32 of a text with a known sum, and of two spellings of a row's text."""
+    part = table(spark, d, "part")
+    return part.select("p_partkey", H.crc(F.when(F.col("p_partkey").isNotNull(), "test")).alias("known"), (H.crc(F.col("p_name")) == F.crc32(F.col("p_name").cast("binary"))).alias("same"))
+
+
+@query("select p_partkey, case when p_size <= 30 then p_size + 91 else 120 end::bigint as cut from part")
+def best_cuts(spark, d):
+    text = F.concat(F.repeat(F.lit("x"), F.col("p_size") + 90), F.lit(". "), F.repeat(F.lit("y"), 300))
+    return table(spark, d, "part").select("p_partkey", B.cut_at(text, F.lit(120)).alias("cut"))
+
+
+_PARA = "(repeat('{0} word ', 120) || p_partkey)"
+
+
+@query("select p_partkey, page, text from (" + " union all ".join(f"select p_partkey, {n} as page, " + " || chr(10) || ".join(_PARA.format(x) for x in names) + " as text from part" for n, names in enumerate((("p0", "q0", "p1"), ("q1", "p2", "q2")))) + ")")
+def paragraph_pages(spark, d):
+    """Six paragraphs of about 960 bytes: three make a page, as a fourth would not fit."""
+    def one(letter, page):
+        return F.concat(F.repeat(F.lit(f"{letter}{page} word "), 120), F.col("p_partkey"))
+
+    text = F.concat_ws("\n \n", *(one(letter, page) for page in range(3) for letter in "pq"))
+    return table(spark, d, "part").select("p_partkey", F.posexplode(B.pages_of(text)).alias("page", "text"))
+
+
+@query("""
+with t as (select p_partkey, list_transform(range(60), lambda i: rpad('line ' || i || ' of ' || p_partkey, 49, 'x')) as lines from part),
+c as (select p_partkey, array_to_string(lines, chr(10)) || chr(10) as content from t)
+select p_partkey, part, case part when 1 then content when 2 then 'sig // Part 2' || chr(10) || substr(content, 1001, 1500) when 3 then 'sig // Part 3' || chr(10) || substr(content, 2001, 1000) else 'sig // Part 4' || chr(10) || substr(content, 2501, 500) end as content
+from c, (values (1), (2), (3), (4)) p(part)""")
+def code_windows(spark, d):
+    lines = F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: F.rpad(F.concat(F.lit("line "), i, F.lit(" of "), "p_partkey"), 49, "x"))
+    content = F.concat(F.array_join(lines, "\n"), F.lit("\n"))
+    return table(spark, d, "part").select("p_partkey", F.explode(C.body_windows(content, F.lit("sig"), F.col("p_name"))).alias("c")).select("p_partkey", "c.part", "c.content")
+
+
+@query("""
+select p_partkey, '# ' || p_name || chr(10) || 'size **' || p_size || '** of *' || p_type || '* & [brand](/b/' || p_partkey || ')' || chr(10) || chr(10) || '- one' || chr(10) || chr(10) || '- `two`' || chr(10) || chr(10) || '```' || chr(10) || 'a  b' || chr(10) || '```' as markdown from part""")
+def markdown_of_html(spark, d):
+    from quillstone.sources.files import html_to_markdown
+
+    html = F.concat(F.lit("<h1>"), "p_name", F.lit("</h1><script>x()</script><p>size <b>"), "p_size", F.lit("</b> of <i>"), "p_type", F.lit("</i> &amp; <a href='/b/"), "p_partkey", F.lit("'>brand</a></p><ul><li>one</li><li><code>two</code></li></ul><pre>a  b</pre>"))
+    return table(spark, d, "part").select("p_partkey", html_to_markdown(html).alias("markdown"))
 
 
 @query()

@@ -169,7 +169,7 @@ def _epub_chapters(raw: bytes) -> list[tuple[int, str, str]]:
         return out
 
 
-@F.udf(T.ArrayType(T.StructType([T.StructField("position", T.IntegerType()), T.StructField("title", T.StringType()), T.StructField("text", T.StringType())])))
+@F.udf(returnType=T.ArrayType(T.StructType([T.StructField("position", T.IntegerType()), T.StructField("title", T.StringType()), T.StructField("text", T.StringType())])), useArrow=True)
 def epub_chapters(raw):
     return _epub_chapters(bytes(raw)) if raw else []
 
