@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.functions import text as X
-from quillstone.operators.graph import callees, callers, resolve_callees
+from quillstone.operators.graph import MAX_SITES, callees, callers, resolve_callees
+from quillstone.operators.ranking import first_per
 
 _ID = "([a-zA-Z_][a-zA-Z0-9_]*)"
 #: Patterns of declarations by language and kind; group 1 is the name (2 for C functions).
@@ -328,16 +329,18 @@ def field_counts(occurrences: DataFrame) -> DataFrame:
     return occurrences.where("field is not null").groupBy("variable", "field").agg(F.count("*").alias("occurrences"))
 
 
-def symbol_index(chunks: DataFrame) -> DataFrame:
-    """name, symbols: array of {name, kind, file, line}, functions outside headers first; low-value kinds left out."""
-    rows = chunks.where(~F.col("kind").isin(*LOW_VALUE_KINDS))
+def symbol_index(chunks: DataFrame, most: int = MAX_SITES) -> DataFrame:
+    """name, symbols: array of {name, kind, file, line}, functions outside headers first; low-value kinds left out;
+    of a name that stands at more places the first `most`."""
     first = F.when(F.col("kind").isin("function", "method") & ~F.col("file").endswith(".h"), 0).otherwise(1)
-    ordered = F.array_sort(F.collect_list(F.struct(first.alias("p"), "file", F.col("line_start").alias("line"), "kind", "name")))
-    return rows.groupBy("name").agg(F.transform(ordered, lambda s: F.struct(s["name"].alias("name"), s["kind"].alias("kind"), s["file"].alias("file"), s["line"].alias("line"))).alias("symbols"))
+    rows = chunks.where(~F.col("kind").isin(*LOW_VALUE_KINDS)).select(first.alias("p"), "file", F.col("line_start").alias("line"), "kind", "name")
+    ordered = F.array_sort(F.collect_list(F.struct("p", "file", "line", "kind", "name")))
+    return first_per(rows, most, "name", "p", "file", "line", "kind").groupBy("name").agg(F.transform(ordered, lambda s: F.struct(s["name"].alias("name"), s["kind"].alias("kind"), s["file"].alias("file"), s["line"].alias("line"))).alias("symbols"))
 
 
 def key_rows(namespace: str, chunks: DataFrame, sites: DataFrame | None = None, occurrences: DataFrame | None = None) -> DataFrame:
-    """key, value rows of an analysed repository: chunks, symbols, callers, callees, variables and counts."""
+    """key, value rows of an analysed repository: chunks, symbols, callers, callees, variables and counts;
+    lists hold at most MAX_SITES places of one name."""
     n = F.lit(namespace)
     out = chunks.select(F.concat_ws("/", n, F.lit("chunks"), "file", "name").alias("key"), F.to_json(F.struct(*chunks.columns)).alias("value"))
     out = out.unionByName(symbol_index(chunks).select(F.concat_ws("/", n, F.lit("symbols"), "name").alias("key"), F.to_json("symbols").alias("value")))
@@ -346,7 +349,8 @@ def key_rows(namespace: str, chunks: DataFrame, sites: DataFrame | None = None,
             out = out.unionByName(table.select(F.concat_ws("/", n, F.lit(label), "name").alias("key"), F.to_json(F.struct("count", "sites")).alias("value")))
     if occurrences is not None:
         group = F.array_sort(F.collect_list(F.struct("file", "line", "function", "kind", "field")))
-        out = out.unionByName(occurrences.groupBy("variable").agg(group.alias("o")).select(F.concat_ws("/", n, F.lit("dataflow/vars"), "variable").alias("key"), F.to_json("o").alias("value")))
+        first = first_per(occurrences, MAX_SITES, "variable", "file", "line", "function", "kind")
+        out = out.unionByName(first.groupBy("variable").agg(group.alias("o")).select(F.concat_ws("/", n, F.lit("dataflow/vars"), "variable").alias("key"), F.to_json("o").alias("value")))
         index = function_index(occurrences).groupBy("function").agg(F.array_sort(F.collect_list("variable")).alias("v"))  # as many as a function has variables
         out = out.unionByName(index.select(F.concat_ws("/", n, F.lit("dataflow/_func_index"), "function").alias("key"), F.to_json("v").alias("value")))
     info = chunks.agg(F.count("*").alias("chunks"), F.count_distinct("file").alias("files"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.operators.ranking import top
+from quillstone.operators.ranking import first_per, top
 from quillstone.sources.staging import staged
 
 #: Levels and paths that an expansion goes at most, and sites of one name that an array holds.
@@ -32,8 +32,7 @@ def top_fan_out(edges: DataFrame, n: int = 20) -> DataFrame:
 
 def _grouped(sites: DataFrame, name: str, function: str, most: int) -> DataFrame:
     counts = sites.groupBy(F.col(name).alias("name")).agg(F.count("*").alias("count"))
-    order = Window.partitionBy("name").orderBy("function", "file", "line")
-    first = sites.select(F.col(name).alias("name"), F.col(function).alias("function"), "file", "line").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
+    first = first_per(sites.select(F.col(name).alias("name"), F.col(function).alias("function"), "file", "line"), most, "name", "function", "file", "line")
     lists = first.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("function", "file", "line"))).alias("sites"))
     return counts.join(lists, "name")
 

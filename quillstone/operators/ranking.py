@@ -39,6 +39,12 @@ def top_per(frame: DataFrame, k: int, group: str, score: str = "score", *tie: st
     return frame.withColumn("rank", best).where(F.col("rank") <= k)
 
 
+def first_per(frame: DataFrame, most: int, group: str, *order: str) -> DataFrame:
+    """The first `most` rows of each group in the given order; each task passes on no more than that of a group."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    return frame.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+
+
 def merged_top(sources: dict[str, DataFrame], k: int, *tie: str) -> DataFrame:
     """Top k over several sources: each source's own top k, then the best of these."""
     parts = [top(f, k, "score", *tie).withColumn("source", F.lit(n)) for n, f in sources.items()]

@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 from quillstone.functions import text as X
 from quillstone.functions import vectors as V
+from quillstone.operators.graph import MAX_SITES
+from quillstone.operators.ranking import first_per
 
 CHUNKS = "name string, file string, kind string, line_start long, line_end long, language string, signature string, content string, docstring string"
 TAGS = "_type string, name string, path string, kind string, line long, pattern string, signature string, scope string"
@@ -182,10 +184,10 @@ def read_epubs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def repository_rows(owner: str, name: str, files: DataFrame, tags: DataFrame) -> DataFrame:
-    """key, value rows of an imported repository: sources, symbols and metadata."""
+    """key, value rows of an imported repository: sources, symbols (at most MAX_SITES places of a name) and metadata."""
     base = f"/github/{owner}/{name}"
     out = files.select(F.concat(F.lit(f"{base}/src/"), "path").alias("key"), F.col("content").alias("value"))
-    symbols = tags.groupBy("name").agg(F.to_json(F.array_sort(F.collect_list(F.struct("path", "line", "kind", "category")))).alias("value"))
+    symbols = first_per(tags, MAX_SITES, "name", "path", "line", "kind").groupBy("name").agg(F.to_json(F.array_sort(F.collect_list(F.struct("path", "line", "kind", "category")))).alias("value"))
     out = out.unionByName(symbols.select(F.concat(F.lit(f"{base}/symbols/"), "name").alias("key"), "value"))
     meta = files.groupBy(X.language_of(F.col("path")).alias("language")).agg(F.count("*").alias("files")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("language", "files")))).alias("languages"))
     return out.unionByName(meta.select(F.lit(f"{base}/_meta").alias("key"), F.to_json("languages").alias("value")))
