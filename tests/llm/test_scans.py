@@ -212,6 +212,51 @@ def test_quality_on_held_out_rows(spark):
     assert found[9000].score == found[9001].score and found[None].held_out is False
 
 
+def test_fit_reaches_the_optimum_of_the_hinge_loss():
+    """The primal objective of the fitted weights against a plain solver's in many more rounds, over log-count ratios counted apart."""
+    rng = np.random.default_rng(12)
+    rows, labels = [], np.array([int(i % 3 > 0) for i in range(90)])
+    for i in range(90):
+        own = rng.choice(40, 8, replace=False) + (20 if labels[i] else 0)
+        rows.append(np.unique(np.append(own, 70)).astype(np.int32))
+    model, _, _ = quality.fit(rows, labels)
+    w, ratio = model[: quality.SIZE], model[quality.SIZE :]
+    counts = [Counter(x for r, y in zip(rows, labels) if y == c for x in r.tolist()) for c in (0, 1)]
+    totals = [quality.SIZE + sum(c.values()) for c in counts]
+    for x in range(80):
+        assert math.isclose(ratio[x], math.log((counts[1][x] + 1) / totals[1]) - math.log((counts[0][x] + 1) / totals[0]), rel_tol=1e-9, abs_tol=1e-12)
+    dense = np.zeros((90, 80))
+    for i, r in enumerate(rows):
+        dense[i, r] = ratio[r]
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    sign, cost = np.where(labels == 1, 1.0, -1.0), np.where(labels == 1, 45 / (labels == 1).sum(), 45 / (labels == 0).sum())
+
+    def objective(v):
+        return 0.5 * v @ v + (cost * np.maximum(0, 1 - sign * (dense @ v))).sum()
+
+    best, alpha = np.zeros(80), np.zeros(90)
+    for _ in range(1000):
+        for i in range(90):
+            new = min(max(alpha[i] - (sign[i] * (dense[i] @ best) - 1), 0), cost[i])
+            best += (new - alpha[i]) * sign[i] * dense[i]
+            alpha[i] = new
+    assert objective(best) - (alpha.sum() - 0.5 * best @ best) < 1e-6  # the plain solver has converged: primal and dual meet
+    assert objective(best) <= objective(w[:80]) + 1e-9 and objective(w[:80]) < 1.02 * objective(best) and not w[80:].any()
+
+
+def test_quality_margins_of_a_text():
+    """Features and margins of a text, word by word."""
+    part = pa.RecordBatch.from_pydict({"text": ["a b b b a", "", None, "B a"]})
+    found = quality.features(part)
+    assert len(found[1]) == len(found[2]) == 0 and quality.REPEATED in found[0] and quality.REPEATED + 1 in found[0] and quality.REPEATED not in found[3]
+    # Words a, b; pairs ab, bb, ba; seven trigrams of nine bytes, one of them twice; both patterns.
+    assert len(found[0]) == 2 + 3 + len({"a b b b a"[i : i + 3] for i in range(7)}) + 2
+    rng = np.random.default_rng(1)
+    w, ratio = rng.normal(size=quality.SIZE), rng.normal(size=quality.SIZE)
+    v = {x: ratio[x] for x in found[0].tolist()}
+    assert math.isclose(quality.margin(found[0], w, ratio), sum(w[x] * r for x, r in v.items()) / math.sqrt(sum(r * r for r in v.values())))
+
+
 def test_quality_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, label int")
     assert [r.score for r in quality.classify_quality(frame(spark, [(1, "a")]), none).collect()] == [0.5]
