@@ -41,3 +41,30 @@ def test_numbering_has_no_window_over_all_rows(spark):
     text = plan(QUERIES["row_numbers"](spark, DATA))
     windows = re.findall(r"\) Window\n.*?\nArguments: ([^\n]*)", text, re.S)
     assert windows and all("_c" in w and "o_orderkey" not in w for w in windows)
+
+
+def test_search_by_codes_scans_no_vectors_but_its_candidates(spark, tmp_path):
+    """The scan of the codes reads nothing else, keeps the nearest rows of each task, and the candidates are broadcast."""
+    from quillstone.operators import vectors as R
+
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "vec_id long, embedding array<double>")
+    R.write_index(R.build_index(rows, 2, name="vec_id"), str(tmp_path), "vec_id")
+    text = plan(R.indexed_top_k(spark.read.parquet(f"{tmp_path}/codes"), spark.read.parquet(f"{tmp_path}/vectors"), [1.0, 0.5], 3, name="vec_id"))
+    assert "ReadSchema: struct<vec_id:bigint,codes:array<bigint>>" in text and text.count("TakeOrderedAndProject") >= 2 and "BroadcastHashJoin" in text
+
+
+def test_the_levels_of_a_graph_do_not_nest(spark):
+    """Each level is read from its own staged table, so the plan grows by a level, not by doubling."""
+    from quillstone.operators import graph as G
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(9)], "src long, dst long")
+    sizes = [plan(G.reach(edges, spark.range(1).withColumnRenamed("id", "name"), depth)).count("Scan") for depth in (2, 4, 6)]
+    assert sizes[2] - sizes[1] == sizes[1] - sizes[0]
+    sizes = [plan(G.paths_up(edges, 9, depth)).count("Scan") for depth in (2, 4, 6)]
+    assert sizes[2] - sizes[1] <= sizes[1] - sizes[0] + 4
+
+
+def test_one_scan_finds_tags_and_their_fallback(spark):
+    """The values are read once; what decides is the small table of what was found."""
+    text = plan(QUERIES["kv_tag"](spark, DATA))
+    assert "documents.parquet" not in text
