@@ -43,6 +43,10 @@ def test_tokens_equal_the_library(spark, encoding):
     assert Counter((r.doc_id, bytes(r.decoded)) for r in again) == Counter((i, (t or "").encode()) for i, t in rows)
 
 
+def test_tokens_of_no_rows(spark):
+    assert bpe.round_trip(frame(spark, []), PATH).collect() == [] == bpe.decode_tokens(bpe.encode_documents(frame(spark, []), PATH), PATH).collect()
+
+
 def test_piece_starts_cut_where_the_pattern_does(spark):
     import regex
 
