@@ -25,8 +25,8 @@ from quillstone.llm.storage import cut
 #: similarity 0.85 shares no band with probability 2e-8, one of 0.80 with 7e-6.
 BANDS, ROWS = 30, 5
 #: Shingles (8 bytes each) of the members of a residual bucket that one task compares with as many others; smaller
-#: buckets too are cut into a few blocks of EVEN_SHINGLES, so that tasks are even.
-BLOCK_SHINGLES, EVEN_SHINGLES, FEW_BLOCKS = 2 << 20, 1 << 16, 8
+#: buckets too are cut into a few blocks of EVEN_SHINGLES or EVEN_ROWS, so that tasks are even.
+BLOCK_SHINGLES, EVEN_SHINGLES, EVEN_ROWS, FEW_BLOCKS = 2 << 20, 1 << 16, 256, 8
 _TILE, _COLUMNS = 512, 8192
 
 
@@ -208,8 +208,8 @@ def minhash_dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, ba
     rest = cut(rest.select("key", "node", "size", "comp"), "rest")
     # Buckets of the same members, as the bands of one group of near copies often are, are compared once.
     mixed = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum("size").alias("size"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("low <> high")
-    mixed = mixed.groupBy("n", "x", "y").agg(F.min("key").alias("key"), F.first("size").alias("size"))
-    blocks = F.greatest(F.ceil(F.col("size") / BLOCK_SHINGLES), F.least(F.lit(FEW_BLOCKS), F.ceil(F.col("size") / EVEN_SHINGLES)))
+    mixed = mixed.groupBy("n", "x", "y").agg(F.min("key").alias("key"), F.max("size").alias("size"))
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK_SHINGLES), F.least(F.lit(FEW_BLOCKS), F.greatest(F.ceil(F.col("size") / EVEN_SHINGLES), F.ceil(F.col("n") / EVEN_ROWS))))
     rest = rest.drop("size").join(mixed.select("key", blocks.cast("int").alias("blocks")), "key")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
