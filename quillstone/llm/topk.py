@@ -21,6 +21,8 @@ from quillstone.operators.ranking import numbered
 
 #: Vectors of a shard, of a block, queries that meet a shard in one task, and queries compared at a time.
 SHARD, BLOCK, QUERY_BLOCK, QUERIES = 8192, 128, 16384, 1024
+#: A small table still has so many shards, if each gets so many vectors, so that tasks are many and even.
+FEW_SHARDS, SMALL_SHARD = 64, 512
 #: Shards whose block bounds one task compares with a block of queries, and leading dimensions whose signs order vectors.
 BOUNDED, SIGNS = 64, 16
 #: Sums of products beyond this are not exact in float64; such shards are scored in int64.
@@ -184,8 +186,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD
     rows = placed.count()
     if not rows:
         return queries.select("query_id").limit(0).select("query_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("score"))
-    placed = placed.withColumn("shard", F.floor((F.col("place") - 1) / shard).cast("int"))
-    shards, blocks = -(-rows // shard), max(1, -(-queries.count() // QUERY_BLOCK))
+    shards = max(-(-rows // shard), min(FEW_SHARDS, -(-rows // SMALL_SHARD)))
+    placed = placed.withColumn("shard", F.floor((F.col("place") - 1) * shards / rows).cast("int"))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = queries.withColumn("d", F.size("v")).dropDuplicates(["query_id", "v"])
     # A query's first shard is one that holds vectors of its own signs, if any does; a code is one of 2**SIGNS numbers.
@@ -196,7 +199,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD
     asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)).cast("int")).select("query_id", "v", "d", "home", "block")
     asked = cut(asked, "asked")
 
-    first = placed.groupBy("d", "shard").cogroup(asked.groupBy("d", "home")).applyInArrow(_first(k), _FOUND)
+    # However many queries one shard is the first of, a task has a block of them.
+    meeting = asked.select("d", F.col("home").alias("shard"), F.col("block").alias("block")).distinct()
+    first = placed.join(meeting, ["d", "shard"]).groupBy("d", "shard", "block").cogroup(asked.groupBy("d", "home", "block")).applyInArrow(_first(k), _FOUND)
     first = cut(first.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "first")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     least = first.withColumn("rank", rank).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
