@@ -222,3 +222,17 @@ def text_embeddings(spark, d):
     job = table(spark, d, "documents").select(F.concat(F.lit("/vec/chunks/"), "doc_id").alias("key"), F.lit("n").alias("name"), F.coalesce("text", F.lit("")).alias("text"))
     one, two = R.embedded(job), R.embedded(job.repartition(3, "key")).withColumnRenamed("embedding", "again")
     return one.join(two, "key").select("key", F.size("embedding").cast("long").alias("dim"), (F.col("embedding") == F.col("again")).alias("same"))
+
+
+@query(f"""
+with h as (select 'page_' || vec_id as name, {_SIM} as score, vec_id from {_E}),
+m as (select *, case when vec_id % 3 = 0 then 'src/core/a.c' else 'lib/b.c' end as file, case when vec_id % 2 = 0 then 'c' else 'go' end as language from h)
+select name, file, language, round(tanh((score - 0.5) * 2 * 1.5) * 0.5 + 0.5, 6) as score from m where language = 'c' and contains(file, 'core')""")
+def vec_engine_facets(spark, d):
+    """Filters by language and file; of two records of a name the one further down counts."""
+    v = F.col("vec_id")
+    hits = _vectors(spark, d).where("size(embedding) = 64").select(F.concat(F.lit("page_"), v).alias("name"), R.similarity(F.col("embedding"), QUERY).alias("score"), "vec_id")
+    meta = hits.select("name", F.when(v % 3 == 0, "src/core/a.c").otherwise("lib/b.c").alias("file"), F.lit("function").alias("kind"), F.when(v % 2 == 0, "C").otherwise("go").alias("language"), F.lit(20).alias("line_no"))
+    meta = meta.unionByName(hits.select("name", F.lit("old.c").alias("file"), F.lit("function").alias("kind"), F.lit("c").alias("language"), F.lit(10).alias("line_no")))
+    out = R.engine_scores(hits.select("name", "score"), meta, "", options=R.EngineOptions(language="c", file="core"))
+    return out.select("name", "file", F.lower("language").alias("language"), rounded("score").alias("score"))

@@ -332,3 +332,52 @@ def key_rows(spark, d):
     inside = F.when(part == "chunks", F.get_json_object(value, "$.name")).when(part == "symbols", F.get_json_object(value, "$[0].file")).when(part == "callees", F.get_json_object(value, "$.sites[0].function"))
     inside = inside.when(part == "callers", F.size(F.from_json(F.get_json_object(value, "$.sites"), "array<struct<line:long>>")).cast("string")).when(F.contains("key", F.lit("_func_index")), value).when(part == "_meta", F.get_json_object(value, "$.chunks"))
     return rows.select("key", inside.alias("inside"))
+
+
+#: A source text of each language around a number N: a function, a type and an import.
+_SOURCES = {
+    "python": "import os.path_N\n\ndef fn_N(a):\n    return a\n\nclass T_N(Base):\n    pass\n",
+    "javascript": "import x from 'lib_N';\n\nfunction fn_N(a) { return a; }\n\nclass T_N {\n}\n",
+    "java": "import java.util.List_N;\n\npublic class T_N {\n    public static int fn_N(int a) {\n        return a;\n    }\n}\n",
+    "go": "import \"fmt_N\"\n\ntype T_N struct {\n}\n\nfunc (t T_N) fn_N(a int) int {\n}\n",
+    "rust": "use std::mem_N;\n\nstruct T_N {\n}\n\nfn fn_N(a: i32) -> i32 {\n}\n",
+    "c": "#include \"lib_N.h\"\n\nstruct T_N {\n};\n\nint fn_N(int a) {\n}\n",
+}
+_IMPORTED = {"python": "os.path_", "javascript": "lib_", "java": "java.util.List_", "go": "fmt_", "rust": "std::mem_", "c": "lib_"}
+_LANGUAGES = sorted(_SOURCES)
+
+
+def _sources(spark, d):
+    part, k = table(spark, d, "part"), F.col("p_partkey")
+    language = F.element_at(F.array(*(F.lit(x) for x in _LANGUAGES)), (k % 6 + 1).cast("int"))
+    text = F.element_at(F.create_map(*(F.lit(x) for pair in _SOURCES.items() for x in pair)), language)
+    return part.select("p_partkey", F.concat(F.lit("f"), k).alias("file"), language.alias("language"), F.replace(text, F.lit("N"), k.cast("string")).alias("content"))
+
+
+_L = f"({_LANGUAGES})[p_partkey % 6 + 1]"
+_I = "case " + " ".join(f"when {_L} = '{x}' then '{p}'" for x, p in _IMPORTED.items()) + " end"
+
+
+@query(f"""
+select 'f' || p_partkey as file, {_L} as language, 'function' as kind, 'fn_' || p_partkey as name from part
+union all select 'f' || p_partkey, {_L}, case when {_L} in ('c', 'go', 'rust') then 'struct' else 'class' end, 'T_' || p_partkey from part
+union all select 'f' || p_partkey, {_L}, 'import', {_I} || p_partkey || case when {_L} = 'c' then '.h' else '' end from part""")
+def syntax_languages(spark, d):
+    """Functions, types and imports in six languages."""
+    return C.syntax_records(_sources(spark, d).select("file", "language", "content"))
+
+
+@query("""
+select p_partkey, case p_partkey % 4 when 0 then 'os,a' when 2 then 'fmt_' || p_partkey when 3 then 'std' else '' end as modules,
+  case p_partkey % 4 when 1 then 'lib_' || p_partkey || ',two' when 2 then 'fmt_' || p_partkey else '' end as libraries,
+  case when p_partkey % 4 = 0 then 'c,d_' || p_partkey else '' end as symbols from part""")
+def import_languages(spark, d):
+    """Imports of Python, JavaScript, Go and Rust."""
+    part, k = table(spark, d, "part").select("p_partkey"), F.col("p_partkey")
+    texts = {"python": "import os.path\nfrom a.b import c, d_N\n", "javascript": "import x from 'lib_N';\nrequire('./own');\nrequire('two');\n", "go": "import \"fmt_N\"\n", "rust": "use std::mem_N;\n"}
+    out = None
+    for n, (language, text) in enumerate(texts.items()):
+        found = C.imports(F.replace(F.lit(text), F.lit("N"), k.cast("string")), language)
+        rows = part.where(k % 4 == n).select("p_partkey", *(F.array_join(found[c], ",").alias(c) for c in ("modules", "libraries", "symbols")))
+        out = rows if out is None else out.unionByName(rows)
+    return out
