@@ -1,6 +1,6 @@
 """Books in MOBI, AZW3 and PDF files, as far as the standard library reads them.
 
-MOBI and AZW3: uncompressed and PalmDOC-compressed texts; not Huffman-compressed or
+MOBI and AZW3: uncompressed, PalmDOC-compressed and Huffman-compressed texts; not
 encrypted ones.  PDF: text operators of plain and deflated streams in single-byte or
 UTF-16 strings, and outlines with direct destinations; not encrypted files or fonts
 with codes of their own.  What cannot be read gives no chapters.
@@ -43,6 +43,52 @@ def palm_decompress(raw: bytes) -> bytes:
     return bytes(out)
 
 
+#: Kinds of compression, and how deep phrases may lie in phrases.
+PLAIN, PALM, HUFFMAN, MAX_NESTING = 1, 2, 17480, 32
+
+
+class Huffman:
+    """Decoder of Huffman-compressed records: codes stand for phrases, which may be compressed themselves."""
+
+    def __init__(self, table: bytes, dictionaries: list[bytes]):
+        by_byte, by_length = struct.unpack(">LL", table[8:16])
+        self.by_byte = struct.unpack(">256L", table[by_byte : by_byte + 1024])
+        limits = struct.unpack(">64L", table[by_length : by_length + 256])
+        # Smallest and largest code of each length from 1, as the upper bits of 32.
+        self.low = [0] + [limits[2 * i] << (31 - i) for i in range(32)]
+        self.high = [0] + [((limits[2 * i + 1] + 1) << (31 - i)) - 1 for i in range(32)]
+        self.phrases: list[tuple[bytes, bool]] = []
+        for raw in dictionaries:
+            total, bits = struct.unpack(">LL", raw[8:16])
+            for at in struct.unpack(f">{(n := min(1 << bits, total - len(self.phrases)))}H", raw[16 : 16 + 2 * n]):
+                size = struct.unpack(">H", raw[16 + at : 18 + at])[0]
+                self.phrases.append((raw[18 + at : 18 + at + (size & 0x7FFF)], bool(size & 0x8000)))
+
+    def decode(self, record: bytes, depth: int = 0) -> bytes:
+        data, place, end, out = record + bytes(8), 0, 8 * len(record), []
+        while place < end:
+            code = int.from_bytes(data[place >> 3 : (place >> 3) + 5], "big") >> 8 - (place & 7) & 0xFFFFFFFF
+            entry = self.by_byte[code >> 24]
+            size = entry & 31
+            if entry & 0x80:
+                top = ((entry >> 8) + 1 << 32 - size) - 1 if size else 0
+            else:
+                while 0 < size <= 32 and code < self.low[size]:
+                    size += 1
+                top = self.high[size] if size <= 32 else 0
+            place += size
+            if not 0 < size <= 32 or place > end:
+                break  # what is left are filling bits
+            phrase, whole = self.phrases[top - code >> 32 - size]
+            if not whole:
+                if depth == MAX_NESTING:
+                    raise ValueError("phrases lie too deep in phrases")
+                phrase = self.decode(phrase, depth + 1)
+                self.phrases[top - code >> 32 - size] = phrase, True
+            out.append(phrase)
+        return b"".join(out)
+
+
 def _trailing(record: bytes, flags: int) -> int:
     """Bytes that follow the text of a record."""
     total = 0
@@ -66,16 +112,21 @@ def mobi_html(raw: bytes) -> str | None:
     starts = [struct.unpack(">L", raw[78 + 8 * i : 82 + 8 * i])[0] for i in range(count)] + [len(raw)]
     head = raw[starts[0] : starts[1]]
     compression, records, encrypted = struct.unpack(">H", head[0:2])[0], struct.unpack(">H", head[8:10])[0], struct.unpack(">H", head[12:14])[0]
-    if compression not in (1, 2) or encrypted:
+    if compression not in (PLAIN, PALM, HUFFMAN) or encrypted:
         return None
     mobi = head[16:20] == b"MOBI"
     encoding = "utf-8" if mobi and struct.unpack(">L", head[28:32])[0] == 65001 else "cp1252"
     flags = struct.unpack(">H", head[242:244])[0] if mobi and struct.unpack(">L", head[20:24])[0] >= 228 and len(head) >= 244 else 0
+    decode = {PLAIN: bytes, PALM: palm_decompress}.get(compression)
+    if decode is None:
+        first, number = struct.unpack(">LL", head[112:120])
+        tables = [raw[starts[i] : starts[i + 1]] for i in range(first, min(first + number, count))]
+        decode = Huffman(tables[0], tables[1:]).decode
     parts = []
     for i in range(1, min(records, count - 1) + 1):
         record = raw[starts[i] : starts[i + 1]]
         record = record[: len(record) - _trailing(record, flags)]
-        parts.append(palm_decompress(record) if compression == 2 else record)
+        parts.append(decode(record))
     return b"".join(parts).decode(encoding, "replace")
 
 

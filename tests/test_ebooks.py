@@ -6,11 +6,12 @@ import zlib
 from quillstone.sources import ebooks as E
 
 
-def mobi(html: bytes, compression=1) -> bytes:
+def mobi(html: bytes, compression=1, tables=()) -> bytes:
     records = [html[i : i + 4096] for i in range(0, len(html), 4096)]
     head = struct.pack(">HHLHHHH", compression, 0, len(html), len(records), 4096, 0, 0) + b"MOBI" + struct.pack(">LLL", 116, 2, 65001)
-    head += bytes(132 - len(head))
-    parts, at = [head, *records], 78 + 8 * (len(records) + 1) + 2
+    head += bytes(112 - len(head)) + struct.pack(">LL", len(records) + 1, len(tables)) + bytes(12)
+    parts = [head, *records, *tables]
+    at = 78 + 8 * len(parts) + 2
     table = b""
     for p in parts:
         table += struct.pack(">LL", at, 0)
@@ -42,7 +43,34 @@ def test_mobi():
     html = "<html><h1>One</h1><p>Größe a</p><mbp:pagebreak/><h2>Two</h2><p>b</p></html>".encode()
     assert [(n, t) for n, t, _ in E.mobi_chapters(mobi(html))] == [(0, "One"), (1, "Two")]
     assert "Größe a" in E.mobi_chapters(mobi(html))[0][2]
-    assert E.mobi_chapters(mobi(html, compression=17480)) == []
+    assert E.mobi_chapters(mobi(html, compression=99)) == []
+
+
+def phrase_book(phrases: list[tuple[bytes, bool]]) -> bytes:
+    """A dictionary record of phrases and whether they are whole."""
+    offsets, body = [], b""
+    for text, whole in phrases:
+        offsets.append(2 * len(phrases) + len(body))
+        body += struct.pack(">H", len(text) | (0x8000 if whole else 0)) + text
+    return b"CDIC" + struct.pack(">LLL", 16, len(phrases), 8) + struct.pack(f">{len(phrases)}H", *offsets) + body
+
+
+def test_huffman():
+    """Codes of eight bits, phrase 255 - code; phrase 1 is compressed itself.  Then codes of two lengths."""
+    phrases = [(bytes((i,)), True) for i in range(256)]
+    phrases[1] = (bytes(255 - b for b in b"<p>a"), False)
+    table = b"HUFF" + struct.pack(">LLL", 24, 24, 24 + 1024) + bytes(8) + struct.pack(">256L", *[255 << 8 | 0x80 | 8] * 256) + bytes(256)
+    html = b"<h1>One</h1>" + b"\1" + b" word</p>"
+    packed = bytes(255 - b for b in html)
+    assert E.mobi_html(mobi(packed, E.HUFFMAN, (table, phrase_book(phrases)))) == "<h1>One</h1><p>a word</p>"
+    assert [(n, t) for n, t, _ in E.mobi_chapters(mobi(packed, E.HUFFMAN, (table, phrase_book(phrases))))] == [(0, "One")]
+    # 1 is phrase 0; 01 phrase 1; 00 phrase 2.  Largest codes: one bit 1, two bits 01 with phrases counted on from 1.
+    by_byte = [2 if b < 0x80 else 1 << 8 | 0x80 | 1 for b in range(256)]
+    limits = [0] * 64
+    limits[2:4] = [0, 2]  # of two bits: the smallest code 0, and the largest such that 01 is phrase 1
+    table = b"HUFF" + struct.pack(">LLL", 24, 24, 24 + 1024) + bytes(8) + struct.pack(">256L", *by_byte) + struct.pack(">64L", *limits)
+    reader = E.Huffman(table, [phrase_book([(b"a", True), (b"bc", True), (b"d", True)])])
+    assert reader.decode(bytes([0b10100110])) == b"a" + b"bc" + b"d" + b"a" + b"a"  # the last bit fills the byte
 
 
 def test_pdf():
