@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from quillstone.sources.staging import staged
 
 
+#: Input bytes for which a range partition is made, where the session's number of partitions is too small for them.
+PARTITION_BYTES = 256 << 20
+#: A leaf of a plan without known size has a number beyond this.
+_UNKNOWN_BYTES = 1 << 56
+
+
+def range_partitions(frame: DataFrame) -> int:
+    """The session's number of shuffle partitions, or more where the files and tables that `frame` reads are large."""
+    leaves = frame._jdf.queryExecution().optimizedPlan().collectLeaves()
+    known = [n for n in (int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())) if n < _UNKNOWN_BYTES]
+    return max(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sum(known) // PARTITION_BYTES))
+
+
 def numbered(frame: DataFrame, *order: str, name: str = "n", partitions: int | None = None) -> DataFrame:
     """`frame` with its 1-based row number in the given total order.
 
@@ -17,7 +30,7 @@ def numbered(frame: DataFrame, *order: str, name: str = "n", partitions: int | N
     are sampled, so two runs of the shuffle need not cut alike."""
     if not order:
         raise ValueError("a numbering needs an order")
-    count = partitions or int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = partitions or range_partitions(frame)
     dealt = frame.repartitionByRange(count, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
     # monotonically_increasing_id is partition number * 2**33 + the row's place in the sorted partition
     dealt = dealt.withColumn("_i", F.col("_i").bitwiseAND(F.lit((1 << 33) - 1)))

@@ -68,3 +68,15 @@ def test_one_scan_finds_tags_and_their_fallback(spark):
     """The values are read once; what decides is the small table of what was found."""
     text = plan(QUERIES["kv_tag"](spark, DATA))
     assert "documents.parquet" not in text
+
+
+def test_numbering_of_large_inputs_has_more_partitions(spark, monkeypatch):
+    from quillstone.operators import ranking
+
+    orders = spark.read.parquet(f"{DATA}/orders.parquet")
+    assert ranking.range_partitions(orders) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(ranking, "PARTITION_BYTES", 1000)
+    many = ranking.range_partitions(orders)
+    assert many > 10
+    rows = ranking.numbered(orders.select("o_orderkey"), "o_orderkey").collect()
+    assert sorted(r.n for r in rows) == list(range(1, len(rows) + 1)) and [r.o_orderkey for r in sorted(rows, key=lambda r: r.n)] == sorted(r.o_orderkey for r in rows)
