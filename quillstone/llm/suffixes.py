@@ -25,17 +25,17 @@ from quillstone.llm.bwt import column_wise, suffixes
 
 #: Bytes of an anchor.
 ANCHOR = 20
-#: Buckets of strings for each bucket of hashes, and collections of a bucket: one of a thousand or two
-#: strings stays in a core's cache, where the rounds take a third of the time.
-FINER, COLLECTIONS = 12, 4
-#: An anchor that more chunks have is hot.
-HOT_CHUNKS = 16
+#: Buckets of strings for each bucket of hashes, and collections of a bucket: one of a thousand or two strings
+#: stays in a core's cache, where the rounds take a third of the time, and a chunk's share of a bucket is a list.
+FINER, COLLECTIONS = 2, 24
+#: An anchor that more chunks have is hot; below, a bucket gets the strings of so many chunks at most.
+HOT_CHUNKS = 64
 #: Kinds of answers: whether an anchor is shared, whether it is hot, whether a hot anchor's window is shared, and a
 #: bit for each window of a string that a smaller doc_id has.
 _SHARED, _HOT, _WINDOWS, _COVERED = 0, 1, 2, 3
-#: Text bytes of a step.
-STEP_BYTES = 1 << 20
-STRINGS = "bucket int, chunk long, texts binary, sizes binary, ids binary, counts array<int>"
+#: Text bytes of a step, whose arrays stay in a core's cache.
+STEP_BYTES = 1 << 17
+STRINGS = "bucket int, chunk long, texts binary, sizes binary, ids binary, collections binary"
 
 
 def anchored(data: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -104,41 +104,57 @@ class _Chunk:
         out[order] = np.repeat(answers, np.diff(np.append(starts, len(order))))
         return out
 
-    def hot_windows(self, replies: pa.Table, buckets: int):
-        """Whether runs have a hot anchor; start, run and hash of each of their windows; the distinct hashes and
-        each window's number among them."""
+    def distinct(self, replies: pa.Table, buckets: int):
+        """The runs with a shared anchor, the first run of each distinct string by document, each run's string, the
+        document of a string's last run, and whether its anchor is hot."""
         hashes, _, order, starts = self.offer()
+        hit = self._of_runs(X.answers(replies, _SHARED, hashes, buckets), order, starts)
         hot = self._of_runs(X.answers(replies, _HOT, hashes, buckets), order, starts)
-        runs = np.flatnonzero(hot)
-        counts = self.last[runs] - self.first[runs] + 1
-        run = np.repeat(runs, counts)
-        at = np.repeat(self.first[runs] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        rolled = K.rolling(self.data, self.window)[at] if len(at) else np.zeros(0, np.uint64)
+        runs = np.flatnonzero(hit)
+        order = np.lexsort((self.key[runs], self.anchor[runs]))  # stable: equal strings by document
+        a, k = self.anchor[runs][order], self.key[runs][order]
+        new = np.ones(len(order), bool)
+        new[1:] = (a[1:] != a[:-1]) | (k[1:] != k[:-1])
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(new) - 1
+        heads = np.flatnonzero(new)
+        firsts, lasts = runs[order[heads]], runs[order[np.append(heads[1:], len(order)) - 1]] if len(heads) else runs
+        return runs, firsts, group, self.row[lasts], hot[firsts]
+
+    def windows(self, which: np.ndarray):
+        """All windows of the strings of some runs: the string's number among them, the window's in it, and its hash."""
+        counts = self.last[which] - self.first[which] + 1
+        sizes = counts + self.window - 1
+        owner = np.repeat(np.arange(len(which)), counts)
+        offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        joined = _gather(self.data, self.first[which], sizes)
+        return owner, offset, K.rolling(joined, self.window)[(np.cumsum(sizes) - sizes)[owner] + offset]
+
+    def pieces(self, replies: pa.Table, buckets: int):
+        """What distinct() tells first, then the pieces of strings that are compared: string, first and last window,
+        anchor; the first piece of each distinct one in order of anchor, and each piece's number among these.
+
+        A string of a hot anchor is cut to its runs of windows that are shared; any other is a piece as a whole."""
+        runs, firsts, group, _, hot = self.distinct(replies, buckets)
+        cold, warm = np.flatnonzero(~hot), np.flatnonzero(hot)
+        owner, offset, rolled = self.windows(firsts[warm])
         known, inverse = np.unique(rolled, return_inverse=True)
-        return hot, at, run, rolled, known, inverse
-
-    def strings(self, replies: pa.Table, buckets: int):
-        """The runs that are compared (anchor, first, last, row), those of hot anchors cut to the windows that are
-        shared; the first run of each distinct string in order of anchor, and each run's string."""
-        hashes, _, order, starts = self.offer()
-        hit = self._of_runs(X.answers(replies, _SHARED, hashes, buckets), order, starts)
-        hot, at, run, rolled, known, inverse = self.hot_windows(replies, buckets)
         kept = X.answers(replies, _WINDOWS, known, buckets)[inverse]
-        together = kept[1:] & kept[:-1] & (run[1:] == run[:-1])
+        together = kept[1:] & kept[:-1] & (owner[1:] == owner[:-1])
         heads, tails = np.flatnonzero(kept & ~np.append(False, together)[: len(kept)]), np.flatnonzero(kept & ~np.append(together, False)[: len(kept)])
-        # The first and the last window cover a run's string, so their hashes stand for it.
+        # The first and the last window cover a piece, so their hashes stand for it.
         cut_key = K.mix(rolled[heads] * np.uint64(0xD6E8FEB86659FD93) + rolled[tails] + (tails - heads).astype(np.uint64))
-        cold = np.flatnonzero(hit & ~hot)
-        anchor, key = np.concatenate([self.anchor[cold], self.anchor[run[heads]]]), np.concatenate([self.key[cold], cut_key])
-        first, last = np.concatenate([self.first[cold], at[heads]]), np.concatenate([self.last[cold], at[tails]])
-        row = np.concatenate([self.row[cold], self.row[run[heads]]])
-        order = np.lexsort((first, key, anchor))  # equal strings by document
+        string = np.concatenate([cold, warm[owner[heads]]])
+        low = np.concatenate([np.zeros(len(cold), np.int64), offset[heads]])
+        high = np.concatenate([(self.last - self.first)[firsts[cold]], offset[tails]])
+        anchor, key = self.anchor[firsts[string]], np.concatenate([self.key[firsts[cold]], cut_key])
+        order = np.lexsort((self.row[firsts[string]], key, anchor))
         a, k = anchor[order], key[order]
         new = np.ones(len(order), bool)
         new[1:] = (a[1:] != a[:-1]) | (k[1:] != k[:-1])
-        group = np.empty(len(order), np.int64)
-        group[order] = np.cumsum(new) - 1
-        return (anchor, first, last, row), order[new], group
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        return runs, firsts, group, (string, low, high, anchor), order[new], number
 
 
 def _offer(window: int, buckets: int):
@@ -150,12 +166,19 @@ def _offer(window: int, buckets: int):
 
 
 def _window_offer(window: int, buckets: int):
+    """The windows of strings with hot anchors, each with whether two documents of the chunk have it."""
+
     def run(batch: pa.RecordBatch, chunk: int, replies: pa.Table) -> pa.Table:
+        none = np.zeros(0, bool)
+        if not pa.compute.any(pa.compute.equal(replies["kind"], _HOT)).as_py():
+            return X.offer(chunk, none.astype(np.uint64), none, none, buckets)
         c = _Chunk(batch, window)
-        _, _, of_run, rolled, known, inverse = c.hot_windows(replies, buckets)
+        _, firsts, _, last_row, hot = c.distinct(replies, buckets)
+        owner, _, rolled = c.windows(firsts[hot])
+        known, inverse = np.unique(rolled, return_inverse=True)
         low, high = np.full(len(known), len(c.at)), np.full(len(known), -1)
-        np.minimum.at(low, inverse, c.row[of_run])
-        np.maximum.at(high, inverse, c.row[of_run])
+        np.minimum.at(low, inverse, c.row[firsts[hot]][owner])
+        np.maximum.at(high, inverse, last_row[hot][owner])
         return X.offer(chunk, known, np.ones(len(known), bool), low < high, buckets)
 
     return run
@@ -168,17 +191,15 @@ def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
 def _strings(window: int, buckets: int):
     def run(batch: pa.RecordBatch, chunk: int, replies: pa.Table) -> pa.Table:
         c = _Chunk(batch, window)
-        (anchor, first, last, row), firsts, _ = c.strings(replies, buckets)
-        ids = X.rank_ids(batch)[row[firsts]]
-        sizes = last[firsts] - first[firsts] + window
-        fine = X.bucket_of(anchor[firsts], buckets * FINER * COLLECTIONS)
+        _, firsts, _, (string, low, high, anchor), lead, _ = c.pieces(replies, buckets)
+        first = firsts[string[lead]]
+        ids = X.rank_ids(batch)[c.row[first]]
+        sizes = (high - low)[lead] + window
+        fine = X.bucket_of(anchor[lead], buckets * FINER * COLLECTIONS)
         used, cuts = X.runs(fine // np.uint64(COLLECTIONS))
-        counts = np.zeros((len(used), COLLECTIONS), np.int32)
-        np.add.at(counts, (np.repeat(np.arange(len(used)), np.diff(cuts)), (fine % np.uint64(COLLECTIONS)).astype(np.int64)), 1)
         # Each string's bytes follow those of the one before, so the cuts of the texts are sums of sizes.
-        texts = X.packed(_gather(c.data, first[firsts], sizes), np.concatenate([[0], np.cumsum(sizes)])[cuts])
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1) * COLLECTIONS, pa.int32()), pa.array(counts.ravel()))
-        return X.rows(chunk, used, texts=texts, sizes=X.packed(sizes.astype(np.uint8), cuts), ids=X.packed(ids, cuts), counts=lists)
+        texts = X.packed(_gather(c.data, c.first[first] + low[lead], sizes), np.concatenate([[0], np.cumsum(sizes)])[cuts])
+        return X.rows(chunk, used, texts=texts, sizes=X.packed(sizes.astype(np.uint8), cuts), ids=X.packed(ids, cuts), collections=X.packed((fine % np.uint64(COLLECTIONS)).astype(np.uint8), cuts))
 
     return run
 
@@ -188,6 +209,8 @@ def _covered(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.nd
     joined = _gather(text, starts, sizes)
     ends = np.cumsum(sizes)
     _, first, inverse = np.unique(K.span_hashes(joined, ends - sizes, ends), return_index=True, return_inverse=True)
+    if (sizes[first][inverse] != sizes).any() or (_gather(text, starts[first][inverse], sizes) != joined).any():
+        first = inverse = np.arange(len(ids))  # a hash of two strings: nothing is merged, and the transform finds what is equal
     order = np.argsort(inverse, kind="stable")
     owner = np.minimum.reduceat(ids[order], np.searchsorted(inverse[order], np.arange(len(first))))
     own, begin = sizes[first], (ends - sizes)[first]
@@ -222,8 +245,7 @@ def _repeats(window: int):
         lengths = [len(x) for x in sizes]
         text, sizes, ids = np.concatenate(get("texts", np.uint8)), np.concatenate(sizes).astype(np.int64), np.concatenate(get("ids", np.int64))
         starts = np.cumsum(sizes) - sizes
-        counts = table["counts"].combine_chunks().flatten().to_numpy()
-        collection = np.repeat(np.tile(np.arange(COLLECTIONS), table.num_rows), counts)
+        collection = np.concatenate(get("collections", np.uint8))
         bits = np.zeros(len(ids), np.uint32)
         for number in range(COLLECTIONS):
             which = np.flatnonzero(collection == number)
@@ -237,12 +259,18 @@ def _repeats(window: int):
 def _cleaned(window: int, buckets: int):
     def run(batch: pa.RecordBatch, chunk: int, replies: pa.Table) -> pa.Table:
         c = _Chunk(batch, window)
-        (anchor, first, last, row), firsts, group = c.strings(replies, buckets)
+        runs, firsts, group, (string, low, high, anchor), lead, number = c.pieces(replies, buckets)
         cover = np.zeros(len(c.data) + window + 1, np.int8)  # at most one window starts at a byte, so counts stay below window
-        if len(first):
-            bits = X.answers(replies, _COVERED, anchor[firsts], buckets * FINER, np.uint32)[group]
-            ids = X.rank_ids(batch)[row]
-            bits = np.where(ids > ids[firsts][group], np.uint32(0xFFFFFFFF), bits)
+        if len(runs):
+            every, ids = np.uint32(0xFFFFFFFF), X.rank_ids(batch)
+            bits = X.answers(replies, _COVERED, anchor[lead], buckets * FINER, np.uint32)[number]
+            own = ids[c.row[firsts]]
+            # A piece or a string that a smaller doc_id of this chunk has too is covered as a whole.
+            bits = np.where(own[string] > own[string[lead]][number], every, bits) & (every >> (31 - high + low).astype(np.uint32))
+            mask = np.zeros(len(firsts), np.uint32)
+            np.bitwise_or.at(mask, string, bits << low.astype(np.uint32))
+            bits = np.where(ids[c.row[runs]] > own[group], every, mask[group])
+            first, last = c.first[runs], c.last[runs]
             for offset in range(window - ANCHOR + 1):
                 at = first + offset
                 at = at[(bits >> np.uint32(offset) & np.uint32(1)).astype(bool) & (at <= last)]
