@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Most text bytes that one vectorised step takes, unless one row alone has more.
-STEP_BYTES = 3 << 20
+STEP_BYTES = 2 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 #: Word separators: space, tab, line feed, vertical tab, form feed, carriage return.
