@@ -11,6 +11,7 @@ Jaccard similarity of the shingle counts then decides exactly.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -28,8 +29,8 @@ from quillstone.llm import kernel as K
 WORDS = 4
 BLOCKS = 4 * WORDS
 RADIUS = 3 * BLOCKS - 1
-#: Most bytes of item texts that are broadcast at a time; more items take more passes.
-ITEM_BYTES = 8 << 20
+#: Most bytes of item texts whose index, some 30 times as large, is broadcast at a time; more items take more passes.
+ITEM_BYTES = 4 << 20
 #: A block value itself and with any one bit changed; and shingles that vote at a time.
 _NEAR = np.array([0, *(1 << b for b in range(16))], np.uint32)
 _VOTES = 1 << 14
@@ -58,7 +59,7 @@ class _Tables:
     def __init__(self, members: np.ndarray, prints: np.ndarray):
         self.members, self.prints = members, prints
         keys = _keys(prints).ravel()
-        owner = np.repeat(np.arange(len(members)), BLOCKS * len(_NEAR))
+        owner = np.repeat(np.arange(len(members), dtype=np.int32), BLOCKS * len(_NEAR))
         order = np.argsort(keys, kind="stable")
         self.keys, self.owner = keys[order], owner[order]
 
@@ -93,19 +94,21 @@ class Items:
         self.sizes = np.diff(rows)
         self.counts: list[Counter] = []
         self.by_size: dict[int, _Tables] = {}
-        self.postings: dict[int, list[int]] = defaultdict(list)
         groups = defaultdict(list)
         for i, size in enumerate(self.sizes.tolist()):
             own = rolling(words[rows[i] : rows[i + 1]], min(k, size)) if size else np.zeros(0, np.uint64)
             self.counts.append(Counter(own.tolist()))
-            for shingle in self.counts[-1]:
-                self.postings[shingle].append(i)
             if size:
                 groups[size].append((i, fingerprints(own, np.zeros(1, np.int64), len(own))[0]))
         for size, members in groups.items():
             self.by_size[size] = _Tables(np.array([i for i, _ in members]), np.array([f for _, f in members]))
         self.short = sorted({s for s in self.by_size if s < k})
-        self.known = np.array(sorted(self.postings), np.uint64)
+        # Postings: the distinct shingles in order, where each one's items begin, and the items.
+        shingles = np.array([x for c in self.counts for x in c], np.uint64)
+        owners = np.repeat(np.arange(len(self.counts), dtype=np.int32), [len(c) for c in self.counts])
+        order = np.argsort(shingles, kind="stable")
+        self.known, begins = np.unique(shingles[order], return_index=True)
+        self.begins, self.owners = np.append(begins, len(order)), owners[order]
 
     def search(self, words: np.ndarray, threshold: float) -> dict[int, tuple[float, int, int]]:
         """Item -> (similarity, first word, words) of its best window in one document."""
@@ -122,7 +125,7 @@ class Items:
                 continue
             where: dict[int, list[int]] = defaultdict(list)
             for h in hits.tolist():
-                for i in self.postings[int(shingles[h])]:
+                for i in self.owners[self.begins[at[h]] : self.begins[at[h] + 1]].tolist():
                     where[i].append(h)
             for size in {int(self.sizes[i]) for i in where}:
                 if min(size, self.k) != min(k, self.k) and len(words) >= self.k:
@@ -242,13 +245,47 @@ def _clean(shared, threshold: float):
     return run
 
 
-def _indexes(docs: DataFrame, items: DataFrame, k: int) -> Iterator:
-    """Broadcast indexes of the items, of at most about ITEM_BYTES each."""
+class _Shared:
+    """A broadcast index, loaded once in a worker process."""
+
+    _loaded: tuple[int, Items] | None = None
+
+    def __init__(self, broadcast):
+        self.broadcast, self.number = broadcast, broadcast._jbroadcast.id()
+
+    def __getstate__(self):
+        return {"broadcast": self.broadcast, "number": self.number}
+
+    @property
+    def value(self) -> Items:
+        if _Shared._loaded is None or _Shared._loaded[0] != self.number:
+            _Shared._loaded = self.number, pickle.loads(self.broadcast.value)
+        return _Shared._loaded[1]
+
+
+def _built(k: int):
+    """The index of a block of items, made in a task of its own."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("item_id", "ascending"), ("text", "ascending")])
+        index = Items(table["item_id"].to_pylist(), table["text"].to_pylist(), k)
+        return pa.table({"block": table["block"][:1], "index": pa.array([pickle.dumps(index, pickle.HIGHEST_PROTOCOL)], pa.binary())})
+
+    return run
+
+
+def _indexes(docs: DataFrame, items: DataFrame, k: int) -> Iterator[_Shared]:
+    """Broadcast indexes of the items, of at most about ITEM_BYTES of texts each.  Tasks build them; the driver only
+    passes on one after the other."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) // ITEM_BYTES))
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        yield docs.sparkSession.sparkContext.broadcast(Items([r.item_id for r in rows], [r.text for r in rows], k))
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int"))
+    some = False
+    for row in dealt.groupBy("block").applyInArrow(_built(k), "block int, index binary").toLocalIterator():
+        some = True
+        yield _Shared(docs.sparkSession.sparkContext.broadcast(bytes(row["index"])))
+    if not some:
+        yield _Shared(docs.sparkSession.sparkContext.broadcast(pickle.dumps(Items([], [], k))))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
