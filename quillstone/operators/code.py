@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.functions import text as X
 from quillstone.operators.graph import MAX_SITES, callees, callers, resolve_callees
 from quillstone.operators.ranking import first_per
 

@@ -57,6 +57,7 @@ def test_batch_search_in_blocks(spark, monkeypatch):
     unit = v / np.linalg.norm(v, axis=1, keepdims=True)
     want = {(q, int(i), n + 1) for q in range(10) for n, i in enumerate(np.argsort(-(unit @ unit[q]))[:3])}
     assert {(r.query_id, r.vec_id, r.rank) for r in R.all_top_k(t, asked, 3).collect()} == want
+    assert {(r.query_id, r.vec_id, r.rank) for r in R.batch_top_k(t, v[:10], list(range(10)), 3).collect()} == want
     codes = R.build_index(t, 8, name="vec_id")
     assert {(r.query_id, r.vec_id, r.rank) for r in R.indexed_all_top_k(codes, asked, 3, over=100).collect()} == want
     assert R.all_top_k(t.limit(0), asked, 3).collect() == [] == R.all_top_k(t, asked.limit(0), 3).collect()
