@@ -2,8 +2,8 @@
 
 MOBI and AZW3: uncompressed, PalmDOC-compressed and Huffman-compressed texts; not
 encrypted ones.  PDF: text operators of plain and deflated streams in single-byte or
-UTF-16 strings, and outlines with direct destinations; not encrypted files or fonts
-with codes of their own.  What cannot be read gives no chapters.
+UTF-16 strings, codes that a font maps to Unicode, and outlines with direct
+destinations; not encrypted files or fonts with codes of their own and no map.  What cannot be read gives no chapters.
 """
 
 from __future__ import annotations
@@ -143,22 +143,49 @@ def mobi_chapters(raw: bytes) -> list[tuple[int, str, str]]:
 
 
 _OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
-_TOKEN = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|[A-Za-z'\"*]+|[-+.\d]+", re.S)
+_TOKEN = re.compile(rb"/[^\s()<>\[\]{}/%]+|\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|[A-Za-z'\"*]+|[-+.\d]+", re.S)
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 
-def _string(token: bytes) -> str:
+def _bytes(token: bytes) -> bytes:
     if token[:1] == b"<":
         digits = re.sub(rb"\s", b"", token[1:-1])
-        raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
-    else:
-        raw = re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: bytes((int(m[1], 8) & 255,)) if m[1][:1].isdigit() else _ESCAPES.get(m[1], b"" if m[1] in (b"\n", b"\r\n") else m[1]), token[1:-1], flags=re.S)
+        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    return re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: bytes((int(m[1], 8) & 255,)) if m[1][:1].isdigit() else _ESCAPES.get(m[1], b"" if m[1] in (b"\n", b"\r\n") else m[1]), token[1:-1], flags=re.S)
+
+
+def _string(token: bytes) -> str:
+    raw = _bytes(token)
     return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("cp1252", "replace")
 
 
-def page_text(content: bytes) -> str:
-    """The text that a page's content stream shows; moves to another line end lines."""
-    out, stack, inside = [], [], False
+class FontCodes:
+    """What a font's character map says that its codes stand for."""
+
+    def __init__(self, cmap: bytes):
+        space = re.search(rb"begincodespacerange\s*<([0-9A-Fa-f]+)>", cmap)
+        self.size, self.table = len(space[1]) // 2 if space else 1, {}
+        text = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
+        for block in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.S):
+            for code, target in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block):
+                self.table[int(code, 16)] = text(target)
+        for block in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.S):
+            for first, last, one, several in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*(?:<([0-9A-Fa-f]+)>|\[(.*?)\])", block, re.S):
+                codes = range(int(first, 16), min(int(last, 16), int(first, 16) + 0xFFFF) + 1)
+                if one:  # the last character counts up
+                    start = text(one)
+                    self.table |= {c: start[:-1] + chr(ord(start[-1:] or "\0") + c - codes[0]) for c in codes}
+                else:
+                    self.table |= dict(zip(codes, map(text, re.findall(rb"<([0-9A-Fa-f]+)>", several))))
+
+    def decode(self, raw: bytes) -> str:
+        return "".join(self.table.get(int.from_bytes(raw[i : i + self.size], "big"), "") for i in range(0, len(raw), self.size))
+
+
+def page_text(content: bytes, fonts: dict[bytes, FontCodes] | None = None) -> str:
+    """The text that a page's content stream shows; moves to another line end lines.  `fonts` has the maps of those
+    fonts (by their names in the page) that have one."""
+    out, stack, inside, codes = [], [], False, None
     for token in _TOKEN.findall(content):
         if token == b"BT":
             inside = True
@@ -170,7 +197,7 @@ def page_text(content: bytes) -> str:
                 out.append("\n")
             for part in stack:
                 if part[:1] in (b"(", b"<"):
-                    out.append(_string(part))
+                    out.append(codes.decode(_bytes(part)) if codes else _string(part))
                 elif token == b"TJ" and re.fullmatch(rb"-[\d.]+", part) and float(part) < -200:
                     out.append(" ")
             stack.clear()
@@ -179,6 +206,8 @@ def page_text(content: bytes) -> str:
                 out.append("\n")
             stack.clear()
         elif re.fullmatch(rb"[A-Za-z*]+", token):
+            if token == b"Tf" and len(stack) > 1:
+                codes = (fonts or {}).get(stack[-2][1:])
             stack.clear()
         else:
             stack.append(token)
@@ -212,6 +241,30 @@ class _Pdf:
         m = re.search(rb"/" + name + rb"\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)
         return [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", m[1])] if m else []
 
+    def part(self, body: bytes, name: bytes) -> bytes:
+        """A dictionary in a dictionary, there or as an object of its own."""
+        m = re.search(rb"/" + name + rb"\s*(?:(\d+)\s+\d+\s+R|<<)", body)
+        if not m:
+            return b""
+        if m[1]:
+            return self.objects.get(int(m[1]), b"")
+        depth, at = 1, m.end()
+        while depth and (mark := re.compile(rb"<<|>>").search(body, at)):
+            depth, at = depth + (1 if mark[0] == b"<<" else -1), mark.end()
+        return body[m.end() : at]
+
+    def fonts(self, page: int) -> dict[bytes, FontCodes]:
+        """The character maps of a page's fonts, by name; resources may stand in a page above."""
+        body, found = self.objects.get(page, b""), {}
+        for _ in range(16):
+            if b"/Resources" in body or not (parents := self.refs(body, b"Parent")):
+                break
+            body = self.objects.get(parents[0], b"")
+        for name, number in re.findall(rb"/([^\s()<>\[\]{}/%]+)\s+(\d+)\s+\d+\s+R", self.part(self.part(body, b"Resources"), b"Font")):
+            for cmap in self.refs(self.objects.get(int(number), b""), b"ToUnicode"):
+                found[name] = FontCodes(self.stream(self.objects.get(cmap, b"")))
+        return found
+
     def pages(self) -> list[int]:
         """Page objects in reading order."""
         out, seen = [], set()
@@ -262,7 +315,7 @@ def pdf_chapters(raw: bytes) -> list[tuple[int, str, str]]:
     """(position, title, text): the spans between outline entries above the second level, or one chapter, full."""
     pdf = _Pdf(raw)
     pages = pdf.pages()
-    texts = [page_text(b"\n".join(pdf.stream(pdf.objects.get(c, b"")) for c in pdf.refs(pdf.objects[p], b"Contents"))) for p in pages]
+    texts = [page_text(b"\n".join(pdf.stream(pdf.objects.get(c, b"")) for c in pdf.refs(pdf.objects[p], b"Contents")), pdf.fonts(p)) for p in pages]
     tops = [(page, title) for page, level, title in pdf.outline(pages) if level < 2]
     if not tops:
         tops = [(0, "full")]

@@ -89,3 +89,23 @@ def test_read_books(spark, tmp_path):
     (tmp_path / "bad.mobi").write_bytes(b"x")
     rows = {(r.book, r.format, r.title) for r in E.read_books(spark, str(tmp_path)).collect()}
     assert rows == {("m", "mobi", "T"), ("p", "pdf", "full"), ("bad", "mobi", None)}  # a damaged file is a row of its own
+
+
+def test_fonts_with_codes_of_their_own():
+    """Two-byte codes by single characters, ranges and lists; one-byte codes of another font; a font without a map."""
+    wide = b"begincodespacerange <0000> <FFFF> endcodespacerange 2 beginbfchar <0003> <0020> <0010> <00660069> endbfchar 2 beginbfrange <0024> <0026> <0041> <0030> <0031> [<00E9> <4E00>] endbfrange"
+    narrow = b"1 begincodespacerange <00> <FF> endcodespacerange 1 beginbfrange <01> <03> <0078> endbfrange"
+    content = b"BT /F1 12 Tf <002400250026 0003 0030> Tj <00310010> Tj 0 -12 Td /F2 9 Tf (\\001\\002\\003) Tj 0 -12 Td /F3 9 Tf (plain) Tj ET"
+    objects = {
+        1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R] /Resources << /ProcSet [/PDF] /Font << /F1 5 0 R /F2 6 0 R /F3 9 0 R >> >> >>",
+        3: b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R >>", 4: b"<< >>\nstream\n" + content + b"\nendstream",
+        5: b"<< /Type /Font /ToUnicode 7 0 R >>", 6: b"<< /Type /Font /ToUnicode 8 0 R >>", 9: b"<< /Type /Font >>",
+        7: b"<< /Filter /FlateDecode >>\nstream\n" + zlib.compress(wide) + b"\nendstream", 8: b"<< >>\nstream\n" + narrow + b"\nendstream",
+    }
+    raw = b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n" % n + b + b"\nendobj\n" for n, b in objects.items())
+    assert E.pdf_chapters(raw) == [(0, "full", "ABC \u00e9\u4e00fi\nxyz\nplain")]
+    objects[3] = objects[3].replace(b"/Contents", b"/Resources 10 0 R /Contents")
+    objects[10] = b"<< /Font 11 0 R >>"
+    objects[11] = b"<< /F1 5 0 R >>"
+    raw = b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n" % n + b + b"\nendobj\n" for n, b in objects.items())
+    assert E.pdf_chapters(raw)[0][2].startswith("ABC \u00e9\u4e00fi\n")
