@@ -28,6 +28,8 @@ BANDS, ROWS = 30, 5
 #: buckets too are cut into a few blocks of EVEN_SHINGLES or EVEN_ROWS, so that tasks are even.
 BLOCK_SHINGLES, EVEN_SHINGLES, EVEN_ROWS, FEW_BLOCKS = 2 << 20, 1 << 16, 256, 8
 _TILE, _COLUMNS = 512, 8192
+#: Documents for which an intermediate table without texts has a file, and the fewest files.
+FILE_ROWS, FEWEST_FILES = 50_000, 12
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -187,15 +189,16 @@ def minhash_dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, ba
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = cut(docs.mapInArrow(_profile(k, bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "profile")
+    files = max(FEWEST_FILES, -(-base.count() // FILE_ROWS))
     usable = base.where("n_shingles > 0 and doc_id is not null")
     nodes = usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"))
-    nodes = cut(nodes, "nodes")
+    nodes = cut(nodes.coalesce(files), "nodes")
     members = nodes.select("node", "size", F.explode("bands").alias("key"))
     sized = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot"), F.max("node").alias("top")).where("n > 1 and pivot <> top").drop("top")
-    members = cut(members.join(sized, "key"), "members")
+    members = cut(members.join(sized, "key").coalesce(files), "members")
 
     star = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    star = cut(star, "star")
+    star = cut(star.coalesce(files), "star")
     asked = star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct()
     # A merge join at every size: how much text moves must not hinge on a broadcast threshold.
     sets = docs.join(asked.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).mapInArrow(_sets(k), "node long, shingles binary")
@@ -205,7 +208,7 @@ def minhash_dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, ba
 
     found = connected_components(links)
     rest = members.where("n > 2 and node <> pivot").join(found.toDF("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rest = cut(rest.select("key", "node", "size", "comp"), "rest")
+    rest = cut(rest.select("key", "node", "size", "comp").coalesce(files), "rest")
     # Buckets of the same members, as the bands of one group of near copies often are, are compared once.
     mixed = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum("size").alias("size"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("low <> high")
     mixed = mixed.groupBy("n", "x", "y").agg(F.min("key").alias("key"), F.max("size").alias("size"))
