@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import re
 import struct
+import zipfile
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.sources.files import markdown
+from quillstone.sources.files import epub_chapters_of, markdown
 
 CHAPTERS = T.ArrayType(T.StructType([T.StructField("position", T.IntegerType()), T.StructField("title", T.StringType()), T.StructField("text", T.StringType())]))
 
@@ -332,7 +333,7 @@ def _safe(read):
     def run(raw):
         try:
             return read(bytes(raw)) if raw else []
-        except (struct.error, IndexError, ValueError, AttributeError):
+        except (struct.error, IndexError, KeyError, ValueError, AttributeError, StopIteration, SyntaxError, zipfile.BadZipFile):
             return None  # a damaged file must not end the job
 
     return run
@@ -341,13 +342,11 @@ def _safe(read):
 def read_books(spark: SparkSession, path: str) -> DataFrame:
     """book, format, position, level, title, text of the chapters of all book files below a folder; a file that
     cannot be read, or that has no chapter, is one row with nulls behind its format."""
-    from quillstone.sources.files import epub_chapters
-
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{epub,mobi,azw3,pdf}").load(path)
     kind, book = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)), F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1)
-    mobi, pdf = F.udf(_safe(mobi_chapters), CHAPTERS, useArrow=True), F.udf(_safe(pdf_chapters), CHAPTERS, useArrow=True)
+    epub, mobi, pdf = (F.udf(_safe(read), CHAPTERS, useArrow=True) for read in (epub_chapters_of, mobi_chapters, pdf_chapters))
     # One format at a time, so that each reader only sees its own files.
     files = files.select(book.alias("book"), kind.alias("format"), "content")
-    parts = [files.where(F.col("format").isin(*formats)).select("book", "format", F.explode_outer(read("content")).alias("c")) for formats, read in ((("epub",), epub_chapters), (("mobi", "azw3"), mobi), (("pdf",), pdf))]
+    parts = [files.where(F.col("format").isin(*formats)).select("book", "format", F.explode_outer(read("content")).alias("c")) for formats, read in ((("epub",), epub), (("mobi", "azw3"), mobi), (("pdf",), pdf))]
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return out.select("book", "format", "c.position", F.when(F.col("c").isNotNull(), 0).alias("level"), "c.title", "c.text")

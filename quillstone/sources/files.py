@@ -152,7 +152,7 @@ def html_to_markdown(source: pd.Series) -> pd.Series:
     return source.map(markdown, na_action=None)
 
 
-def _epub_chapters(raw: bytes) -> list[tuple[int, str, str]]:
+def epub_chapters_of(raw: bytes) -> list[tuple[int, str, str]]:
     """(position, title, Markdown) of an EPUB's spine, from the standard library's readers."""
     import posixpath
     import xml.etree.ElementTree as ET
@@ -173,7 +173,7 @@ def _epub_chapters(raw: bytes) -> list[tuple[int, str, str]]:
 
 @F.udf(returnType=T.ArrayType(T.StructType([T.StructField("position", T.IntegerType()), T.StructField("title", T.StringType()), T.StructField("text", T.StringType())])), useArrow=True)
 def epub_chapters(raw):
-    return _epub_chapters(bytes(raw)) if raw else []
+    return epub_chapters_of(bytes(raw)) if raw else []
 
 
 def read_epubs(spark: SparkSession, path: str) -> DataFrame:

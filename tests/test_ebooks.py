@@ -87,8 +87,9 @@ def test_read_books(spark, tmp_path):
     (tmp_path / "m.mobi").write_bytes(mobi(b"<h1>T</h1><p>text</p>"))
     (tmp_path / "p.pdf").write_bytes(pdf(["page"], [], True))
     (tmp_path / "bad.mobi").write_bytes(b"x")
+    (tmp_path / "worse.epub").write_bytes(b"PK")
     rows = {(r.book, r.format, r.title) for r in E.read_books(spark, str(tmp_path)).collect()}
-    assert rows == {("m", "mobi", "T"), ("p", "pdf", "full"), ("bad", "mobi", None)}  # a damaged file is a row of its own
+    assert rows == {("m", "mobi", "T"), ("p", "pdf", "full"), ("bad", "mobi", None), ("worse", "epub", None)}  # damaged files are rows of their own
 
 
 def test_fonts_with_codes_of_their_own():
