@@ -28,8 +28,9 @@ BANDS, ROWS = 30, 5
 #: buckets too are cut into a few blocks of EVEN_SHINGLES or EVEN_ROWS, so that tasks are even.
 BLOCK_SHINGLES, EVEN_SHINGLES, EVEN_ROWS, FEW_BLOCKS = 2 << 20, 1 << 16, 256, 8
 _TILE, _COLUMNS = 512, 8192
-#: Documents for which an intermediate table without texts has a file, and the fewest files.
-FILE_ROWS, FEWEST_FILES = 50_000, 12
+#: Documents for which an intermediate table without texts has a file (up to the session's number of partitions), and
+#: the fewest files.
+FILE_ROWS, FEWEST_FILES = 4000, 12
 
 
 def _multipliers(n: int) -> np.ndarray:
