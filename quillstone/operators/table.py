@@ -22,6 +22,8 @@ TYPES = {
 }
 OPERATORS = {"eq": lambda c, v: c == v, "gt": lambda c, v: c > v, "lt": lambda c, v: c < v, 0: lambda c, v: c == v, 1: lambda c, v: c > v, 2: lambda c, v: c < v}
 INSERT, UPDATE, DELETE = 1, 2, 3
+#: Ids of a range that one task numbers anew.
+RANGE_IDS = 1_000_000
 
 
 class ResultTooLarge(Exception):
@@ -144,11 +146,19 @@ def delete(table: DataFrame, ids: DataFrame | Column) -> DataFrame:
 
 
 def compact(table: DataFrame) -> DataFrame:
-    """Deleted rows dropped and ids dense again, in the old order."""
-    from quillstone.operators.ranking import numbered
-
-    kept = numbered(live(table).withColumnRenamed("_rowid", "_old"), "_old", name="_rowid").drop("_old")
-    return kept.select(*table.columns)
+    """Deleted rows dropped and ids dense again, in the old order.
+
+    Old ids are dense, so ranges of them are even without sampling: a row's new id is its place among the kept rows
+    of its range after the kept rows of the ranges before.  One shuffle by range; a row a range meets in one task."""
+    kept = live(table)
+    top = kept.agg(F.max("_rowid")).first()[0] or 0
+    span = min(RANGE_IDS, max(1, -(-top // int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    ranged = kept.withColumn("_range", F.floor((F.col("_rowid") - 1) / span))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy("_range").agg(F.count("*").alias("_c")).select("_range", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("_rowid"))
+    numbered = ranged.withColumn("_place", place).join(F.broadcast(before), "_range")
+    return numbered.withColumn("_rowid", F.col("_place") + F.col("_before")).select(*table.columns)
 
 
 def deleted_ratio(table: DataFrame) -> DataFrame:
