@@ -68,7 +68,7 @@ def vec_index_topk(spark, d):
     return R.indexed_top_k(index, index, QUERY, 1, over=400, name="vec_id").select("vec_id", rounded("score").alias("score"))
 
 
-@query(f"select vec_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: pow((e[i] + case when vec_id % 2 = 0 then e[65 - i] else 0 end) / case when vec_id % 2 = 0 then 2 else 1 end, 2)))), 6) as pooled, round(case when list_sum(list_transform(e, lambda x: x * x)) > 0 then 1 else 0 end, 6) as length from {_E}")
+@query(f"select vec_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: pow((e[i] + case when vec_id % 2 = 0 then e[65 - i] else 0 end) / case when vec_id % 2 = 0 then 2 else 1 end, 2)))), 6) as pooled, case when list_sum(list_transform(e, lambda x: x * x)) > 0 then 1.0::double else 0.0::double end as length from {_E}")
 def vec_pooling(spark, d):
     rows = _vectors(spark, d).where("size(embedding) = 64")
     mean = V.mean_pooled(F.array("embedding", F.reverse("embedding")), F.array(F.lit(1), F.when(F.col("vec_id") % 2 == 0, 1).otherwise(0)))
