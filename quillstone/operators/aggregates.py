@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import re
+from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as X
 from quillstone.operators.ranking import top
+from quillstone.sources.staging import staged
 
 #: Fixed value: term counts below this are left out.
 MIN_COUNT = 3
+#: Accuracy of a percentile's sketch, and how far from its rank the cuts lie, as a share of the values.
+SKETCH_ACCURACY, SKETCH_MARGIN = 10_000, 0.001
 #: Comparison operators of a probe's filter.
 COMPARE = {"==": lambda c, v: c == v, "!=": lambda c, v: c != v, ">": lambda c, v: c > v, "<": lambda c, v: c < v, ">=": lambda c, v: c >= v, "<=": lambda c, v: c <= v}
 
@@ -37,10 +41,33 @@ def histogram(frame: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def percentiles(frame: DataFrame, group: str, value: str, ranks: tuple[float, ...] = (0.5, 0.9, 0.99), exact: bool = False) -> DataFrame:
-    """group, p50, p90, p99.  Approximate ones (relative rank error 1e-4) are merged from partial sketches;
-    exact ones bring a group's distinct values together and are for small groups."""
-    one = lambda r: F.expr(f"percentile_disc({r}) within group (order by {value})") if exact else F.percentile_approx(value, F.lit(r), F.lit(10_000))
-    return frame.groupBy(group).agg(*(one(r).alias(f"p{round(100 * r)}") for r in ranks))
+    """group, p50, p90, p99: of a group's n values in order the one at ceil(rank * n), nulls apart.
+
+    Partial sketches place two cuts around every rank, a scan counts the values between cuts, and a last one counts the
+    distinct values between the two cuts where a rank lies, usually those of SKETCH_MARGIN on both sides.  A sketch's error
+    only moves the cuts, not the result.  With `exact` a group's distinct values are brought together at once, for small groups."""
+    names = [f"p{round(100 * r)}" for r in ranks]
+    if exact:
+        return frame.groupBy(group).agg(*(F.expr(f"percentile_disc({r}) within group (order by {value})").alias(n) for r, n in zip(ranks, names, strict=True)))
+    rows = frame.select(F.col(group).alias("_g"), F.col(value).alias("_v"))
+    marks = sorted({min(max(r + e, 0.0), 1.0) for r in ranks for e in (-SKETCH_MARGIN, SKETCH_MARGIN)})
+    cuts = staged(rows.groupBy("_g").agg(F.percentile_approx("_v", marks, SKETCH_ACCURACY).alias("_cuts")), "cuts")
+    same = lambda left, right, *more: [left["_g"].eqNullSafe(right["_g"]), *(left[c] == right[c] for c in more)]
+    rows = rows.where("_v is not null")
+    between = sum(((F.col("_cuts")[i] < F.col("_v")).cast("int") for i in range(len(marks))), F.lit(0))
+    placed = rows.join(cuts, same(rows, cuts)).select(rows["_g"], "_v", between.alias("_b"))
+
+    own = Window.partitionBy("_g")
+    counts = placed.groupBy("_g", "_b").agg(F.count("*").alias("_n")).select("_g", "_b", (F.sum("_n").over(own.orderBy("_b")) - F.col("_n")).alias("_below"), "_n", F.sum("_n").over(own).alias("_all"))
+    places = F.array(*(F.struct(F.lit(i).alias("i"), F.ceil(F.col("_all") * F.lit(Decimal(str(r)))).cast("long").alias("at")) for i, r in enumerate(ranks)))
+    places = counts.select("_g", "_b", "_below", "_n", F.explode(places).alias("_r")).select("_g", "_b", F.col("_r.i").alias("_i"), (F.greatest("_r.at", F.lit(1)) - F.col("_below")).alias("_at"), "_n")
+    places = staged(places.where("_at between 1 and _n").drop("_n"), "places")
+
+    distinct = placed.join(places, same(placed, places, "_b"), "left_semi").groupBy("_g", "_b", "_v").agg(F.count("*").alias("_n"))
+    upto = distinct.withColumn("_to", F.sum("_n").over(Window.partitionBy("_g", "_b").orderBy("_v")))
+    hits = upto.join(places, [*same(upto, places, "_b"), places["_at"] > upto["_to"] - upto["_n"], places["_at"] <= upto["_to"]])
+    best = hits.groupBy(upto["_g"]).agg(*(F.max(F.when(F.col("_i") == i, F.col("_v"))).alias(n) for i, n in enumerate(names)))
+    return cuts.join(best, same(cuts, best), "left").select(cuts["_g"].alias(group), *names)
 
 
 def caller_map(frame: DataFrame, group: str, caller: str, most: int = 10) -> DataFrame:

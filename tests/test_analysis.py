@@ -180,6 +180,33 @@ def test_probe_histogram(spark):
     assert row.n == 3 and row.h == {0: 1, 1: 2}
 
 
+@pytest.mark.parametrize("accuracy, margin", [(None, None), (3, 0.0)])
+def test_percentiles_are_values_at_their_ranks(spark, monkeypatch, accuracy, margin):
+    """More values than a sketch keeps, ties, NaN, nulls, and sketches that are far off."""
+    if accuracy:
+        monkeypatch.setattr(A, "SKETCH_ACCURACY", accuracy)
+        monkeypatch.setattr(A, "SKETCH_MARGIN", margin)
+    rng = np.random.default_rng(6)
+    groups = {
+        "many": rng.permutation(40_000) / 7, "ties": rng.integers(0, 3, 1000) * 1.0, "hundred": np.arange(100.0), "one": np.array([5.0]),
+        None: rng.normal(size=300), "nan": np.array([1.0, 2.0, float("nan"), float("nan")]), "none": np.array([]),
+    }
+    rows = [(g, float(x)) for g, v in groups.items() for x in v] + [(g, None) for g in ("many", "ties", "none", None)]
+    t = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    at = lambda v, hundredths: repr(float(np.sort(v)[max(-(-hundredths * len(v) // 100), 1) - 1])) if len(v) else "None"
+    found = A.percentiles(t, "g", "v")
+    assert found.columns == ["g", "p50", "p90", "p99"] and found.schema["p50"].dataType.simpleString() == "double"
+    assert {r.g: (repr(r.p50), repr(r.p90), repr(r.p99)) for r in found.collect()} == {g: tuple(at(v, h) for h in (50, 90, 99)) for g, v in groups.items()}
+
+
+def test_percentiles_of_long_integers(spark):
+    """Sketches hold doubles, the result does not; a table without rows has no groups."""
+    big = 2**60
+    t = spark.range(1, 1001).select(F.lit(1).alias("g"), (F.col("id") + big).alias("v"))
+    assert [tuple(r) for r in A.percentiles(t, "g", "v").collect()] == [(1, big + 500, big + 900, big + 990)]
+    assert A.percentiles(t.limit(0), "g", "v").collect() == []
+
+
 def test_hashes(spark):
     row = spark.createDataFrame([("hello",)], "s string").select(H.fnv1a64("s").alias("f"), H.djb2("s").alias("d"), H.crc(F.col("s")).alias("c")).first()
     assert int(row.f) == 0xA430D84680AABD0B and int(row.d) == 210714636441 and row.c == 907060870
