@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import lgamma
 
 import numpy as np
 import pandas as pd
@@ -113,6 +114,8 @@ def all_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, name: str = "
 
 #: Sign bits of a stored code, and how many candidates per wanted row are compared exactly.
 CODE_BITS, OVER_FETCH = 256, 40
+#: Chance that a batch search misses a row it should find, and the steps in which it takes angles.
+MISS, ANGLES = 0.01, 1024
 
 
 def _planes(dim: int, bits: int, seed: int) -> np.ndarray:
@@ -124,6 +127,15 @@ def _codes(planes: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return np.packbits(vectors @ planes.T > 0, axis=1).view(np.int64)
 
 
+def _radii(bits: int, miss: float) -> np.ndarray:
+    """For angles from 0 to pi in ANGLES steps, the fewest bits within which the codes of two vectors at that angle differ,
+    but for a chance of `miss`.  A bit differs if its plane lies between the two: with a chance of angle / pi, each by itself."""
+    d, share = np.arange(bits + 1), np.linspace(0, 1, ANGLES + 1)[1:-1, None]
+    ways = np.array([lgamma(bits + 1) - lgamma(i + 1) - lgamma(bits - i + 1) for i in d])
+    within = np.cumsum(np.exp(ways + d * np.log(share) + (bits - d) * np.log1p(-share)), axis=1)
+    return np.concatenate([[0], np.minimum((within < 1 - miss).sum(axis=1), bits), [bits]])
+
+
 def build_index(vectors: DataFrame, dim: int, bits: int = CODE_BITS, seed: int = 7, name: str = "key") -> DataFrame:
     """name, codes array<long>, embedding of every vector of that dimension: a code of `bits` signs, an eighth of
     the vector's bytes or less.  Nothing is fitted.  Store the result (write_index); a search reads the codes of all
@@ -161,7 +173,9 @@ def indexed_top_k(codes: DataFrame, vectors: DataFrame, query: list[float], k: i
 def indexed_all_top_k(index: DataFrame, queries: DataFrame, k: int = 10, over: int = OVER_FETCH, bits: int = CODE_BITS, seed: int = 7, name: str = "vec_id") -> DataFrame:
     """query_id, name, score, rank: the same for every row of `queries` (query_id, embedding) of the index's
     dimension, of any number.  Blocks of queries meet parts of the index; of a part the over * k nearest codes of
-    each query are scored, so no candidate is lost that the single search would have."""
+    each query are scored, so no candidate is lost that the single search would have.  The k-th best of these states an
+    angle; then every row is scored whose code lies as near as codes at that angle do, but for a chance of MISS.  So the
+    candidates grow with the rows, and recall depends neither on their number nor on `over`."""
     rows = index.select(F.col(name).cast("long").alias("id"), "codes", F.col("embedding").alias("v"))
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("v"))
     parts, blocks = -(-rows.count() // VECTOR_PART) or 1, -(-asked.count() // QUERY_BLOCK) or 1
@@ -173,13 +187,26 @@ def indexed_all_top_k(index: DataFrame, queries: DataFrame, k: int = 10, over: i
         out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
         if left.num_rows and right.num_rows:
             flat = lambda t, c: t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-            words, v, q = flat(left, "codes").view(np.uint64), flat(left, "v"), flat(right, "v")
+            words, v, q = np.ascontiguousarray(flat(left, "codes").view(np.uint64).T), flat(left, "v"), flat(right, "v")
             own = _codes(_planes(q.shape[1], bits, seed), q).view(np.uint64)
-            lengths, ids = np.linalg.norm(v, axis=1), left["id"].to_numpy()
+            lengths, ids, radii = np.linalg.norm(v, axis=1), left["id"].to_numpy(), _radii(bits, MISS)
+
+            def scores(near: np.ndarray, asked: np.ndarray) -> np.ndarray:
+                both = lengths[near] * np.linalg.norm(asked)
+                return (np.where(both > 0, v[near] @ asked / np.maximum(both, 1e-300), 0.0) + 1) / 2
+
             for i, query_id in enumerate(right["query_id"].to_pylist()):
-                apart = np.bitwise_count(words ^ own[i]).sum(axis=1)
-                near = np.lexsort((ids, apart))[: over * k]
-                score = (v[near] @ q[i] / np.maximum(lengths[near] * np.linalg.norm(q[i]), 1e-300) + 1) / 2
+                apart = np.bitwise_count(words ^ own[i][:, None]).sum(axis=0, dtype=np.int32)
+                first = min(max(over, 1) * k, len(ids))
+                radius = np.partition(apart, first - 1)[first - 1]
+                near = np.flatnonzero(apart <= radius)
+                score = scores(near, q[i])
+                if len(near) < len(ids):
+                    last = -2 * np.partition(-score, k - 1)[k - 1] - 1  # the cosine of the k-th best
+                    wide = bits if np.isnan(last) else radii[int(np.ceil(np.arccos(np.clip(last, -1, 1)) / np.pi * ANGLES))]
+                    if wide > radius:
+                        near = np.flatnonzero(apart <= wide)
+                        score = scores(near, q[i])
                 best = np.lexsort((ids[near], -score))[:k]
                 for column, values in zip(out, (np.full(len(best), query_id), ids[near][best], score[best]), strict=True):
                     column.append(values)

@@ -4,6 +4,8 @@ import io
 import zipfile
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +65,39 @@ def test_batch_search_in_blocks(spark, monkeypatch):
     assert R.all_top_k(t.limit(0), asked, 3).collect() == [] == R.all_top_k(t, asked.limit(0), 3).collect()
 
 
+def test_recall_of_codes_does_not_fall_with_the_rows(spark):
+    """Noise with copies, zero vectors and NaN, where the first candidates are far too few."""
+    v = np.random.default_rng(8).normal(size=(6000, 64))
+    v[3000:3100], v[5000:5030], v[5500, 3] = v[:100], 0.0, np.nan
+    t = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    asked = t.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    exact = {(r.query_id, r.vec_id) for r in R.all_top_k(t, asked, 10).collect()}
+    found = R.indexed_all_top_k(R.build_index(t, 64, name="vec_id"), asked, 10, over=1).collect()
+    assert len(found) == len(exact) == 600 and len(exact & {(r.query_id, r.vec_id) for r in found}) >= 0.97 * len(exact)
+
+
+def test_distances_of_codes_at_an_angle():
+    """The least distance that all but one in a hundred codes keep, by drawing them."""
+    radii = R._radii(256, 0.01)
+    assert len(radii) == R.ANGLES + 1 and radii[0] == 0 and radii[-1] == 256 and (np.diff(radii) >= 0).all()
+    drawn = np.random.default_rng(9)
+    for step in (1, 200, 341, 512, 1000):
+        apart = drawn.binomial(256, step / R.ANGLES, 100_000)
+        assert (apart <= radii[step]).mean() > 0.988 and (apart < radii[step]).mean() < 0.992
+
+
+def test_recall_query_on_more_rows(spark, tmp_path):
+    """Its SQL says that the recall is reached, with any number of rows and queries."""
+    from quillstone.plans.catalogue import QUERIES
+
+    for name, n, first, queries in (("many", 30_000, 0, 300), ("none", 50, 1, 0)):
+        v = np.random.default_rng(10).normal(size=(n, 64)).astype(np.float32)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 64, pa.int32()), pa.array(v.ravel()))
+        (tmp_path / name).mkdir()
+        pq.write_table(pa.table({"vec_id": np.arange(n) + first, "embedding": lists}), tmp_path / name / "embeddings.parquet")
+        assert tuple(QUERIES["vec_index_recall"](spark, f"{tmp_path}/{name}").first()) == (True, queries)
+
+
 def test_paths_of_many_levels(spark):
     """Cut to the first paths level by level, the paths are the first of all."""
     rng = np.random.default_rng(3)
